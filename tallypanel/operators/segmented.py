@@ -110,7 +110,7 @@ def repair_monotone(s: Segments, metric: str) -> Segments:
 
 def forward_fill(s: Segments, metric: str) -> Segments:
     """Last known value per key."""
-    known = F.max_by(metric, s.position()).filter(F.col(metric).isNotNull())
+    known = F.max_by(metric, F.when(F.col(metric).isNotNull(), s.position()))
     passed = s.passed_on(
         [known.alias("_last")], {"_carry": F.last("_last", ignorenulls=True).over(s.earlier())}
     )
