@@ -1,0 +1,67 @@
+"""Result tables of earlier runs, if a folder with them is named in TALLYPANEL_GOLDEN.
+
+The folder holds CSV tables of daily totals; the one with ``active`` is a world table,
+the one without is a history table.
+"""
+
+import csv
+import datetime as dt
+import glob
+import os
+
+import pytest
+
+from tallypanel.operators import quality, series
+from tallypanel.plans import jobs
+
+FOLDER = os.environ.get("TALLYPANEL_GOLDEN", "")
+FILES = sorted(glob.glob(f"{FOLDER}/*.csv")) if FOLDER else []
+
+pytestmark = pytest.mark.skipif(not FILES, reason="TALLYPANEL_GOLDEN names no folder with tables")
+
+
+def golden(world: bool):
+    for path in FILES:
+        with open(path, newline="") as f:
+            rows = list(csv.DictReader(f))
+        if ("active" in rows[0]) == world and "Days" in rows[0]:
+            return rows
+    pytest.skip("no such table")
+
+
+def feed_of(spark, rows):
+    """The input of a table: its counters without the seed row."""
+    data = [
+        (dt.datetime.strptime(r["timestamp"], "%m-%d-%Y").date(), *[float(r[m]) for m in jobs.METRICS])
+        for r in rows[1:]
+    ]
+    return spark.createDataFrame(data, "timestamp date, confirmed double, recovered double, deaths double")
+
+
+def check(df, rows, columns):
+    assert df.columns == columns == list(rows[0])
+    got = df.orderBy("timestamp").collect()
+    assert len(got) == len(rows)
+    for g, w in zip(got, rows):
+        assert g["timestamp"].strftime("%m-%d-%Y") == w["timestamp"]
+        for c in columns[1:]:
+            if c in ("growthRate", "movingAvg"):
+                assert g[c] == pytest.approx(float(w[c]), abs=1e-12)
+            else:
+                assert g[c] == float(w[c]), (w["timestamp"], c)
+
+
+def test_history_table(spark):
+    rows = golden(world=False)
+    check(jobs.history_job(feed_of(spark, rows)), rows, jobs.HISTORY_COLUMNS)
+
+
+def test_world_table(spark):
+    rows = golden(world=True)
+    check(jobs.world_job(feed_of(spark, rows)), rows, jobs.WORLD_COLUMNS)
+
+
+@pytest.mark.parametrize("world", [False, True])
+def test_deltas_add_up(spark, world):
+    df = series.add_deltas(feed_of(spark, golden(world)), [], "timestamp", jobs.METRICS)
+    assert all(r["matched"] for r in quality.reconcile(df, "timestamp", jobs.METRICS).collect())

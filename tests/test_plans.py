@@ -1,0 +1,90 @@
+"""The physical plans that the design relies on."""
+
+import re
+
+import pytest
+from helpers import METRICS, panel
+from pyspark.sql import functions as F
+
+from tallypanel.operators import aggregate, segmented, series, spine
+from tallypanel.plans import jobs
+from tallypanel.plans.panels import event_panel
+
+KEY = ["key"]
+
+
+def plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def count(df, node):
+    return len(re.findall(rf"^[\s:+\-]*{node}\b", plan(df), flags=re.M))
+
+
+@pytest.fixture
+def rows(spark, tmp_path):
+    path = str(tmp_path / "panel")
+    panel(spark).withColumn("unused", F.lit("x")).write.parquet(path)
+    return spark.read.parquet(path)
+
+
+def test_chain_of_metrics_shuffles_and_sorts_once(rows):
+    df = series.repair_and_diff(rows, KEY, "ts", METRICS)
+    df = series.growth_rate(df, KEY, "ts")
+    df = series.doubling_time(series.moving_average(df, KEY, "ts"))
+    assert count(df, "Exchange") == 1 and count(df, "Sort") == 1
+
+
+def test_trim_adds_no_shuffle_of_the_panel(rows):
+    days = spine.observed_days(rows, "ts")
+    by_key = series.repair_and_diff(rows, KEY, "ts", METRICS)
+    before = count(by_key, "Exchange")
+    after = spine.complete_and_trim(by_key, KEY, "ts", days=days)
+    # The days need a distinct, their numbering in one task and a broadcast.
+    assert count(after, "Exchange") == before + 2
+    assert count(after, "BroadcastExchange") == 1
+
+
+def test_completion_shuffles_present_rows_only(rows):
+    df = spine.complete_panel(rows.select("key", "ts", *METRICS), KEY, "ts")
+    text = plan(df)
+    # Reading from the result down, the rows are written out above the last shuffle by key.
+    assert text.index("Generate explode") < text.index("Exchange hashpartitioning(key")
+
+
+def test_sums_are_combined_before_the_shuffle(rows):
+    df = aggregate.aggregate(rows, KEY, "ts", ["confirmed"])
+    text = plan(df)
+    assert text.count("HashAggregate") == 2 and "partial_sum" in text.split("Exchange")[1]
+
+
+def test_only_used_columns_are_read(spark, rows, tmp_path):
+    df = aggregate.aggregate(rows, KEY, "ts", ["confirmed"])
+    assert "ReadSchema: struct<key:string,ts:date,confirmed:double>" in plan(df)
+
+
+def test_event_panel_reads_three_columns(spark):
+    sf_dir = "/root/testdata/sf0.001"
+    try:
+        text = plan(event_panel(spark, sf_dir))
+    except Exception:  # noqa: BLE001
+        pytest.skip("no tables")
+    assert "ReadSchema: struct<ts:timestamp_ntz,event_type:string,value:double>" in text
+
+
+def test_regional_job_plan(spark, rows):
+    feed = rows.select(F.col("key").alias("state"), F.col("ts").alias("timestamp"), *METRICS)
+    names = spark.createDataFrame([("b", "c")], "current string, subs string")
+    df = jobs.regional_job(feed, names)
+    # By former name and day, by name and day, by name; and two small ones for the days.
+    assert count(df, "Exchange") == 5 and count(df, "SortMergeJoin") == 0
+    # One sort of the panel, one of the days.
+    assert count(df, "Sort") == 2
+
+
+def test_segment_windows_never_use_the_key_alone(spark, rows):
+    s = segmented.segment(rows.select("key", "ts", "confirmed"), KEY, ["ts"], segments=4)
+    df = segmented.repair_monotone(s, "confirmed").df
+    by_key = [w for w in re.findall(r"Window \[.*", plan(df)) if "_segment" not in w.split("], [")[1]]
+    # The one window by key runs over one row per key and segment.
+    assert len(by_key) == 1

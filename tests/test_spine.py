@@ -1,0 +1,118 @@
+import datetime as dt
+
+import pytest
+from helpers import METRICS, completed, day, panel, random_series, trimmed
+from pyspark.sql import functions as F
+
+from tallypanel.operators import spine
+
+KEY = ["key"]
+
+
+def as_days(data):
+    return {
+        k: {day(n): float(v) for n, v in enumerate(values) if v != "absent"} for k, values in data.items()
+    }
+
+
+def collected(df, *columns):
+    return sorted(tuple(r) for r in df.select(*columns).collect())
+
+
+def test_observed_days(spark):
+    days = spine.observed_days(panel(spark, {"a": [1, "absent", 2]}), "ts").orderBy("ts").collect()
+    seed, first, third = dt.date(2020, 1, 21), day(0), day(2)
+    assert [tuple(r) for r in days] == [(seed, 0, 3, None), (first, 1, 3, seed), (third, 2, 3, first)]
+
+
+def test_days_must_be_dates(spark):
+    with pytest.raises(TypeError):
+        spine.observed_days(panel(spark).withColumn("ts", F.col("ts").cast("timestamp")), "ts")
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_complete_panel(spark, seed):
+    data = random_series(seed)
+    want = [(k, d, v or 0.0) for k, rows in completed(as_days(data)).items() for d, v in rows.items()]
+    got = spine.complete_panel(panel(spark, data), KEY, "ts")
+    assert collected(got, "key", "ts", "confirmed") == sorted(want)
+    assert collected(spine.spine(panel(spark, data), KEY, "ts"), "key", "ts") == sorted(
+        (k, d) for k, d, _ in want
+    )
+
+
+def test_complete_panel_keeps_other_columns(spark):
+    data = panel(spark, {"a": [1, "absent", 3], "b": [None, 2]})
+    data = data.withColumn("note", F.lit("x"))
+    got = spine.complete_panel(data, KEY, "ts")
+    assert got.columns == data.columns
+    notes = dict(((r["key"], r["ts"]), r["note"]) for r in got.collect())
+    assert notes[("a", day(0))] == "x" and notes[("a", day(1))] is None
+    # A present row with a missing number gets 0 as well.
+    assert got.where((F.col("key") == "b") & (F.col("ts") == F.lit(day(0)))).first()["confirmed"] == 0
+
+
+def test_complete_series(spark):
+    data = panel(spark, {"a": [3, "absent", 5]}).drop("key")
+    got = spine.complete_series(data, "ts").orderBy("ts").collect()
+    assert [(r["ts"], r["confirmed"]) for r in got] == [(dt.date(2020, 1, 21), 0), (day(0), 3), (day(2), 5)]
+    assert spine.complete_panel(data, [], "ts").orderBy("ts").collect() == got
+
+
+def expected_trim(data):
+    out = []
+    for k, rows in completed(as_days(data)).items():
+        items = [(d, v or 0.0) for d, v in rows.items()]
+        for n, i in enumerate(trimmed(items, lambda r: r[1])):
+            out.append((k, *items[i], n))
+    return sorted(out)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_trim_of_completed_panel_and_in_one_step(spark, seed):
+    data = random_series(seed, keys=8, days=20)
+    want = expected_trim(data)
+    steps = spine.onset_trim(spine.complete_panel(panel(spark, data), KEY, "ts"), KEY, "ts")
+    assert collected(steps, "key", "ts", "confirmed", "Days") == want
+    direct = spine.complete_and_trim(panel(spark, data), KEY, "ts")
+    assert collected(direct, "key", "ts", "confirmed", "Days") == want
+    assert direct.columns == ["key", "ts", *METRICS, "Days"]
+    assert dict(direct.dtypes) == dict(steps.dtypes)
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_one_step_trim_with_two_rows_a_day(spark, seed):
+    one = panel(spark, random_series(seed)).withColumn("tie", F.lit(1))
+    two = panel(spark, random_series(seed + 100)).withColumn("tie", F.lit(2))
+    data = one.union(two)
+    steps = spine.complete_panel(data, KEY, "ts", tie=["tie"])
+    steps = spine.onset_trim(steps, KEY, "ts", tie=["tie"])
+    direct = spine.complete_and_trim(data, KEY, "ts", tie=["tie"])
+    columns = ["key", "ts", "tie", "confirmed", "Days"]
+    assert collected(direct, *columns) == collected(steps, *columns)
+
+
+def test_gap_and_negative_rows(spark):
+    got = spine.complete_and_trim(panel(spark, {"c": [5, "absent", 7], "e": [-1, 0, 0], "f": [0, 0, 2]}), KEY, "ts")
+    assert collected(got, "key", "ts", "confirmed", "Days") == [
+        ("c", day(-1), 0, 0),
+        ("c", day(0), 5, 1),
+        ("c", day(1), 0, 2),
+        ("c", day(2), 7, 3),
+        ("f", day(1), 0, 0),
+        ("f", day(2), 2, 1),
+    ]
+
+
+def test_keyless_trim(spark):
+    data = panel(spark, {"a": [0, 0, 3]}).drop("key")
+    got = spine.complete_and_trim(data, [], "ts")
+    assert collected(got, "ts", "confirmed", "Days") == [(day(1), 0, 0), (day(2), 3, 1)]
+
+
+def test_onset_flag_looks_at_the_same_key_only(spark):
+    got = spine.onset_flag(panel(spark, {"a": [0], "b": [3], "c": [0, 0, 1]}), KEY, "ts")
+    assert collected(got, "key", "ts", "onset") == [
+        ("a", day(0), False), ("b", day(0), False),
+        ("c", day(0), False), ("c", day(1), True), ("c", day(2), False),
+    ]
