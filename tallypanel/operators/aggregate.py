@@ -32,3 +32,9 @@ def bounds(df: DataFrame, ts: str, metrics: Sequence[str] = ()) -> DataFrame:
 def latest_rows(df: DataFrame, ts: str) -> DataFrame:
     """Rows of the latest day; the maximum is a scalar subquery, not a join."""
     return df.where(F.col(ts) == df.agg(F.max(ts)).scalar())
+
+
+def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
+    """Rows of the largest group, from counts combined before the shuffle."""
+    counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
+    return counts.agg(F.max("_rows")).first()[0] or 0

@@ -25,6 +25,11 @@ def measured_bytes(df: DataFrame) -> int:
     return row[0] * 16 * (len(df.columns) + 1) + sum(v or 0 for v in row[1:])
 
 
+def fits(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
+    """Whether ``dim`` may be broadcast."""
+    return measured_bytes(dim) <= max_bytes
+
+
 def _heavy_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     """Keys holding more than 1/HEAVY_SHARE of the rows: fewer than HEAVY_SHARE of them."""
     counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
@@ -43,8 +48,9 @@ def left_join(
     keys' dimension rows repeated.
     """
     on = list(on)
-    if measured_bytes(dim) <= max_bytes:
-        return df.join(F.broadcast(dim), on, "left")
+    if fits(dim, max_bytes):
+        joined = df.join(F.broadcast(dim), on, "left")
+        return joined.select(*df.columns, *[c for c in dim.columns if c not in on])
     heavy = _heavy_keys(df, on)
     spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
     # A missing key matches nothing, so its rows may go anywhere.

@@ -3,7 +3,7 @@
 ``segment`` cuts the rows, in key and time order, into segments of similar size, so a
 hot key spans many segments. Each operator then works inside the segments and adds
 what earlier segments of the same key pass on. A key continues from one segment to the
-next at most once per segment border, so the passed-on rows number fewer than the
+next at most once per segment border, so the passed-on rows number fewer than twice the
 segments and can be broadcast.
 """
 
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallypanel.functions.numbers import delta_name, safe_ratio
+from tallypanel.operators import spine
 from tallypanel.session import materialize
 
 ROWS_PER_SEGMENT = 4_000_000
@@ -45,17 +46,22 @@ class Segments:
         return F.struct(*self.order)
 
     def passed_on(self, per_segment: list[Column], carried: dict[str, Column]) -> DataFrame:
-        """Columns ``carried``, computed over the earlier segments of each key."""
+        """Columns ``carried``, computed over the other segments of each key, for the
+        segments that are not alone. Their number is below twice the segments'."""
         summary = self.df.groupBy(*self.keys, "_segment").agg(*per_segment)
-        behind = F.lag(F.lit(True)).over(self.earlier_order())
-        rows = summary.withColumns({**carried, "_behind": behind}).where("_behind")
+        by_key = self.by_segment()
+        shared = {
+            "_behind": F.lag(F.lit(True), 1, False).over(by_key),
+            "_ahead": F.lead(F.lit(True), 1, False).over(by_key),
+        }
+        rows = summary.withColumns({**carried, **shared}).where("_behind OR _ahead")
         return rows.select(*self.keys, "_segment", *carried)
 
-    def earlier_order(self) -> WindowSpec:
+    def by_segment(self) -> WindowSpec:
         return Window.partitionBy(*self.keys).orderBy("_segment")
 
     def earlier(self) -> WindowSpec:
-        return self.earlier_order().rowsBetween(Window.unboundedPreceding, -1)
+        return self.by_segment().rowsBetween(Window.unboundedPreceding, -1)
 
     def attach(self, passed: DataFrame) -> DataFrame:
         """The rows with the passed-on columns; NULL in a key's first segment."""
@@ -87,7 +93,7 @@ def deltas_and_growth(s: Segments, metric: str, out: str = "growthRate") -> Segm
     """``new<Metric>`` and growth against the previous row of the key."""
     passed = s.passed_on(
         [F.max_by(F.struct(metric), s.position()).alias("_last")],
-        {"_carry": F.lag(F.col(f"_last.{metric}")).over(s.earlier_order())},
+        {"_carry": F.lag(F.col(f"_last.{metric}")).over(s.by_segment())},
     )
     first = F.row_number().over(s.window()) == 1
     previous = F.when(first, F.col("_carry")).otherwise(F.lag(metric).over(s.window()))
@@ -97,15 +103,44 @@ def deltas_and_growth(s: Segments, metric: str, out: str = "growthRate") -> Segm
     return s.with_rows(rows.drop("_carry", "_previous"))
 
 
-def repair_monotone(s: Segments, metric: str) -> Segments:
-    """Running maximum per key."""
+def repair_and_diff(
+    s: Segments,
+    metrics: Sequence[str],
+    growth_of: str | None = None,
+    growth: str = "growthRate",
+) -> Segments:
+    """Running maximum per key, its deltas, and the growth of the metric ``growth_of``."""
     passed = s.passed_on(
-        [F.max(metric).alias("_top")], {"_carry": F.max("_top").over(s.earlier())}
+        [F.max(m).alias(f"_top_{m}") for m in metrics],
+        {f"_carry_{m}": F.max(f"_top_{m}").over(s.earlier()) for m in metrics},
     )
     so_far = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = s.attach(passed)
-    top = F.greatest(F.max(metric).over(so_far), F.col("_carry"))
-    return s.with_rows(rows.withColumn(metric, top).drop("_carry"))
+    before = s.window().rowsBetween(Window.unboundedPreceding, -1)
+    rows = s.attach(passed).withColumns(
+        {
+            **{f"_now_{m}": F.max(m).over(so_far) for m in metrics},
+            **{f"_before_{m}": F.max(m).over(before) for m in metrics},
+        }
+    )
+    out = {}
+    for m in metrics:
+        carry = F.col(f"_carry_{m}")
+        now = F.greatest(F.col(f"_now_{m}"), carry)
+        previous = F.greatest(F.col(f"_before_{m}"), carry)
+        out[m] = now
+        out[delta_name(m)] = F.coalesce(now - previous, now)
+        if m == growth_of:
+            out[growth] = safe_ratio(out[delta_name(m)], previous)
+    rows = rows.withColumns(out)
+    return s.with_rows(
+        rows.drop(*[f"_{t}_{m}" for m in metrics for t in ("now", "before", "carry")])
+    )
+
+
+def repair_monotone(s: Segments, metric: str) -> Segments:
+    """Running maximum per key."""
+    fixed = repair_and_diff(s, [metric])
+    return s.with_rows(fixed.df.drop(delta_name(metric)))
 
 
 def forward_fill(s: Segments, metric: str) -> Segments:
@@ -120,15 +155,45 @@ def forward_fill(s: Segments, metric: str) -> Segments:
     return s.with_rows(rows.withColumn(metric, value).drop("_carry"))
 
 
+def running_sum(s: Segments, amount: Column, out: str) -> Segments:
+    """Sum of ``amount`` over the key's rows so far."""
+    passed = s.passed_on(
+        [F.sum(amount).alias("_part")], {"_carry": F.sum("_part").over(s.earlier())}
+    )
+    so_far = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    total = F.sum(amount).over(so_far) + F.coalesce("_carry", F.lit(0))
+    return s.with_rows(s.attach(passed).withColumn(out, total).drop("_carry"))
+
+
 def day_number(s: Segments, out: str = "Days") -> Segments:
     """Position of the row within its key, from 0."""
+    counted = running_sum(s, F.lit(1), out)
+    return s.with_rows(counted.df.withColumn(out, F.col(out) - 1))
+
+
+def complete_and_trim(
+    s: Segments, ts: str, previous: str, metric: str = "confirmed", out: str = "Days"
+) -> DataFrame:
+    """``spine.complete_and_trim`` of rows that have ``spine.with_previous_day``."""
+    columns = [c for c in s.df.columns if c not in (previous, "_segment")]
+    edge = F.struct(ts, previous, metric)
     passed = s.passed_on(
-        [F.count("*").alias("_rows")], {"_carry": F.sum("_rows").over(s.earlier())}
+        [F.min_by(edge, s.position()).alias("_first"), F.max_by(edge, s.position()).alias("_last")],
+        {
+            "_left": F.lag("_last").over(s.by_segment()),
+            "_right": F.lead("_first").over(s.by_segment()),
+        },
     )
-    rows = s.attach(passed)
-    before = F.coalesce("_carry", F.lit(0))
-    number = (F.row_number().over(s.window()) - 1 + before).cast("long")
-    return s.with_rows(rows.withColumn(out, number).drop("_carry"))
+    w = s.window()
+    inside = s.attach(passed).withColumns({"_a": F.lag(edge).over(w), "_b": F.lead(edge).over(w)})
+    left, right = F.coalesce("_a", "_left"), F.coalesce("_b", "_right")
+    near = inside.withColumns(
+        {"_before": left[ts], "_before_next": right[previous], "_upcoming": right[metric]}
+    )
+    kept = s.with_rows(spine.trim_rows(near, ts, metric, previous)).fixed()
+    numbered = running_sum(kept, F.col("_lead_in") + 1, out).df
+    numbered = numbered.withColumn(out, F.col(out).cast("int") - 1)
+    return spine.write_lead_ins(numbered, ts, out, previous, columns, s.keys)
 
 
 def moving_average(
@@ -145,7 +210,7 @@ def moving_average(
     entry = F.struct(F.negative("_from_end").alias("at"), F.col(column).alias("value"))
     tail = F.transform(F.sort_array(F.collect_list(entry)), lambda e: e["value"])
     # Each earlier segment of the key has a row, so n - 1 of them reach far enough.
-    reach = s.earlier_order().rowsBetween(1 - n, -1)
+    reach = s.by_segment().rowsBetween(1 - n, -1)
     gathered = F.flatten(F.collect_list("_tail").over(reach))
     passed = tails.passed_on(
         [tail.alias("_tail")],

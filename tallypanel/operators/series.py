@@ -116,12 +116,29 @@ def repair_monotone(
 
 
 def repair_and_diff(
-    df: DataFrame, keys: Sequence[str], ts: str, metrics: Sequence[str], tie: Sequence[str] = ()
+    df: DataFrame,
+    keys: Sequence[str],
+    ts: str,
+    metrics: Sequence[str],
+    tie: Sequence[str] = (),
+    growth_of: str | None = None,
+    growth: str = "growthRate",
 ) -> DataFrame:
-    """``repair_monotone`` then ``add_deltas`` in a single window pass: the previous
-    repaired value is the running maximum up to the row before."""
+    """``repair_monotone`` then ``add_deltas``, and ``growth_rate`` of the metric
+    ``growth_of``, in a single window pass: the previous repaired value is the running
+    maximum up to the row before."""
     w = day_window(keys, ts, tie)
     before = w.rowsBetween(Window.unboundedPreceding, -1)
-    now = {m: F.max(m).over(_up_to_now(w)) for m in metrics}
-    deltas = {delta_name(m): F.coalesce(now[m] - F.max(m).over(before), now[m]) for m in metrics}
-    return df.withColumns({**now, **deltas})
+    df = df.withColumns(
+        {
+            **{f"_now_{m}": F.max(m).over(_up_to_now(w)) for m in metrics},
+            **{f"_before_{m}": F.max(m).over(before) for m in metrics},
+        }
+    )
+    out = {m: F.col(f"_now_{m}") for m in metrics}
+    for m in metrics:
+        delta = F.col(f"_now_{m}") - F.col(f"_before_{m}")
+        out[delta_name(m)] = F.coalesce(delta, F.col(f"_now_{m}"))
+    if growth_of is not None:
+        out[growth] = safe_ratio(out[delta_name(growth_of)], F.col(f"_before_{growth_of}"))
+    return df.withColumns(out).drop(*[f"_{t}_{m}" for m in metrics for t in ("now", "before")])

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tallypanel.operators.series import day_window
-from tallypanel.operators.shape import fill_zero
+
 
 
 def observed_days(df: DataFrame, ts: str, seed_days: int = 1) -> DataFrame:
@@ -143,6 +143,38 @@ def onset_trim(
     return day_number(kept, keys, ts, out, tie)
 
 
+def with_previous_day(df: DataFrame, ts: str, days: DataFrame, out: str) -> DataFrame:
+    """The observed day before the row's own one; ``days`` comes from ``observed_days``."""
+    before = days.select(ts, F.col("_prev").alias(out))
+    return df.join(F.broadcast(before), ts).select(*df.columns, out)
+
+
+def trim_rows(near: DataFrame, ts: str, metric: str, previous: str) -> DataFrame:
+    """The kept rows of a panel that is not completed, with ``_lead_in`` 1 where the absent
+    day before is kept as well. ``near`` has the key's previous day as ``_before`` and of
+    the next row the value as ``_upcoming`` and the observed day before it as
+    ``_before_next``."""
+    positive = F.coalesce(F.col(metric) > 0, F.lit(False))
+    # A missing value counts as 0; the next row counts only if no day lies between.
+    zero = F.coalesce(F.col(metric) == 0, F.lit(True))
+    onset = zero & (F.col("_upcoming") > 0) & (F.col("_before_next") <= F.col(ts))
+    absent_before = F.coalesce(F.col("_before") < F.col(previous), F.lit(True))
+    kept = near.withColumn("_lead_in", (positive & absent_before).cast("int"))
+    return kept.where(positive | F.coalesce(onset, F.lit(False)))
+
+
+def write_lead_ins(
+    numbered: DataFrame, ts: str, out: str, previous: str, columns: Sequence[str], fixed: Sequence[str]
+) -> DataFrame:
+    """``columns`` of the kept rows, each after its lead-in row if it has one. ``out`` is
+    the number of the row itself."""
+    both = F.when(F.col("_lead_in") == 1, F.array(previous, ts)).otherwise(F.array(ts))
+    wide = numbered.withColumn("_day", F.explode(both))
+    wide = wide.withColumn("_own", F.col("_day") == F.col(ts)).withColumn(ts, F.col("_day"))
+    number = F.when(F.col("_own"), F.col(out)).otherwise(F.col(out) - 1).alias(out)
+    return wide.select(*_own_or_fill(wide, columns, [*fixed, ts]), number).select(*columns, out)
+
+
 def complete_and_trim(
     df: DataFrame,
     keys: Sequence[str],
@@ -151,37 +183,30 @@ def complete_and_trim(
     out: str = "Days",
     seed_days: int = 1,
     tie: Sequence[str] = (),
-    days: DataFrame | None = None,
+    previous: str | None = None,
 ) -> DataFrame:
     """``complete_panel`` then ``onset_trim`` without building the completed panel.
 
     Of the absent days the trim keeps just the one right before a positive row. So a
     positive row whose day before is absent writes out that one 0 row, and the result
-    has at most two rows per present row instead of keys times days.
+    has at most two rows per present row instead of keys times days. ``previous`` names
+    a column from ``with_previous_day``, if the rows have it; it is dropped.
     """
     if not keys:
         return onset_trim(complete_series(df, ts, seed_days), keys, ts, metric, out, tie)
-    days = observed_days(df, ts, seed_days) if days is None else days
-    placed = fill_zero(df).join(F.broadcast(days.select(ts, "_prev")), ts)
+    if previous is None:
+        previous = "_prev"
+        df = with_previous_day(df, ts, observed_days(df, ts, seed_days), previous)
+    columns = [c for c in df.columns if c != previous]
     w = day_window(keys, ts, tie)
-    near = placed.withColumns(
+    near = df.withColumns(
         {
             "_before": F.lag(ts).over(w),
-            "_gap_after": F.lead("_prev").over(w) > F.col(ts),
+            "_before_next": F.lead(previous).over(w),
             "_upcoming": F.lead(metric).over(w),
         }
     )
-    positive = F.col(metric) > 0
-    onset = (F.col(metric) == 0) & (F.col("_upcoming") > 0) & ~F.col("_gap_after")
-    absent_before = F.coalesce(F.col("_before") < F.col("_prev"), F.lit(True))
-    kept = near.withColumn("_lead_in", (positive & absent_before).cast("int")).where(
-        positive | F.coalesce(onset, F.lit(False))
-    )
+    kept = trim_rows(near, ts, metric, previous)
     so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
     numbered = kept.withColumn(out, F.sum(F.col("_lead_in") + 1).over(so_far).cast("int") - 1)
-    both = F.when(F.col("_lead_in") == 1, F.array("_prev", ts)).otherwise(F.array(ts))
-    wide = numbered.withColumn("_day", F.explode(both))
-    wide = wide.withColumn("_own", F.col("_day") == F.col(ts)).withColumn(ts, F.col("_day"))
-    columns = _own_or_fill(wide, df.columns, [*keys, ts])
-    number = F.when(F.col("_own"), F.col(out)).otherwise(F.col(out) - 1).alias(out)
-    return wide.select(*columns, number).select(*df.columns, out)
+    return write_lead_ins(numbered, ts, out, previous, columns, keys)

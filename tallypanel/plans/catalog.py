@@ -6,7 +6,6 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tallypanel.sinks.files import labelled
 
@@ -15,6 +14,8 @@ Build = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Build] = {}
 SQL: dict[str, str] = {}
 DECIMALS = 6
+# The columns with fractions; all others hold whole numbers or text.
+FRACTIONS = ("growthRate", "movingAvg", "ratio", "magnitude", "quantity")
 
 
 def day_text(column: str = "timestamp") -> str:
@@ -23,14 +24,14 @@ def day_text(column: str = "timestamp") -> str:
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Build], Build]:
-    """Register a query. Its days are shown as labels and its doubles with 6 decimals,
+    """Register a query. Its days are shown as labels and its fractions with 6 decimals,
     so both engines print the same values."""
 
     def register(build: Build) -> Build:
         def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
             df = build(spark, sf_dir)
-            doubles = [f.name for f in df.schema if isinstance(f.dataType, T.DoubleType)]
-            return labelled(df.withColumns({c: F.round(c, DECIMALS) for c in doubles}))
+            rounded = {c: F.round(c, DECIMALS) for c in FRACTIONS if c in df.columns}
+            return labelled(df.withColumns(rounded) if rounded else df)
 
         QUERIES[name] = shown
         if sql is not None:

