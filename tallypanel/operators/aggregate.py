@@ -34,7 +34,8 @@ def latest_rows(df: DataFrame, ts: str) -> DataFrame:
     return df.where(F.col(ts) == df.agg(F.max(ts)).scalar())
 
 
-def largest_group(df: DataFrame, keys: Sequence[str]) -> int:
-    """Rows of the largest group, from counts combined before the shuffle."""
+def hot_groups(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame:
+    """Groups of more than ``max_rows`` rows with their ``_rows``. There are fewer of them
+    than rows over ``max_rows``."""
     counts = df.groupBy(*keys).agg(F.count("*").alias("_rows"))
-    return counts.agg(F.max("_rows")).first()[0] or 0
+    return counts.where(F.col("_rows") > max_rows)

@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallypanel.functions.numbers import delta_name, safe_ratio
@@ -74,6 +74,11 @@ class Segments:
         return mine.join(theirs, match, "left").select("r.*", *[f"p.{c}" for c in extra])
 
 
+def segments_for(spark: SparkSession, rows: int) -> int:
+    """Enough segments for the rows and for all tasks of a shuffle."""
+    return max(-(-rows // ROWS_PER_SEGMENT), int(spark.conf.get("spark.sql.shuffle.partitions")))
+
+
 def segment(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], segments: int | None = None
 ) -> Segments:
@@ -83,7 +88,7 @@ def segment(
     task ran again would give wrong results.
     """
     if segments is None:
-        segments = -(-df.count() // ROWS_PER_SEGMENT) or 1
+        segments = segments_for(df.sparkSession, df.count())
     ranged = df.repartitionByRange(segments, *keys, *order)
     numbered = ranged.withColumn("_segment", F.spark_partition_id())
     return Segments(materialize(numbered, "segments"), tuple(keys), tuple(order))

@@ -82,7 +82,7 @@ def _keyed_metrics(
 
 
 def _segmented_metrics(
-    df: DataFrame, key: str, days: DataFrame, tie: Sequence[str], segments: int | None
+    df: DataFrame, key: str, days: DataFrame, tie: Sequence[str], segments: int
 ) -> DataFrame:
     """``_keyed_metrics`` for keys with more rows than one task should hold."""
     df = spine.with_previous_day(df, TS, days, "_prev")
@@ -105,16 +105,26 @@ def country_job(
 
     Names are replaced but rows are not summed again, so two names that become one keep
     two rows a day, ordered by their former name. That leaves the rows per country
-    without bound: above ``max_rows`` in the largest, the series are cut into
-    ``segments``. ``days`` may come from a cheaper source with the same days as ``feed``.
+    without bound: countries with more than ``max_rows`` go apart and their series are
+    cut into ``segments``. ``days`` may come from a cheaper source with the same days as
+    ``feed``.
     """
     rows = feed.select("country", TS, *METRICS, F.col("country").alias("_former"))
     named = lookup.standardize(rows, "country", names, max_bytes=max_bytes)
     days = spine.observed_days(feed, TS) if days is None else days
-    if agg.largest_group(named, ["country"]) <= max_rows:
+    # Written out, so that both ways below see the same countries.
+    hot = materialize(agg.hot_groups(named, ["country"], max_rows), "hot")
+    hot_rows = hot.agg(F.sum("_rows")).first()[0]
+    if hot_rows is None:
         df = _keyed_metrics(named, "country", days, ["_former"])
     else:
-        df = _segmented_metrics(named, "country", days, ["_former"], segments)
+        cut = segments or segmented.segments_for(feed.sparkSession, hot_rows)
+        keys = hot.select("country")
+        usual = named.join(F.broadcast(keys), "country", "left_anti")
+        large = named.join(F.broadcast(keys), "country", "left_semi")
+        df = _keyed_metrics(usual, "country", days, ["_former"]).unionByName(
+            _segmented_metrics(large, "country", days, ["_former"], cut)
+        )
     df = lookup.add_dimension(df, coordinates, ["country"], max_bytes)
     return _output(shape.null_token(df), COUNTRY_COLUMNS)
 

@@ -227,15 +227,16 @@ def test_world_table(tables, landed, spark):
     assert [r["doublingTime"] for r in got] == [r["doublingTime"] for r in want]
 
 
-@pytest.mark.parametrize("segments", [1, 5, 60])
-def test_country_table_in_segments(spark, landed, segments):
+@pytest.mark.parametrize("max_rows,segments", [(0, 1), (0, 5), (0, 60), (16, 4)])
+def test_country_table_in_segments(spark, landed, max_rows, segments):
+    """With 16 rows allowed only the country of two names is cut."""
     feed = jobs.load_feed(spark, "map", landed[1])
     names = spark.createDataFrame(list(NAMES.items()), "current string, subs string")
     places = spark.createDataFrame(
         [(k, *v) for k, v in PLACES.items()], "country string, lat double, long double"
     )
     plain = jobs.country_job(feed, names, places)
-    cut = jobs.country_job(feed, names, places, max_rows=0, segments=segments)
+    cut = jobs.country_job(feed, names, places, max_rows=max_rows, segments=segments)
     assert plain.dtypes == cut.dtypes
 
     def rows(df):

@@ -97,3 +97,8 @@ def test_bounds_and_latest(spark):
     rows = spark.createDataFrame([(1, 5), (3, 7), (3, 8)], "day int, m long")
     assert tuple(aggregate.bounds(rows, "day", ["m"]).first()) == (1, 3, 20)
     assert rows_of(aggregate.latest_rows(rows, "day")) == [(3, 7), (3, 8)]
+
+
+def test_hot_groups(spark):
+    assert rows_of(aggregate.hot_groups(fact(spark), ["key"], 1000)) == [("hot", 1335)]
+    assert aggregate.hot_groups(fact(spark), ["key"], 4000).count() == 0
