@@ -26,3 +26,9 @@ def local_time_label(utc: Column, zone: str = "Asia/Kolkata", suffix: str = "IST
     """UTC timestamp without zone to ``MM-dd-yyyy HH:mm`` in ``zone`` plus ``suffix``."""
     local = F.convert_timezone(F.lit("UTC"), F.lit(zone), utc)
     return F.date_format(local, f"{DAY_LABEL} HH:mm'{suffix}'")
+
+
+def run_time_label() -> Column:
+    """The time the query runs, as ``local_time_label``."""
+    now = F.convert_timezone(None, F.lit("UTC"), F.localtimestamp())
+    return local_time_label(now)

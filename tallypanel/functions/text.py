@@ -40,7 +40,8 @@ def thousands(number: Column) -> Column:
     return F.format_number(number, 0)
 
 
-def elapsed_label(seconds: Column) -> Column:
-    """Whole seconds to ``MM min SS sec``; full hours are left out."""
-    minutes = F.floor(seconds / 60) % 60
-    return F.format_string("%02d min %02d sec", minutes, F.floor(seconds) % 60)
+def elapsed_label(elapsed: Column) -> Column:
+    """Day-time interval to ``MM min SS sec``; full hours are left out."""
+    minutes = F.extract(F.lit("MINUTE"), elapsed).cast("int")
+    seconds = F.floor(F.extract(F.lit("SECOND"), elapsed)).cast("int")
+    return F.format_string("%02d min %02d sec", minutes, seconds)

@@ -8,6 +8,7 @@ from functools import reduce
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tallypanel.functions.days import run_time_label
 from tallypanel.functions.numbers import delta_name
 from tallypanel.functions.text import thousands
 
@@ -61,8 +62,9 @@ def duplicate_days(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     return counts.where(F.col("rows") > 1)
 
 
-def run_summary(tables: Mapping[str, DataFrame], ts: str) -> DataFrame:
-    """Per table, the line count (also as text) and the last day."""
+def run_summary(tables: Mapping[str, DataFrame], ts: str, stamp: bool = False) -> DataFrame:
+    """Per table, the line count (also as text), the last day and, with ``stamp``, the
+    time of the run."""
     parts = [
         df.agg(F.count("*").alias("lines"), F.max(ts).alias("max_day")).select(
             F.lit(name).alias("dataset"),
@@ -72,4 +74,5 @@ def run_summary(tables: Mapping[str, DataFrame], ts: str) -> DataFrame:
         )
         for name, df in tables.items()
     ]
-    return reduce(DataFrame.unionByName, parts)
+    summary = reduce(DataFrame.unionByName, parts)
+    return summary.withColumn("run_at", run_time_label()) if stamp else summary

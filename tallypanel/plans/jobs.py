@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallypanel.operators import aggregate as agg
-from tallypanel.operators import lookup, segmented, series, shape, spine
+from tallypanel.operators import lookup, quality, segmented, series, shape, spine
 from tallypanel.session import materialize
 from tallypanel.sinks import files as sinks
 from tallypanel.sources import feeds, files
@@ -195,14 +195,17 @@ def run_jobs(
     out_dir: str,
     names: Sequence[str] = tuple(JOBS),
     layout: str = "document",
-) -> None:
+) -> DataFrame:
     """Build the named tables from landed files and replace ``<out_dir>/<name>/csv`` and
-    ``<out_dir>/<name>/json``. Jobs on the same feed share its parsed rows."""
+    ``<out_dir>/<name>/json``. Jobs on the same feed share its parsed rows. Returns the
+    summary of the run."""
     loaded: dict[str, DataFrame] = {}
+    tables: dict[str, DataFrame] = {}
     for name in names:
         job = JOBS[name]
         if job.feed not in loaded:
             loaded[job.feed] = load_feed(spark, job.feed, inputs, layout)
-        table = materialize(job.build(spark, loaded[job.feed], inputs), name)
-        sinks.write_csv(table, f"{out_dir}/{name}/csv", job.order)
-        sinks.write_json(table, f"{out_dir}/{name}/json", job.order)
+        tables[name] = materialize(job.build(spark, loaded[job.feed], inputs), name)
+        sinks.write_csv(tables[name], f"{out_dir}/{name}/csv", job.order)
+        sinks.write_json(tables[name], f"{out_dir}/{name}/json", job.order)
+    return quality.run_summary(tables, TS, stamp=True)

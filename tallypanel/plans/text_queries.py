@@ -87,10 +87,9 @@ seconds AS (SELECT user_id, us // 1000000 AS s FROM spans)
 SELECT user_id, format('{{:02d}} min {{:02d}} sec', (s // 60) % 60, s % 60) AS label FROM seconds""",
 )
 def elapsed_label(spark: SparkSession, sf_dir: str) -> DataFrame:
-    utc = F.unix_micros(F.col("ts").cast("timestamp"))
-    span = F.floor((F.max(utc) - F.min(utc)) / 1_000_000)
-    spans = table(spark, sf_dir, "events").groupBy("user_id").agg(span.alias("seconds"))
-    return spans.select("user_id", text.elapsed_label(F.col("seconds")).alias("label"))
+    span = (F.max("ts") - F.min("ts")).alias("span")
+    spans = table(spark, sf_dir, "events").groupBy("user_id").agg(span)
+    return spans.select("user_id", text.elapsed_label(F.col("span")).alias("label"))
 
 
 @query(

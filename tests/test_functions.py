@@ -43,7 +43,8 @@ def test_whitespace_is_what_strip_removes():
 
 def test_elapsed_label(spark):
     seconds = [0, 59, 60, 3599, 3600, 90061]
-    got = values(spark, [(s,) for s in seconds], "v long", text.elapsed_label(F.col("v")))
+    rows = [(dt.timedelta(seconds=s, microseconds=7),) for s in seconds]
+    got = values(spark, rows, "v interval day to second", text.elapsed_label(F.col("v")))
     assert got == [
         "00 min 00 sec", "00 min 59 sec", "01 min 00 sec", "59 min 59 sec", "00 min 00 sec", "01 min 01 sec",
     ]
@@ -59,6 +60,8 @@ def test_parse_day(spark):
         dt.date(2020, 1, 2),
         dt.date(2020, 12, 31),
     ]
+    padded = texts(spark, ["01-02-2020"], lambda c: days.parse_day(c, "MM-dd-yyyy"))
+    assert padded == [dt.date(2020, 1, 2)]
     with pytest.raises(Exception, match="2020-13-01"):
         texts(spark, ["2020-13-01"], days.parse_day)
     assert texts(spark, ["2020-13-01"], lambda c: days.parse_day(c, strict=False)) == [None]
@@ -76,6 +79,13 @@ def test_local_time_label(spark):
     assert got == ["05-05-2020 01:45IST"]
 
 
+def test_run_time_label(spark):
+    india = dt.timezone(dt.timedelta(hours=5, minutes=30))
+    before = dt.datetime.now(india).replace(second=0, microsecond=0, tzinfo=None)
+    label = spark.range(1).select(days.run_time_label()).first()[0]
+    assert before <= dt.datetime.strptime(label, "%m-%d-%Y %H:%MIST") <= before + dt.timedelta(minutes=2)
+
+
 def test_safe_ratio(spark):
     rows = [(1.0, 2.0), (1.0, 0.0), (0.0, 0.0), (None, 1.0), (1.0, None)]
     got = values(spark, rows, "a double, b double", numbers.safe_ratio(F.col("a"), F.col("b")))

@@ -76,7 +76,9 @@ def landed(tmp_path_factory):
 @pytest.fixture(scope="module")
 def tables(spark, landed):
     _, inputs, out = landed
-    jobs.run_jobs(spark, inputs, out)
+    summary = {r["dataset"]: r for r in jobs.run_jobs(spark, inputs, out).collect()}
+    assert list(summary) == list(jobs.JOBS)
+    assert str(summary["world"]["max_day"]) == "2020-03-16" and summary["world"]["lines"] == 17
     return {name: (read_csv(f"{out}/{name}/csv"), read_json(f"{out}/{name}/json")) for name in jobs.JOBS}
 
 
