@@ -39,16 +39,20 @@ def _heavy_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
 
 
 def left_join(
-    df: DataFrame, dim: DataFrame, on: Sequence[str], max_bytes: int = BROADCAST_BYTES
+    df: DataFrame,
+    dim: DataFrame,
+    on: Sequence[str],
+    max_bytes: int = BROADCAST_BYTES,
+    small: bool | None = None,
 ) -> DataFrame:
     """``df`` left join ``dim``, which has at most one row per ``on``.
 
     A dimension measured below ``max_bytes`` is broadcast. A larger one is joined by
     shuffle, with the rows of heavy keys spread over ``SALTS`` salts and only those
-    keys' dimension rows repeated.
+    keys' dimension rows repeated. ``small`` is the answer of ``fits``, if already known.
     """
     on = list(on)
-    if fits(dim, max_bytes):
+    if fits(dim, max_bytes) if small is None else small:
         joined = df.join(F.broadcast(dim), on, "left")
         return joined.select(*df.columns, *[c for c in dim.columns if c not in on])
     heavy = _heavy_keys(df, on)
@@ -83,11 +87,12 @@ def standardize(
     current: str = "current",
     subs: str = "subs",
     max_bytes: int = BROADCAST_BYTES,
+    small: bool | None = None,
 ) -> DataFrame:
     """Replace names found in ``lookup``; other names stay. ``lookup`` must hold one row
     per ``current`` (see ``unique_lookup``)."""
     names = lookup.select(F.col(current).alias(column), F.col(subs).alias("_subs"))
-    joined = left_join(df, names, [column], max_bytes)
+    joined = left_join(df, names, [column], max_bytes, small)
     return joined.withColumn(column, F.coalesce("_subs", column)).select(*df.columns)
 
 

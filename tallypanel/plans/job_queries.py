@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallypanel.operators import spine
 from tallypanel.plans import jobs
 from tallypanel.plans.catalog import day_text, query
 from tallypanel.plans.metric_queries import DOUBLING
@@ -22,6 +21,7 @@ from tallypanel.plans.panels import (
     nation_orders,
     table,
 )
+from tallypanel.session import materialize
 
 DERIVED = "newConfirmed newRecovered newDeaths growthRate movingAvg doublingTime"
 
@@ -129,7 +129,8 @@ SELECT {_shown(jobs.COUNTRY_COLUMNS)} FROM placed"""
 
 
 def _country(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
-    feed = nation_orders(spark, sf_dir).withColumnRenamed("n_name", "country")
+    daily = nation_orders(spark, sf_dir).withColumnRenamed("n_name", "country")
+    feed = materialize(daily, "nation-orders")
     names = spark.createDataFrame(COUNTRY_NAMES, "current string, subs string")
     nation = table(spark, sf_dir, "nation")
     coordinates = nation.select(
@@ -137,10 +138,7 @@ def _country(spark: SparkSession, sf_dir: str, **options: int) -> DataFrame:
         F.col("n_nationkey").cast("double").alias("lat"),
         F.col("n_regionkey").cast("double").alias("long"),
     )
-    # Each order has a row in the feed, so its days are those of the orders.
-    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias(TS))
-    days = spine.observed_days(orders, TS)
-    return jobs.country_job(feed, names, coordinates, days, **options)
+    return jobs.country_job(feed, names, coordinates, **options)
 
 
 @query("country_job", COUNTRY)

@@ -96,7 +96,6 @@ def country_job(
     feed: DataFrame,
     names: DataFrame,
     coordinates: DataFrame,
-    days: DataFrame | None = None,
     max_bytes: int = lookup.BROADCAST_BYTES,
     max_rows: int = segmented.ROWS_PER_SEGMENT,
     segments: int | None = None,
@@ -106,20 +105,20 @@ def country_job(
     Names are replaced but rows are not summed again, so two names that become one keep
     two rows a day, ordered by their former name. That leaves the rows per country
     without bound: countries with more than ``max_rows`` go apart and their series are
-    cut into ``segments``. ``days`` may come from a cheaper source with the same days as
-    ``feed``.
+    cut into ``segments``. ``feed`` is read for its days, its counts and its rows, so it
+    should be a stored table.
     """
     rows = feed.select("country", TS, *METRICS, F.col("country").alias("_former"))
     named = lookup.standardize(rows, "country", names, max_bytes=max_bytes)
-    days = spine.observed_days(feed, TS) if days is None else days
-    # Written out, so that both ways below see the same countries.
-    hot = materialize(agg.hot_groups(named, ["country"], max_rows), "hot")
+    days = spine.observed_days(feed, TS)
+    hot = agg.hot_groups(named, ["country"], max_rows)
     hot_rows = hot.agg(F.sum("_rows")).first()[0]
     if hot_rows is None:
         df = _keyed_metrics(named, "country", days, ["_former"])
     else:
         cut = segments or segmented.segments_for(feed.sparkSession, hot_rows)
-        keys = hot.select("country")
+        # Written out, so that it is not counted again for either way.
+        keys = materialize(hot.select("country"), "hot")
         usual = named.join(F.broadcast(keys), "country", "left_anti")
         large = named.join(F.broadcast(keys), "country", "left_semi")
         df = _keyed_metrics(usual, "country", days, ["_former"]).unionByName(
@@ -134,9 +133,9 @@ def regional_job(
 ) -> DataFrame:
     """One trimmed series per state; states that become one name are summed."""
     # A large lookup is joined by shuffle: then rows are summed before it as well.
-    if not lookup.fits(names, max_bytes):
-        feed = agg.aggregate(feed, ["state"], TS, METRICS)
-    named = lookup.standardize(feed, "state", names, max_bytes=max_bytes)
+    small = lookup.fits(names, max_bytes)
+    rows = feed if small else agg.aggregate(feed, ["state"], TS, METRICS)
+    named = lookup.standardize(rows, "state", names, small=small)
     totals = agg.aggregate(named, ["state"], TS, METRICS)
     # The days come from the feed's own columns, not from the sums above.
     days = spine.observed_days(feed.dropna(subset=["state"]), TS)
