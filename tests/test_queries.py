@@ -7,6 +7,8 @@ import pytest
 import __spark_entry__ as contract
 from oracle import compare, duck
 
+from tallypanel.plans import panels
+
 SF_DIR = os.environ.get("TALLYPANEL_SF_DIR", "/root/testdata/sf0.001")
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
@@ -33,6 +35,12 @@ def test_query(spark, tables, name):
     assert compare(tables, contract.oracle_sql()[name], df) is None
 
 
+def test_declared_schemas(spark):
+    for name, declared in panels.SCHEMAS.items():
+        found = spark.read.parquet(f"{SF_DIR}/{name}.parquet")
+        assert found.dtypes == panels.table(spark, SF_DIR, name).dtypes, (name, declared)
+
+
 def test_entry(spark):
     df = contract.entry(spark)
     assert df.columns[:2] == ["country", "timestamp"] and df.limit(1).count() == 1
