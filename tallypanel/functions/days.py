@@ -9,8 +9,13 @@ DAY_LABEL = "MM-dd-yyyy"
 
 
 def parse_day(text: Column, fmt: str = "yyyy-M-d", strict: bool = True) -> Column:
-    """Text to date. Bad text fails the job; ``strict=False`` gives NULL instead."""
-    return F.to_date(text, fmt) if strict else F.try_to_date(text, fmt)
+    """Text to date. Bad text fails the job, whatever the session's ANSI setting;
+    ``strict=False`` gives NULL instead."""
+    day = F.try_to_date(text, fmt)
+    if not strict:
+        return day
+    bad = F.raise_error(F.concat(F.lit("no such day: "), text)).cast("date")
+    return F.when(text.isNull() | day.isNotNull(), day).otherwise(bad)
 
 
 def day_label(day: Column) -> Column:

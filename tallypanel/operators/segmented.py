@@ -20,6 +20,8 @@ from tallypanel.operators import spine
 from tallypanel.session import materialize
 
 ROWS_PER_SEGMENT = 4_000_000
+# A shuffle into more parts costs more than larger parts do.
+MOST_SEGMENTS = 50_000
 
 
 @dataclass(frozen=True)
@@ -76,7 +78,8 @@ class Segments:
 
 def segments_for(spark: SparkSession, rows: int) -> int:
     """Enough segments for the rows and for all tasks of a shuffle."""
-    return max(-(-rows // ROWS_PER_SEGMENT), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return max(min(-(-rows // ROWS_PER_SEGMENT), MOST_SEGMENTS), tasks)
 
 
 def segment(

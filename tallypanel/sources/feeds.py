@@ -12,15 +12,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallypanel.functions.days import parse_day
-from tallypanel.operators.shape import drop_strict, rename
+from tallypanel.operators.shape import rename
 
-# The fields of the two feeds.
-MAP_FEED = "map<string, array<struct<date: string, confirmed: bigint, deaths: bigint, recovered: bigint>>>"
-HISTORY_FEED = (
+# The fields of the two feeds that the tables need. Others are not parsed.
+MAP_FEED = (
+    "map<string, array<struct<date: string, confirmed: bigint, deaths: bigint, recovered: bigint>>>"
+)
+HISTORY_SUMMARY = (
     "struct<data: array<struct<day: string, "
-    "summary: struct<total: bigint, discharged: bigint, deaths: bigint>, "
-    "regional: array<struct<loc: string, totalConfirmed: bigint, discharged: bigint, "
-    "deaths: bigint, confirmedCasesForeign: bigint, confirmedCasesIndian: bigint>>>>>"
+    "summary: struct<total: bigint, discharged: bigint, deaths: bigint>>>>"
+)
+HISTORY_REGIONS = (
+    "struct<data: array<struct<day: string, regional: "
+    "array<struct<loc: string, totalConfirmed: bigint, discharged: bigint, deaths: bigint>>>>>"
 )
 
 
@@ -41,13 +45,13 @@ def flatten_map_feed(docs: DataFrame, value: str = "value", key: str = "country"
     return entries.select(key, F.inline("_records"))
 
 
-def _history_days(docs: DataFrame, value: str) -> DataFrame:
-    return docs.select(F.inline(_parsed(F.col(value), HISTORY_FEED)["data"]))
+def _history_days(docs: DataFrame, value: str, schema: str) -> DataFrame:
+    return docs.select(F.inline(_parsed(F.col(value), schema)["data"]))
 
 
 def flatten_history_summary(docs: DataFrame, value: str = "value") -> DataFrame:
     """One row per day with the summary's counters."""
-    return _history_days(docs, value).select(
+    return _history_days(docs, value, HISTORY_SUMMARY).select(
         "day",
         F.col("summary.total").alias("confirmed"),
         F.col("summary.discharged").alias("recovered"),
@@ -57,11 +61,10 @@ def flatten_history_summary(docs: DataFrame, value: str = "value") -> DataFrame:
 
 def flatten_history_regions(docs: DataFrame, value: str = "value") -> DataFrame:
     """One row per day and region with the region's counters."""
-    regions = _history_days(docs, value).select("day", F.inline("regional"))
-    renamed = rename(
+    regions = _history_days(docs, value, HISTORY_REGIONS).select("day", F.inline("regional"))
+    return rename(
         regions, {"loc": "state", "totalConfirmed": "confirmed", "discharged": "recovered"}
     )
-    return drop_strict(renamed, ["confirmedCasesForeign", "confirmedCasesIndian"])
 
 
 def with_day(df: DataFrame, text: str, fmt: str = "yyyy-M-d", out: str = "timestamp") -> DataFrame:

@@ -62,8 +62,15 @@ def test_parse_day(spark):
     ]
     padded = texts(spark, ["01-02-2020"], lambda c: days.parse_day(c, "MM-dd-yyyy"))
     assert padded == [dt.date(2020, 1, 2)]
-    with pytest.raises(Exception, match="2020-13-01"):
-        texts(spark, ["2020-13-01"], days.parse_day)
+    ansi = spark.conf.get("spark.sql.ansi.enabled")
+    for setting in ("true", "false"):
+        spark.conf.set("spark.sql.ansi.enabled", setting)
+        try:
+            with pytest.raises(Exception, match="2020-13-01"):
+                texts(spark, ["2020-13-01"], days.parse_day)
+        finally:
+            spark.conf.set("spark.sql.ansi.enabled", ansi)
+    assert texts(spark, [None], days.parse_day) == [None]
     assert texts(spark, ["2020-13-01"], lambda c: days.parse_day(c, strict=False)) == [None]
 
 
