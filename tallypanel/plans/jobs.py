@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -205,6 +206,11 @@ def run_jobs(
         if job.feed not in loaded:
             loaded[job.feed] = load_feed(spark, job.feed, inputs, layout)
         tables[name] = materialize(job.build(spark, loaded[job.feed], inputs), name)
-        sinks.write_csv(tables[name], f"{out_dir}/{name}/csv", job.order)
-        sinks.write_json(tables[name], f"{out_dir}/{name}/json", job.order)
+        # Sorted once for both; a lost part is sorted again from the stored table.
+        ordered = tables[name].orderBy(*job.order).persist(StorageLevel.DISK_ONLY)
+        try:
+            sinks.write_csv(ordered, f"{out_dir}/{name}/csv")
+            sinks.write_json(ordered, f"{out_dir}/{name}/json")
+        finally:
+            ordered.unpersist()
     return quality.run_summary(tables, TS, stamp=True)
