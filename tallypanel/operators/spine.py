@@ -45,16 +45,15 @@ def seeded_days(df: DataFrame, ts: str, seed_days: int = 1) -> DataFrame:
 def _own_or_fill(df: DataFrame, columns: Sequence[str], fixed: Sequence[str]) -> list[Column]:
     """The ``columns`` of an own row; on added rows 0 for numbers and NULL for the rest."""
     out = []
-    for field in df.schema:
-        if field.name not in columns:
-            continue
-        if field.name in fixed:
-            out.append(F.col(field.name))
-            continue
-        value = F.when(F.col("_own"), F.col(field.name))
-        if isinstance(field.dataType, T.NumericType):
-            value = F.coalesce(value, F.lit(0).cast(field.dataType))
-        out.append(value.alias(field.name))
+    for name in columns:
+        kind = df.schema[name].dataType
+        if name in fixed:
+            out.append(F.col(name))
+        elif isinstance(kind, T.NumericType):
+            zero = f"CAST(0 AS {kind.simpleString()})"
+            out.append(F.expr(f"coalesce(if(_own, `{name}`, NULL), {zero}) AS `{name}`"))
+        else:
+            out.append(F.expr(f"if(_own, `{name}`, NULL) AS `{name}`"))
     return out
 
 

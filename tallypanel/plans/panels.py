@@ -100,10 +100,11 @@ def nation_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("c_custkey").alias("o_custkey"), F.col("c_nationkey").alias("n_nationkey")
     )
     nation = table(spark, sf_dir, "nation").select("n_nationkey", "n_name")
+    homes = customer.join(nation, "n_nationkey", "left").drop("n_nationkey")
     orders = table(spark, sf_dir, "orders").select(
         "o_custkey", "o_orderstatus", F.to_date("o_orderdate").alias(TS)
     )
-    named = add_dimension(add_dimension(orders, customer, ["o_custkey"]), nation, ["n_nationkey"])
+    named = add_dimension(orders, homes, ["o_custkey"])
     return named.groupBy("n_name", TS).agg(
         F.count("*").alias("confirmed"),
         F.count_if(F.col("o_orderstatus") == "F").alias("recovered"),
