@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import shutil
 import tempfile
 import uuid
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
 
+SETTING = "spark.checkpoint.dir"
+# Local mode only: the folder used while the setting is unset, by application.
+_LOCAL: dict[str, str] = {}
+# Scratch paths that are not yet released, by application.
+_PATHS: dict[str, list[str]] = {}
+
 
 def build_session(
     app: str = "tallypanel", cpus: int | str = "*", extra: Mapping[str, str] | None = None
@@ -30,19 +37,35 @@ def build_session(
     return spark
 
 
-def scratch_path(spark: SparkSession, name: str) -> str:
-    """A fresh path below the folder that ``spark.checkpoint.dir`` names.
+def scratch_base(spark: SparkSession) -> str:
+    """The folder for data between jobs: the one ``spark.checkpoint.dir`` names.
 
-    Executors on other machines must see the folder, so a machine-local one is
-    accepted in local mode only.
+    Executors on other machines must see it. Outside local mode it must therefore be
+    set, and a path without a scheme counts only if the cluster's default file system
+    is not the machine's own; a shared mount is named as ``file://``. In local mode a
+    temporary folder serves while the setting is unset.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
+    base = spark.conf.get(SETTING, None)
+    master = spark.conf.get("spark.master", "")
+    local = master == "local" or master.startswith("local[")
     if not base:
-        if not spark.conf.get("spark.master", "").startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        base = tempfile.mkdtemp(prefix="tallypanel-")
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+        if not local:
+            raise ValueError(f"set {SETTING} to a folder all executors share")
+        app = spark.sparkContext.applicationId
+        if app not in _LOCAL:
+            _LOCAL[app] = tempfile.mkdtemp(prefix="tallypanel-")
+        return _LOCAL[app]
+    default = spark.sparkContext._jsc.hadoopConfiguration().get("fs.defaultFS", "file:///")
+    if not local and "://" not in base and not base.startswith("file:") and default.startswith("file:"):
+        raise ValueError(f"{SETTING}={base} is a folder of each machine; name a shared one")
+    return base.rstrip("/")
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path in the scratch folder; ``release`` deletes it."""
+    path = f"{scratch_base(spark)}/{name}-{uuid.uuid4().hex}"
+    _PATHS.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
 
 
 def materialize(df: DataFrame, name: str) -> DataFrame:
@@ -51,3 +74,21 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def mark(spark: SparkSession) -> int:
+    """How many scratch paths there are now; ``release`` can spare them."""
+    return len(_PATHS.get(spark.sparkContext.applicationId, ()))
+
+
+def release(spark: SparkSession, since: int = 0) -> None:
+    """Delete the scratch written after ``mark`` gave ``since``; DataFrames that read it
+    are of no use afterwards."""
+    paths = _PATHS.get(spark.sparkContext.applicationId, [])
+    jvm = spark.sparkContext._jvm
+    for path in paths[since:]:
+        target = jvm.org.apache.hadoop.fs.Path(path)
+        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+    del paths[since:]
+    if not since and (folder := _LOCAL.pop(spark.sparkContext.applicationId, None)):
+        shutil.rmtree(folder, ignore_errors=True)

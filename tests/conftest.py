@@ -5,13 +5,13 @@ import pytest
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
-from tallypanel.session import build_session  # noqa: E402
+from tallypanel.session import build_session, release  # noqa: E402
 
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
-    session = build_session("tests", cpus=8)
-    if not session.conf.get("spark.checkpoint.dir", None):
-        session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
+    shared = str(tmp_path_factory.mktemp("shared"))
+    session = build_session("tests", cpus=8, extra={"spark.checkpoint.dir": shared})
     yield session
+    release(session)
     session.stop()
