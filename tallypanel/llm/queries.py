@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from tallypanel.llm import line_dedup, mixing
+import public_tokenizers
+
+from tallypanel.llm import bpe, line_dedup, mixing, quality_fm, toxicity
 from tallypanel.llm.common import table
 
 QUERIES = {}
@@ -96,3 +98,21 @@ MIX_COLUMNS = ["doc_id", "source", "size", "source_size", "weight", "target", "c
 )
 def op8_source_mixing(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents")).select(*MIX_COLUMNS)
+
+
+@query("op2_toxicity")
+def op2_toxicity(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op7_byte_bpe")
+def op7_byte_bpe(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return bpe.token_report(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op10_quality_fm")
+def op10_quality_fm(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return quality_fm.quality(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))

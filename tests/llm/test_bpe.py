@@ -1,0 +1,73 @@
+"""Against the tiktoken library, and exact round trips."""
+
+import hashlib
+
+import numpy as np
+import public_tokenizers
+import pytest
+import tiktoken
+from hypothesis import given, settings
+from hypothesis import strategies as st
+
+from tallypanel.llm import bpe
+
+PATH = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+RAW = bpe.read_vocabulary(PATH)
+CODER = bpe.encoder(RAW, public_tokenizers.PATTERN)
+THEIRS = tiktoken.Encoding(
+    "own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=bpe.parse_ranks(RAW), special_tokens={}
+)
+
+TEXTS = [
+    "", " ", "  ", "a", "\n", " a", "a ", "a  b", "a \n b", "\na b", "a\n b", "a\t b c", "don't we'll",
+    "x" * 300, "ab" * 700, "é" * 400, "日本語 テスト", "a b 　 c", "1234 5678 90", "!!! ??? ...",
+    "the and\r\nof", "  x", "emoji 😀😀 y", "a\x1cb \x1d c", "  lead", "trail  ", " \n \n", "<|endoftext|> z",
+]
+
+
+def check(texts):
+    for text, ids in zip(texts, CODER.encode(list(texts))):
+        assert np.frombuffer(ids, "<u4").tolist() == THEIRS.encode_ordinary(text), text[:80]
+        assert CODER.decode(ids) == text.encode()
+
+
+def test_edges():
+    check(TEXTS)
+    for text in TEXTS:
+        check([text])
+
+
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.text(st.sampled_from("ab éß 1!'\n\t x日"), max_size=90), max_size=6))
+def test_random(texts):
+    check(texts)
+
+
+def test_one_tree_and_many_agree():
+    words = ["thingering", "aaaaaaaaaaaa", "ñandúñandú", "zzz#$%"]
+    for word in words:
+        raw = word.encode()
+        assert CODER._merge_one(raw) == CODER._merge_many([raw], 16)[0]
+
+
+def test_documents(spark):
+    rows = [(i, t, "s") for i, t in enumerate(TEXTS)] + [(None, None, None), (3, TEXTS[3], "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, n_tokens string")
+    got = bpe.token_report(docs, PATH, public_tokenizers.PATTERN).collect()
+    assert len(got) == len(rows)
+    by_id = {r["doc_id"]: r for r in got}
+    for i, text, _ in rows:
+        ids = np.array(THEIRS.encode_ordinary(text or ""), "<u4").tobytes()
+        assert by_id[i]["n_tokens"] == len(ids) // 4
+        assert by_id[i]["ids_sha256"] == hashlib.sha256(ids).hexdigest()
+        assert by_id[i]["decoded_sha256"] == hashlib.sha256((text or "").encode()).hexdigest()
+    coded = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN)
+    assert coded.columns == ["doc_id", "n_tokens", "token_ids"]
+    back = {r["doc_id"]: r["text"] for r in bpe.decode_tokens(coded, PATH).collect()}
+    assert back == {i: t or "" for i, t, _ in rows}
+    assert bpe.token_report(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+@pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 8, 9, 31, 64, 65, 255, 256, 257])
+def test_widths(length):
+    check(["q" * length, " " + "lo" * length])
