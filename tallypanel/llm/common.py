@@ -10,6 +10,7 @@ one document, and each of them gets its result.
 from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -22,7 +23,14 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["doc", "fp"]
 
 
+def prepare(spark: SparkSession) -> None:
+    """Let Python workers import this package from where the driver has it. On a cluster
+    without that folder it is installed on the machines or sent by ``--py-files``."""
+    spark.sparkContext.environment.setdefault("PYTHONPATH", str(Path(__file__).resolve().parents[2]))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    prepare(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallypanel.llm import bpe, line_dedup, mixing, quality_fm, toxicity
+from tallypanel.llm import bpe, line_dedup, mixing, quality_fm, quality_rules, toxicity
 from tallypanel.llm.common import table
 
 QUERIES = {}
@@ -116,3 +116,8 @@ def op7_byte_bpe(spark, sf_dir):
 def op10_quality_fm(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     return quality_fm.quality(docs, quality_fm.fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query("op9_quality_rules")
+def op9_quality_rules(spark, sf_dir):
+    return quality_rules.judge(table(spark, sf_dir, "documents"))
