@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallypanel.llm import bpe, line_dedup, mixing, quality_fm, quality_rules, toxicity
+from tallypanel.llm import bpe, line_dedup, mixing, ngram_join, quality_fm, quality_rules, toxicity
 from tallypanel.llm.common import table
 
 QUERIES = {}
@@ -121,3 +121,9 @@ def op10_quality_fm(spark, sf_dir):
 @query("op9_quality_rules")
 def op9_quality_rules(spark, sf_dir):
     return quality_rules.judge(table(spark, sf_dir, "documents"))
+
+
+@query("op4_ngram_jaccard_join")
+def op4_ngram_jaccard_join(spark, sf_dir):
+    found = ngram_join.similar_documents(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "class_id", "n_links", "kept")
