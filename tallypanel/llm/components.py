@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,3 +35,16 @@ def components(edges: DataFrame) -> DataFrame:
         roots = found.select("v", "root")
         if not found.where("changed").limit(1).count():
             return roots
+
+
+def forest(linked: np.ndarray) -> np.ndarray:
+    """Smallest member reachable from each, of a symmetric matrix of links."""
+    n = len(linked)
+    root = np.arange(n)
+    while True:
+        near = np.where(linked, root[None], n).min(1, initial=n)
+        new = np.minimum(root, near)
+        new = new[new]
+        if (new == root).all():
+            return root
+        root = new

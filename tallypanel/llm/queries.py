@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallypanel.llm import bpe, line_dedup, mixing, ngram_join, quality_fm, quality_rules, toxicity
+from tallypanel.llm import bpe, line_dedup, mixing, ngram_join, nn_descent, quality_fm, quality_rules, toxicity
 from tallypanel.llm.common import table
 
 QUERIES = {}
@@ -127,3 +127,34 @@ def op9_quality_rules(spark, sf_dir):
 def op4_ngram_jaccard_join(spark, sf_dir):
     found = ngram_join.similar_documents(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "class_id", "n_links", "kept")
+
+
+
+@query(
+    "op5_embedding_near_dedup",
+    """
+    WITH RECURSIVE good AS (
+      SELECT vec_id, label, embedding::DOUBLE[] AS e FROM embeddings
+      WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+        AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        AND len(list_filter(embedding, lambda x: x <> 0)) > 0
+    ),
+    links AS (
+      SELECT a.vec_id AS a, b.vec_id AS b FROM good a
+      JOIN good b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+      WHERE list_cosine_similarity(a.e, b.e) >= 0.93
+    ),
+    reach AS (
+      SELECT a AS v, a AS w FROM links
+      UNION
+      SELECT r.v, l.b FROM reach r JOIN links l ON r.w = l.a
+    ),
+    roots AS (SELECT v, min(w) AS root FROM reach GROUP BY v),
+    counts AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+    SELECT e.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, coalesce(r.root, e.vec_id) AS component_id,
+      coalesce(r.root, e.vec_id) = e.vec_id AS kept
+    FROM embeddings e LEFT JOIN roots r ON e.vec_id = r.v LEFT JOIN counts c ON e.vec_id = c.a
+    """,
+)
+def op5_embedding_near_dedup(spark, sf_dir):
+    return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
