@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallypanel.llm import bpe, line_dedup, mixing, ngram_join, nn_descent, quality_fm, quality_rules, toxicity
+from tallypanel.llm import bpe, line_dedup, lm_score, mixing, ngram_join, nn_descent, preferences, quality_fm, quality_rules, toxicity
 from tallypanel.llm.common import table
 
 QUERIES = {}
@@ -158,3 +158,71 @@ def op4_ngram_jaccard_join(spark, sf_dir):
 )
 def op5_embedding_near_dedup(spark, sf_dir):
     return nn_descent.near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+PREFERENCE_COLUMNS = [
+    "pair_id", "chosen", "rejected", "prefix_turns", "prompt", "chosen_text", "rejected_text",
+    "chosen_loss_chars", "rejected_loss_chars",
+]
+
+
+@query(
+    "op6_preference_formatting",
+    r"""
+    WITH turns AS (
+      SELECT conv_id, coalesce(role, '') AS role, coalesce(text, '') AS text,
+        row_number() OVER (PARTITION BY conv_id
+          ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) - 1 AS place
+      FROM conversations
+    ),
+    keyed AS (SELECT *, md5(role || chr(10) || text) AS key FROM turns),
+    paths AS (
+      SELECT conv_id, string_agg(key, '' ORDER BY place) AS path, count(*) AS turns FROM keyed GROUP BY conv_id
+    ),
+    dealt AS (
+      SELECT conv_id, turns, (row_number() OVER (ORDER BY path, conv_id NULLS FIRST) - 1) // 2 AS pair_id FROM paths
+    ),
+    best AS (
+      SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turns DESC, conv_id NULLS FIRST) AS r,
+        count(*) OVER (PARTITION BY pair_id) AS n
+      FROM dealt
+    ),
+    pairs AS (
+      SELECT pair_id, max(conv_id) FILTER (WHERE r = 1) AS chosen, max(conv_id) FILTER (WHERE r = 2) AS rejected
+      FROM best WHERE n = 2 GROUP BY pair_id
+    ),
+    told AS (
+      SELECT p.pair_id, true AS is_chosen, k.* FROM pairs p JOIN keyed k ON p.chosen IS NOT DISTINCT FROM k.conv_id
+      UNION ALL
+      SELECT p.pair_id, false AS is_chosen, k.* FROM pairs p JOIN keyed k ON p.rejected IS NOT DISTINCT FROM k.conv_id
+    ),
+    places AS (
+      SELECT pair_id, place, max(key) FILTER (WHERE is_chosen) AS c, max(key) FILTER (WHERE NOT is_chosen) AS r
+      FROM told GROUP BY pair_id, place
+    ),
+    ends AS (
+      SELECT pair_id, coalesce(min(place) FILTER (WHERE c IS DISTINCT FROM r), max(place) + 1) AS prefix_turns
+      FROM places GROUP BY pair_id
+    ),
+    shown AS (
+      SELECT t.*, e.prefix_turns, '<|' || role || '|>' || chr(10) || text || '<|end|>' || chr(10) AS piece,
+        CASE WHEN role = 'assistant' THEN length(text) + 8 ELSE 0 END AS loss
+      FROM told t JOIN ends e USING (pair_id)
+    )
+    SELECT p.pair_id, p.chosen, p.rejected, any_value(s.prefix_turns) AS prefix_turns,
+      coalesce(string_agg(piece, '' ORDER BY place) FILTER (WHERE is_chosen AND place < s.prefix_turns), '') AS prompt,
+      coalesce(string_agg(piece, '' ORDER BY place) FILTER (WHERE is_chosen AND place >= s.prefix_turns), '') AS chosen_text,
+      coalesce(string_agg(piece, '' ORDER BY place) FILTER (WHERE NOT is_chosen AND place >= s.prefix_turns), '') AS rejected_text,
+      coalesce(sum(loss) FILTER (WHERE is_chosen AND place >= s.prefix_turns), 0)::BIGINT AS chosen_loss_chars,
+      coalesce(sum(loss) FILTER (WHERE NOT is_chosen AND place >= s.prefix_turns), 0)::BIGINT AS rejected_loss_chars
+    FROM pairs p JOIN shown s USING (pair_id) GROUP BY p.pair_id, p.chosen, p.rejected
+    """,
+)
+def op6_preference_formatting(spark, sf_dir):
+    return preferences.format_pairs(table(spark, sf_dir, "conversations")).select(*PREFERENCE_COLUMNS)
+
+
+@query("op3_lm_scoring")
+def op3_lm_scoring(spark, sf_dir):
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    return lm_score.score(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
