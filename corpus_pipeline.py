@@ -1,30 +1,61 @@
-"""From documents to training tokens, stage by stage."""
+"""From documents to training tokens, stage by stage.
+
+Each stage is a function of a table of documents and returns one with the same columns, but
+for the last, which returns token ids. ``run`` writes each stage's result to shared scratch and
+reads it again, so a lost executor costs no more than the stage at work.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from tallypanel.llm import line_dedup, mixing
-from tallypanel.llm.common import table
+from tallypanel.llm import bpe, line_dedup, mixing, ngram_join, toxicity
+from tallypanel.llm.common import prepare, table
 from tallypanel.session import materialize
 
-# Thresholds, links and token ids cannot be expressed in SQL.
+VOCABULARY = "byte_bpe_multi_50k.tiktoken"
+# A trained classifier, links and token ids cannot be expressed in SQL.
 ORACLE_SQL = None
 
 
+def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that score at or above the threshold of their language go. The classifier
+    is trained on the labelled documents of the input folder."""
+    prepare(spark)
+    labels = table(spark, sf_dir, "labels")
+    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+
+
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines found in 10 or more documents go; all documents stay."""
+    prepare(spark)
     return line_dedup.dedup_lines(docs)
 
 
+def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of documents linked by five-word runs, the one with the smallest id stays."""
+    prepare(spark)
+    return ngram_join.drop_similar(docs)
+
+
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each source near its target share; a document taken n times has n rows."""
     return mixing.mixed_documents(docs)
 
 
+def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Token ids in place of texts."""
+    prepare(spark)
+    return bpe.encode_documents(docs, public_tokenizers.path(VOCABULARY), public_tokenizers.PATTERN)
+
+
 STAGES = [
+    ("toxicity", drop_toxic),
     ("line dedup", drop_common_lines),
+    ("n-gram Jaccard join", drop_near_copies),
     ("mixing", mix_sources),
+    ("byte-level BPE", tokenize),
 ]
 
 
@@ -32,5 +63,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over ``documents``, each written and read again by the next."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name.replace(' ', '-')}")
     return docs
