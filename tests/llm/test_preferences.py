@@ -1,0 +1,60 @@
+import os
+
+import pytest
+
+from oracle import compare, duck
+from tallypanel.llm import preferences, queries
+
+SCHEMA = "conv_id long, turn long, role string, text string, place string, key int"
+SF_DIR = os.environ.get("TALLYPANEL_SF_DIR", "/root/testdata/sf0.001")
+
+
+def frame(spark, rows):
+    return spark.createDataFrame([(*r, "x", 1) for r in rows], SCHEMA)
+
+
+def conv(conv_id, *turns):
+    roles = ("user", "assistant")
+    return [(conv_id, i, roles[i % 2], t) for i, t in enumerate(turns)]
+
+
+def test_prefix_is_rendered_once(spark):
+    rows = conv(1, "q", "a", "more", "yes") + conv(2, "q", "a", "other") + conv(3, "z", "y")
+    pairs = spark.createDataFrame([(0, 1, 2), (1, 2, 3), (2, 3, 3), (3, 1, 99)], "pair_id long, chosen long, rejected long")
+    got = {r["pair_id"]: r for r in preferences.format_pairs(frame(spark, rows), pairs).collect()}
+    first = got[0]
+    assert first["prefix_turns"] == 2 and first["prompt"] == "<|user|>\nq<|end|>\n<|assistant|>\na<|end|>\n"
+    assert first["chosen_text"] == "<|user|>\nmore<|end|>\n<|assistant|>\nyes<|end|>\n"
+    loss = [(s["text"], s["loss"]) for s in first["chosen_segments"]]
+    assert loss == [("<|user|>\n", False), ("more<|end|>\n", False), ("<|assistant|>\n", False), ("yes<|end|>\n", True)]
+    assert (first["chosen_loss_chars"], first["rejected_loss_chars"]) == (len("yes<|end|>\n"), 0)
+    assert got[1]["prefix_turns"] == 0 and got[1]["prompt"] == ""
+    assert got[2]["prefix_turns"] == 2 and got[2]["chosen_text"] == got[2]["rejected_text"] == ""
+    assert got[3]["rejected_text"] == "" and got[3]["prefix_turns"] == 0
+
+
+def test_pairs_of_alike_conversations(spark):
+    rows = [r for i in range(0, 20, 2) for r in conv(i, f"q{i}", "a", "b")] + [r for i in range(1, 20, 2) for r in conv(i, f"q{i - 1}", "a")]
+    got = preferences.format_pairs(frame(spark, rows)).collect()
+    assert len(got) == 10 and all(r["prefix_turns"] == 2 and r["chosen"] == r["rejected"] - 1 for r in got)
+
+
+def test_edges(spark):
+    rows = conv(1, "q", None) + [(1, None, None, "first"), (None, 0, "user", "q"), (None, 0, "user", "q"), (4, 2, "system", "")]
+    rows += [(5, 0, "user", "x" * 100_000)] + conv(6, "q") + conv(7, "q")
+    got = preferences.format_pairs(frame(spark, rows)).collect()
+    assert len(got) == 3
+    same = [r for r in got if {r["chosen"], r["rejected"]} == {6, 7}]
+    assert same and same[0]["prefix_turns"] == 1 and same[0]["chosen"] == 6
+    assert preferences.format_pairs(frame(spark, [])).count() == 0
+
+
+def test_native(spark):
+    plan = preferences.format_pairs(frame(spark, conv(1, "q", "a") + conv(2, "q")))._jdf.queryExecution().executedPlan().toString()
+    assert "Python" not in plan and "Arrow" not in plan
+
+
+@pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
+@pytest.mark.parametrize("name", list(queries.SQL))
+def test_against_sql(spark, name):
+    assert compare(duck(SF_DIR), queries.SQL[name], queries.QUERIES[name](spark, SF_DIR)) is None
