@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from tallypanel.functions.days import day_label, parse_day
+
 # The characters Python's str.strip() removes.
 WHITESPACE = (
     "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
@@ -19,14 +21,8 @@ def zero_pad(text: Column) -> Column:
 
 
 def date_text(text: Column) -> Column:
-    """``yyyy-M-d`` text to ``MM-dd-yyyy`` text; NULL if a part is missing."""
-
-    def part(pattern: str) -> Column:
-        return F.nullif(F.regexp_extract(text, pattern, 1), F.lit(""))
-
-    month = zero_pad(part(r"-([0-9]{1,2})-"))
-    day = zero_pad(part(r"-([0-9]{1,2})$"))
-    return F.concat(month, F.lit("-"), day, F.lit("-"), part(r"^([0-9]{4})"))
+    """``yyyy-M-d`` text to ``MM-dd-yyyy`` text; NULL if it is no day of the calendar."""
+    return day_label(parse_day(text, strict=False))
 
 
 def clean_label(text: Column) -> Column:

@@ -9,8 +9,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 BROADCAST_BYTES = 64 * 1024 * 1024
-HEAVY_SHARE = 64
-SALTS = 32
 
 
 def measured_bytes(df: DataFrame) -> int:
@@ -30,14 +28,6 @@ def fits(dim: DataFrame, max_bytes: int = BROADCAST_BYTES) -> bool:
     return measured_bytes(dim) <= max_bytes
 
 
-def _heavy_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys holding more than 1/HEAVY_SHARE of the rows: fewer than HEAVY_SHARE of them."""
-    counts = df.groupBy(*on).agg(F.count("*").alias("_rows"))
-    total = counts.agg(F.sum("_rows")).scalar()
-    heavy = counts.where(F.col("_rows") * HEAVY_SHARE > total)
-    return F.broadcast(heavy.select(*on, F.lit(True).alias("_heavy")))
-
-
 def left_join(
     df: DataFrame,
     dim: DataFrame,
@@ -48,27 +38,13 @@ def left_join(
     """``df`` left join ``dim``, which has at most one row per ``on``.
 
     A dimension measured below ``max_bytes`` is broadcast. A larger one is joined by
-    shuffle, with the rows of heavy keys spread over ``SALTS`` salts and only those
-    keys' dimension rows repeated. ``small`` is the answer of ``fits``, if already known.
+    shuffle and merge, where adaptive execution splits the parts of keys with many rows,
+    also of equal rows and of rows without a key. ``small`` is the answer of ``fits``, if
+    already known.
     """
     on = list(on)
-    if fits(dim, max_bytes) if small is None else small:
-        joined = df.join(F.broadcast(dim), on, "left")
-        return joined.select(*df.columns, *[c for c in dim.columns if c not in on])
-    heavy = _heavy_keys(df, on)
-    spread = F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int")
-    # A missing key matches nothing, so its rows may go anywhere.
-    anywhere = F.col("_heavy")
-    for key in on:
-        anywhere = anywhere | F.col(key).isNull()
-    salted = df.join(heavy, on, "left").withColumn(
-        "_salt", F.when(anywhere, spread).otherwise(0)
-    )
-    copies = F.when(F.col("_heavy"), F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    repeated = dim.join(heavy, on, "left").withColumn(
-        "_salt", F.explode(copies.otherwise(F.array(F.lit(0))))
-    )
-    joined = salted.drop("_heavy").join(repeated.drop("_heavy"), [*on, "_salt"], "left")
+    near = fits(dim, max_bytes) if small is None else small
+    joined = df.join(F.broadcast(dim) if near else dim.hint("merge"), on, "left")
     return joined.select(*df.columns, *[c for c in dim.columns if c not in on])
 
 

@@ -62,15 +62,29 @@ def duplicate_days(df: DataFrame, keys: Sequence[str], ts: str) -> DataFrame:
     return counts.where(F.col("rows") > 1)
 
 
-def run_summary(tables: Mapping[str, DataFrame], ts: str, stamp: bool = False) -> DataFrame:
-    """Per table, the line count (also as text), the last day and, with ``stamp``, the
-    time of the run."""
+def one_row_per_day(df: DataFrame, ts: str) -> DataFrame:
+    """``df`` itself, failing the job if a day has two rows."""
+    others = [c for c in df.columns if c != ts]
+    daily = df.groupBy(ts).agg(F.count("*").alias("_rows"), *[F.max(c).alias(c) for c in others])
+    text = F.concat(F.lit("two rows for the day "), F.coalesce(F.col(ts).cast("string"), F.lit("NULL")))
+    checked = F.when(F.col("_rows") == 1, F.col(ts)).otherwise(F.raise_error(text).cast("date"))
+    return daily.select(checked.alias(ts), *others).select(*df.columns)
+
+
+def run_summary(
+    tables: Mapping[str, DataFrame], ts: str, stamp: bool = False, metrics: Sequence[str] = ()
+) -> DataFrame:
+    """Per table, the line count (also as text), the last day and, with ``metrics``, the
+    number of their negative deltas, with ``stamp`` the time of the run."""
+    below = [F.count_if(F.col(delta_name(m)) < 0) for m in metrics]
+    counts = [reduce(lambda a, b: a + b, below).alias("negative_deltas")] if below else []
     parts = [
-        df.agg(F.count("*").alias("lines"), F.max(ts).alias("max_day")).select(
+        df.agg(F.count("*").alias("lines"), F.max(ts).alias("max_day"), *counts).select(
             F.lit(name).alias("dataset"),
             "lines",
             thousands(F.col("lines")).alias("lines_text"),
             "max_day",
+            *["negative_deltas" for _ in counts],
         )
         for name, df in tables.items()
     ]

@@ -17,11 +17,10 @@ from pyspark.sql import functions as F
 
 from tallypanel.functions.numbers import delta_name, safe_ratio
 from tallypanel.operators import spine
+from tallypanel.operators.series import mean_of
 from tallypanel.session import materialize
 
 ROWS_PER_SEGMENT = 4_000_000
-# A shuffle into more parts costs more than larger parts do.
-MOST_SEGMENTS = 50_000
 
 
 @dataclass(frozen=True)
@@ -79,7 +78,7 @@ class Segments:
 def segments_for(spark: SparkSession, rows: int) -> int:
     """Enough segments for the rows and for all tasks of a shuffle."""
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    return max(min(-(-rows // ROWS_PER_SEGMENT), MOST_SEGMENTS), tasks)
+    return max(-(-rows // ROWS_PER_SEGMENT), tasks)
 
 
 def segment(
@@ -182,7 +181,8 @@ def day_number(s: Segments, out: str = "Days") -> Segments:
 def complete_and_trim(
     s: Segments, ts: str, previous: str, metric: str = "confirmed", out: str = "Days"
 ) -> DataFrame:
-    """``spine.complete_and_trim`` of rows that have ``spine.with_previous_day``."""
+    """``spine.complete_and_trim`` of rows that have ``spine.with_previous_day``; the day
+    number is long, as the rows per key have no bound."""
     columns = [c for c in s.df.columns if c not in (previous, "_segment")]
     edge = F.struct(ts, previous, metric)
     passed = s.passed_on(
@@ -200,7 +200,7 @@ def complete_and_trim(
     )
     kept = s.with_rows(spine.trim_rows(near, ts, metric, previous)).fixed()
     numbered = running_sum(kept, F.col("_lead_in") + 1, out).df
-    numbered = numbered.withColumn(out, F.col(out).cast("int") - 1)
+    numbered = numbered.withColumn(out, F.col(out) - 1)
     return spine.write_lead_ins(numbered, ts, out, previous, columns, s.keys)
 
 
@@ -231,8 +231,5 @@ def moving_average(
     need = F.greatest(n - F.col("_at"), F.lit(0))
     used = F.slice(carry, F.greatest(F.size(carry) - need + 1, F.lit(1)), need)
     known = F.filter(used, lambda v: v.isNotNull())
-    carried_sum = F.aggregate(known, F.lit(0.0), lambda total, v: total + v)
-    count = F.count(column).over(last_n) + F.size(known)
-    total = F.coalesce(F.sum(column).over(last_n), F.lit(0.0)) + carried_sum
-    mean = F.when(count == n, total / n).otherwise(0.0)
-    return s.with_rows(rows.withColumn(out, mean).drop("_carry", "_at"))
+    rows = rows.withColumn("_values", F.concat(known, F.collect_list(column).over(last_n)))
+    return s.with_rows(rows.withColumn(out, mean_of("_values", n)).drop("_carry", "_at", "_values"))

@@ -11,7 +11,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window, WindowSpec
+from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from tallypanel.functions.numbers import delta_name, doubling_periods, safe_ratio
@@ -48,6 +48,13 @@ def growth_rate(
     return df.withColumn(out, safe_ratio(F.col(delta_name(metric)), previous))
 
 
+def mean_of(values: str, n: int) -> Column:
+    """Mean of the ``n`` known values in the array, added up in its order; 0 if there are
+    fewer. The one account of an average for plain and segmented series alike."""
+    total = F.aggregate(F.col(values).cast("array<double>"), F.lit(0.0), lambda sum_, v: sum_ + v)
+    return F.when(F.size(values) == n, total / n).otherwise(0.0)
+
+
 def moving_average(
     df: DataFrame,
     keys: Sequence[str],
@@ -59,8 +66,8 @@ def moving_average(
 ) -> DataFrame:
     """Mean of the last ``n`` rows, 0 until there are ``n`` values."""
     last_n = day_window(keys, ts, tie).rowsBetween(1 - n, Window.currentRow)
-    full = F.count(column).over(last_n) == n
-    return df.withColumn(out, F.when(full, F.avg(column).over(last_n)).otherwise(0.0))
+    values = df.withColumn("_values", F.collect_list(column).over(last_n))
+    return values.withColumn(out, mean_of("_values", n)).drop("_values")
 
 
 def doubling_time(

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tallypanel.plans import jobs
 from tallypanel.plans.catalog import day_text, query
 from tallypanel.plans.metric_queries import DOUBLING
-from tallypanel.plans.panel_queries import completed_sql
+from tallypanel.plans.panel_queries import completed_sql, users
 from tallypanel.plans.panels import (
     DAY_SERIES,
     EVENT_ROWS,
@@ -21,12 +21,15 @@ from tallypanel.plans.panels import (
     nation_orders,
     table,
 )
-from tallypanel.session import materialize
+from tallypanel.plans.text_queries import map_documents, regional_documents
+from tallypanel.session import materialize, scratch_path
+from tallypanel.sinks.files import write_csv
+from tallypanel.sources.files import read_csv
 
 DERIVED = "newConfirmed newRecovered newDeaths growthRate movingAvg doublingTime"
 
 
-def _shown(columns: list[str], integers: tuple[str, ...] = ()) -> str:
+def _shown(columns: list[str], integers: tuple[str, ...] = (), longs: tuple[str, ...] = ()) -> str:
     """SQL select list with the job's output types."""
     out = []
     for c in columns:
@@ -36,6 +39,8 @@ def _shown(columns: list[str], integers: tuple[str, ...] = ()) -> str:
             out.append(c)
         elif c in integers:
             out.append(f'CAST("{c}" AS INTEGER) AS "{c}"')
+        elif c in longs:
+            out.append(f'CAST("{c}" AS BIGINT) AS "{c}"')
         else:
             out.append(f'round(CAST("{c}" AS DOUBLE), 6) AS "{c}"')
     return ", ".join(out)
@@ -100,7 +105,7 @@ seeded AS (SELECT timestamp, confirmed, recovered, deaths FROM series UNION ALL
   SELECT CAST(min(timestamp) - INTERVAL 1 DAY AS DATE), 0, 0, 0 FROM series),
 {_derive("seeded", "", "")},
 numbered AS (SELECT *, row_number() OVER (ORDER BY timestamp) - 1 AS "Days" FROM derived)
-SELECT {_shown(jobs.HISTORY_COLUMNS, ("doublingTime", "Days"))} FROM numbered""",
+SELECT {_shown(jobs.HISTORY_COLUMNS, ("Days",), ("doublingTime",))} FROM numbered""",
 )
 def history_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.history_job(day_series(spark, sf_dir))
@@ -149,12 +154,10 @@ def country_job(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("country_job_segmented", COUNTRY)
 def country_job_segmented(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The way taken when a country has too many rows for one task."""
-    return _country(spark, sf_dir, max_rows=0, segments=16)
+    return _country(spark, sf_dir, max_rows=1)
 
 
-@query(
-    "regional_job",
-    f"""WITH {EVENT_ROWS}, names(current, subs) AS (VALUES {", ".join(map(str, STATE_NAMES))}),
+REGIONAL = f"""WITH {EVENT_ROWS}, names(current, subs) AS (VALUES {", ".join(map(str, STATE_NAMES))}),
 named AS (SELECT coalesce(subs, CAST(user_id AS VARCHAR)) AS state, e.* FROM event_rows e
   LEFT JOIN names ON CAST(user_id AS VARCHAR) = current),
 totals AS (SELECT state, timestamp, {SUMS} FROM named GROUP BY 1, 2),
@@ -162,10 +165,50 @@ totals AS (SELECT state, timestamp, {SUMS} FROM named GROUP BY 1, 2),
 {_derive("repaired", "PARTITION BY state", "PARTITION BY state")},
 {completed_sql("derived", "state", " ".join([*METRICS, *DERIVED.split()]))},
 {_trim("state")}
-SELECT {_shown(jobs.REGIONAL_COLUMNS)} FROM trimmed""",
-)
+SELECT {_shown(jobs.REGIONAL_COLUMNS)} FROM trimmed"""
+
+
+@query("regional_job", REGIONAL)
 def regional_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = event_rows(spark, sf_dir)
     feed = rows.select(F.col("user_id").cast("string").alias("state"), TS, *METRICS)
     names = spark.createDataFrame(STATE_NAMES, "current string, subs string")
     return jobs.regional_job(feed, names)
+
+
+def _table_type(columns: list[str], longs: tuple[str, ...] = ()) -> str:
+    kinds = {"timestamp": "string", "country": "string", "state": "string"} | dict.fromkeys(longs, "long")
+    return ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns)
+
+
+@query("run_country_table", COUNTRY)
+def run_country_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Landed feed and lookups, the whole run, and the written table read back."""
+    root = scratch_path(spark, "run")
+    daily = nation_orders(spark, sf_dir).where("n_name IS NOT NULL")
+    map_documents(daily, "n_name").write.text(f"{root}/feed")
+    names = spark.createDataFrame(COUNTRY_NAMES, "current string, subs string")
+    write_csv(names, f"{root}/names")
+    places = table(spark, sf_dir, "nation").select(
+        F.lit("X").alias("countryCode"),
+        F.col("n_nationkey").cast("double").alias("lat"),
+        F.col("n_regionkey").cast("double").alias("long"),
+        F.col("n_name").alias("country"),
+    )
+    write_csv(places, f"{root}/places")
+    inputs = {"map_feed": f"{root}/feed", "country_names": f"{root}/names", "coordinates": f"{root}/places"}
+    jobs.run_jobs(spark, inputs, f"{root}/tables", ["country"], "lines")
+    return read_csv(spark, f"{root}/tables/country/csv", _table_type(jobs.COUNTRY_COLUMNS))
+
+
+@query("run_regional_table", REGIONAL)
+def run_regional_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the regional table."""
+    root = scratch_path(spark, "run")
+    panel = users(spark, sf_dir)
+    keys = panel.select("user_id").distinct().count()
+    regional_documents(panel, "user_id", keys).write.text(f"{root}/feed")
+    write_csv(spark.createDataFrame(STATE_NAMES, "current string, subs string"), f"{root}/names")
+    inputs = {"history_feed": f"{root}/feed", "state_names": f"{root}/names"}
+    jobs.run_jobs(spark, inputs, f"{root}/tables", ["regional"], "lines")
+    return read_csv(spark, f"{root}/tables/regional/csv", _table_type(jobs.REGIONAL_COLUMNS))

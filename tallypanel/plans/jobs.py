@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 
 from tallypanel.operators import aggregate as agg
 from tallypanel.operators import lookup, quality, segmented, series, shape, spine
-from tallypanel.session import materialize
+from tallypanel.session import mark, materialize, release
 from tallypanel.sinks import files as sinks
 from tallypanel.sources import feeds, files
 
@@ -38,9 +38,12 @@ REGIONAL_COLUMNS = [
 COUNTRY_COLUMNS = ["country", "timestamp", "lat", "long", *REGIONAL_COLUMNS[2:]]
 
 
-def _output(df: DataFrame, columns: Sequence[str], integers: Sequence[str] = ()) -> DataFrame:
+def _output(
+    df: DataFrame, columns: Sequence[str], integers: Sequence[str] = (), longs: Sequence[str] = ()
+) -> DataFrame:
     kept = {"timestamp", "country", "state"}
     types = {c: "int" if c in integers else "double" for c in columns if c not in kept}
+    types |= dict.fromkeys(longs, "long")
     return df.select(*[F.col(c).cast(types[c]).alias(c) if c in types else c for c in columns])
 
 
@@ -61,12 +64,13 @@ def world_job(feed: DataFrame, growth_keys: Sequence[str] = (TS,)) -> DataFrame:
 
 def history_job(feed: DataFrame) -> DataFrame:
     """One ready daily series. The seed day comes before deltas and growth here, so the
-    first real day grows from 0. ``feed`` holds one row per day."""
-    df = spine.complete_series(feed.select(TS, *METRICS), TS)
+    first real day grows from 0. A feed with two rows for a day fails the job; so the
+    series, which is worked in one task, is bounded by the calendar."""
+    df = spine.complete_series(quality.one_row_per_day(feed.select(TS, *METRICS), TS), TS)
     df = series.add_deltas(df, [], TS, METRICS)
     df = series.moving_average(series.growth_rate(df, [], TS), [], TS)
     df = spine.day_number(series.doubling_time(df), [], TS)
-    return _output(df, HISTORY_COLUMNS, ["doublingTime", "Days"])
+    return _output(df, HISTORY_COLUMNS, ["Days"], ["doublingTime"])
 
 
 def _keyed_metrics(
@@ -88,8 +92,8 @@ def _segmented_metrics(
     """``_keyed_metrics`` for keys with more rows than one task should hold."""
     df = spine.with_previous_day(df, TS, days, "_prev")
     s = segmented.segment(df, [key], [TS, *tie], segments)
-    s = segmented.repair_and_diff(s, METRICS, growth_of="confirmed").fixed()
-    s = segmented.moving_average(s).fixed()
+    s = segmented.repair_and_diff(s, METRICS, growth_of="confirmed")
+    s = segmented.moving_average(s)
     return shape.balance(series.doubling_time(segmented.complete_and_trim(s, TS, "_prev")))
 
 
@@ -112,16 +116,17 @@ def country_job(
     rows = feed.select("country", TS, *METRICS, F.col("country").alias("_former"))
     named = lookup.standardize(rows, "country", names, max_bytes=max_bytes)
     days = spine.observed_days(feed, TS)
-    hot = agg.hot_groups(named, ["country"], max_rows)
+    # Written out, so that it is counted once. Few countries have so many rows.
+    hot = materialize(agg.hot_groups(named, ["country"], max_rows), "hot")
     hot_rows = hot.agg(F.sum("_rows")).first()[0]
     if hot_rows is None:
         df = _keyed_metrics(named, "country", days, ["_former"])
     else:
         cut = segments or segmented.segments_for(feed.sparkSession, hot_rows)
-        # Written out, so that it is not counted again for either way.
-        keys = materialize(hot.select("country"), "hot")
-        usual = named.join(F.broadcast(keys), "country", "left_anti")
-        large = named.join(F.broadcast(keys), "country", "left_semi")
+        keys = hot.select(F.col("country").alias("_hot"))
+        # Null-safe: rows without a country may be many as well.
+        same = F.col("country").eqNullSafe(F.col("_hot"))
+        usual, large = named.join(keys, same, "left_anti"), named.join(keys, same, "left_semi")
         df = _keyed_metrics(usual, "country", days, ["_former"]).unionByName(
             _segmented_metrics(large, "country", days, ["_former"], cut)
         )
@@ -198,7 +203,9 @@ def run_jobs(
 ) -> DataFrame:
     """Build the named tables from landed files and replace ``<out_dir>/<name>/csv`` and
     ``<out_dir>/<name>/json``. Jobs on the same feed share its parsed rows. Returns the
-    summary of the run."""
+    summary of the run, one row per table, with its count of negative deltas; the scratch
+    of the run is deleted."""
+    since = mark(spark)
     loaded: dict[str, DataFrame] = {}
     tables: dict[str, DataFrame] = {}
     for name in names:
@@ -213,4 +220,7 @@ def run_jobs(
             sinks.write_json(ordered, f"{out_dir}/{name}/json")
         finally:
             ordered.unpersist()
-    return quality.run_summary(tables, TS, stamp=True)
+    summary = quality.run_summary(tables, TS, stamp=True, metrics=METRICS)
+    rows = spark.createDataFrame(summary.collect(), summary.schema)  # a row per table
+    release(spark, since)
+    return rows

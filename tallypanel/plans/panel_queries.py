@@ -93,8 +93,8 @@ def onset_flag(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("onset_trim", f"""WITH {TRIMMED} SELECT user_id, {day_text()}, confirmed, "Days" FROM trimmed""")
 def onset_trim(spark: SparkSession, sf_dir: str) -> DataFrame:
-    completed = spine.complete_panel(users(spark, sf_dir), KEY, TS)
-    return spine.onset_trim(completed, KEY, TS).select(*KEY, TS, "confirmed", "Days")
+    trimmed = spine.complete_and_trim(users(spark, sf_dir).select(*KEY, TS, "confirmed"), KEY, TS)
+    return trimmed.select(*KEY, TS, "confirmed", "Days")
 
 
 @query(

@@ -21,8 +21,7 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _segments(spark: SparkSession, sf_dir: str, keys: list[str]) -> segmented.Segments:
-    # More segments than the row count asks for, so keys cross segment borders here too.
-    return segmented.segment(_events(spark, sf_dir), keys, ORDER, segments=16)
+    return segmented.segment(_events(spark, sf_dir), keys, ORDER)
 
 
 @query(
@@ -55,7 +54,7 @@ def raw_forward_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Errors have no value of their own."""
     value = F.when(F.col("event_type") != "error", F.col("confirmed"))
     marked = _events(spark, sf_dir).withColumn("confirmed", value)
-    filled = segmented.forward_fill(segmented.segment(marked, [], ORDER, segments=16), "confirmed")
+    filled = segmented.forward_fill(segmented.segment(marked, [], ORDER), "confirmed")
     return filled.df.select("event_id", F.coalesce("confirmed", F.lit(-1)).alias("confirmed"))
 
 
@@ -76,6 +75,6 @@ FROM prices WINDOW w7 AS ({BY_TYPE} ROWS 6 PRECEDING)""",
 )
 def raw_moving_average(spark: SparkSession, sf_dir: str) -> DataFrame:
     values = _events(spark, sf_dir).withColumn("confirmed", F.col("confirmed").cast("double"))
-    segments = segmented.segment(values, ["event_type"], ORDER, segments=16)
+    segments = segmented.segment(values, ["event_type"], ORDER)
     df = segmented.moving_average(segments, "confirmed").df
     return df.select("event_id", "event_type", "movingAvg")

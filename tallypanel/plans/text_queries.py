@@ -21,6 +21,8 @@ from tallypanel.sinks import files as sinks
 from tallypanel.sources import feeds, files
 
 UNPADDED = "yyyy-M-d"
+# Fields of a region that the tables do not need.
+OTHER_FIELDS = ("confirmedCasesForeign", "confirmedCasesIndian")
 PANEL = event_panel_sql()
 USERS = event_panel_sql(key="user_id")
 
@@ -119,26 +121,37 @@ def map_documents(panel: DataFrame, key: str) -> DataFrame:
     return grouped.select(F.to_json(F.create_map("_key", "_records")).alias("value"))
 
 
-def history_documents(panel: DataFrame, key: str) -> DataFrame:
-    """One history-feed document per day, holding at most one region per key."""
+# Fixed value: how many keys a document holds about; a day with more has several.
+REGIONS_PER_DOCUMENT = 1000
+
+
+def _history_document(daily: DataFrame, *parts: str) -> DataFrame:
+    day = F.struct(F.date_format(TS, "yyyy-MM-dd").alias("day"), *parts)
+    return daily.select(F.to_json(F.struct(F.array(day).alias("data"))).alias("value"))
+
+
+def summary_documents(panel: DataFrame) -> DataFrame:
+    """One history-feed document per day with its summary."""
+    summary = F.struct(
+        F.sum("confirmed").alias("total"), F.sum("recovered").alias("discharged"), F.sum("deaths").alias("deaths")
+    )
+    return _history_document(panel.groupBy(TS).agg(summary.alias("summary")), "summary")
+
+
+def regional_documents(panel: DataFrame, key: str, keys: int) -> DataFrame:
+    """History-feed documents per day and range of its ``keys`` keys, with their regions."""
     region = F.struct(
         F.col(key).cast("string").alias("loc"),
         F.col("confirmed").alias("totalConfirmed"),
         F.col("recovered").alias("discharged"),
         "deaths",
-        F.lit(0).cast("long").alias("confirmedCasesForeign"),
-        F.col("confirmed").alias("confirmedCasesIndian"),
-    )
-    daily = panel.groupBy(TS).agg(
-        F.struct(
-            F.sum("confirmed").alias("total"),
-            F.sum("recovered").alias("discharged"),
-            F.sum("deaths").alias("deaths"),
-        ).alias("summary"),
-        F.collect_list(region).alias("regional"),
+        F.lit(0).cast("long").alias(OTHER_FIELDS[0]),
+        F.col("confirmed").alias(OTHER_FIELDS[1]),
     )
-    day = F.struct(F.date_format(TS, "yyyy-MM-dd").alias("day"), "summary", "regional")
-    return daily.select(F.to_json(F.struct(F.array(day).alias("data"))).alias("value"))
+    ranges = -(-keys // REGIONS_PER_DOCUMENT)
+    place = F.pmod(F.xxhash64(key), F.lit(max(1, ranges))).alias("_range")
+    daily = panel.groupBy(TS, place).agg(F.collect_list(region).alias("regional"))
+    return _history_document(daily, "regional")
 
 
 MAP_ROWS = "SELECT CAST({key} AS VARCHAR) AS country, {day}, confirmed, deaths, recovered FROM panel"
@@ -172,7 +185,7 @@ def map_feed_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 FROM panel GROUP BY panel.timestamp""",
 )
 def history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = history_documents(event_panel(spark, sf_dir), "event_type")
+    docs = summary_documents(event_panel(spark, sf_dir))
     return feeds.with_day(feeds.flatten_history_summary(docs), "day")
 
 
@@ -181,7 +194,8 @@ def history_days(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {PANEL} SELECT event_type AS state, {day_text()}, confirmed, recovered, deaths FROM panel",
 )
 def history_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = history_documents(event_panel(spark, sf_dir), "event_type")
+    panel = event_panel(spark, sf_dir)
+    docs = regional_documents(panel, "event_type", panel.select("event_type").distinct().count())
     return feeds.with_day(feeds.flatten_history_regions(docs), "day")
 
 
@@ -195,6 +209,15 @@ def csv_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return files.read_lookup(spark, path)
 
 
+@query("csv_text_roundtrip", "SELECT doc_id, ' ' || text || ' ' AS text FROM documents")
+def csv_text_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts with line breaks, quotes and outer blanks."""
+    path = scratch_path(spark, "csv-text")
+    outer = F.concat(F.lit(" "), "text", F.lit(" ")).alias("text")
+    sinks.write_csv(table(spark, sf_dir, "documents").select("doc_id", outer), path)
+    return files.read_csv(spark, path, "doc_id long, text string", multi_line=True)
+
+
 TRIMMED_ROWS = f"""WITH {TRIMMED} SELECT user_id, {day_text()}, confirmed, recovered, deaths, "Days" FROM trimmed"""
 FIELDS = "user_id long, timestamp string, confirmed long, recovered long, deaths long, Days int"
 

@@ -25,8 +25,10 @@ def _ordered(df: DataFrame, order: Sequence[str]) -> DataFrame:
 
 
 def write_csv(df: DataFrame, path: str, order: Sequence[str] = ()) -> None:
-    """A folder of CSV files with headers; NULL is empty."""
+    """A folder of CSV files with headers; NULL is empty. Blanks and line breaks in
+    texts stay; ``read_csv`` reads the latter with ``multi_line``."""
     options = {"header": True, "escape": '"', "emptyValue": ""}
+    options |= {"ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
     _ordered(df, order).write.mode("overwrite").options(**options).csv(path)
 
 

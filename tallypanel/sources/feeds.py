@@ -14,17 +14,19 @@ from pyspark.sql import functions as F
 from tallypanel.functions.days import parse_day
 from tallypanel.operators.shape import rename
 
+# Counters may be written as 1 or 1.0.
+NUMBER = "decimal(30, 6)"
 # The fields of the two feeds that the tables need. Others are not parsed.
 MAP_FEED = (
-    "map<string, array<struct<date: string, confirmed: bigint, deaths: bigint, recovered: bigint>>>"
+    f"map<string, array<struct<date: string, confirmed: {NUMBER}, deaths: {NUMBER}, recovered: {NUMBER}>>>"
 )
 HISTORY_SUMMARY = (
     "struct<data: array<struct<day: string, "
-    "summary: struct<total: bigint, discharged: bigint, deaths: bigint>>>>"
+    f"summary: struct<total: {NUMBER}, discharged: {NUMBER}, deaths: {NUMBER}>>>>"
 )
 HISTORY_REGIONS = (
     "struct<data: array<struct<day: string, regional: "
-    "array<struct<loc: string, totalConfirmed: bigint, discharged: bigint, deaths: bigint>>>>>"
+    f"array<struct<loc: string, totalConfirmed: {NUMBER}, discharged: {NUMBER}, deaths: {NUMBER}>>>>>"
 )
 
 
@@ -39,10 +41,22 @@ def _parsed(value: Column, schema: str) -> Column:
     return F.from_json(value, schema, {"mode": "FAILFAST"})
 
 
+def _whole(df: DataFrame, *counters: str) -> DataFrame:
+    """The counters as whole numbers; a fraction fails the job."""
+
+    def whole(name: str) -> Column:
+        number = F.col(name)
+        bad = F.raise_error(F.concat(F.lit(f"{name} is not whole: "), number.cast("string"))).cast("long")
+        return F.when(number.isNull() | (number == F.floor(number)), number.cast("long")).otherwise(bad)
+
+    return df.withColumns({c: whole(c) for c in counters})
+
+
 def flatten_map_feed(docs: DataFrame, value: str = "value", key: str = "country") -> DataFrame:
     """Map of arrays to rows: the map key and the fields of each record."""
     entries = docs.select(F.explode(_parsed(F.col(value), MAP_FEED)).alias(key, "_records"))
-    return entries.select(key, F.inline("_records"))
+    rows = entries.select(key, F.inline("_records"))
+    return _whole(rows, "confirmed", "deaths", "recovered")
 
 
 def _history_days(docs: DataFrame, value: str, schema: str) -> DataFrame:
@@ -51,20 +65,22 @@ def _history_days(docs: DataFrame, value: str, schema: str) -> DataFrame:
 
 def flatten_history_summary(docs: DataFrame, value: str = "value") -> DataFrame:
     """One row per day with the summary's counters."""
-    return _history_days(docs, value, HISTORY_SUMMARY).select(
+    rows = _history_days(docs, value, HISTORY_SUMMARY).select(
         "day",
         F.col("summary.total").alias("confirmed"),
         F.col("summary.discharged").alias("recovered"),
         F.col("summary.deaths").alias("deaths"),
     )
+    return _whole(rows, "confirmed", "recovered", "deaths")
 
 
 def flatten_history_regions(docs: DataFrame, value: str = "value") -> DataFrame:
     """One row per day and region with the region's counters."""
     regions = _history_days(docs, value, HISTORY_REGIONS).select("day", F.inline("regional"))
-    return rename(
+    named = rename(
         regions, {"loc": "state", "totalConfirmed": "confirmed", "discharged": "recovered"}
     )
+    return _whole(named, "confirmed", "recovered", "deaths")
 
 
 def with_day(df: DataFrame, text: str, fmt: str = "yyyy-M-d", out: str = "timestamp") -> DataFrame:

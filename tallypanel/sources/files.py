@@ -11,8 +11,9 @@ LOOKUP = "current string, subs string"
 COORDINATES = "countryCode string, lat double, long double, country string"
 
 
-def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """UTF-8 CSV with a header, quoted text as usual (``""`` inside quotes), empty as NULL."""
+def read_csv(spark: SparkSession, path: str, schema: str, multi_line: bool = False) -> DataFrame:
+    """UTF-8 CSV with a header, quoted text as usual (``""`` inside quotes), empty as NULL.
+    With ``multi_line`` texts may hold line breaks, and a file is read by one task."""
     return spark.read.csv(
         path,
         schema=schema,
@@ -22,12 +23,13 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
         escape='"',
         mode="FAILFAST",
         enforceSchema=False,
+        multiLine=multi_line,
     )
 
 
 def read_lookup(spark: SparkSession, path: str) -> DataFrame:
     """``current, subs``, one row per ``current``: the last one in file order."""
-    rows = read_csv(spark, path, LOOKUP)
+    rows = read_csv(spark, path, LOOKUP, multi_line=True)
     placed = rows.select(
         "*",
         F.col("_metadata.file_path").alias("_file"),
@@ -39,4 +41,4 @@ def read_lookup(spark: SparkSession, path: str) -> DataFrame:
 
 def read_coordinates(spark: SparkSession, path: str) -> DataFrame:
     """``country, lat, long``."""
-    return read_csv(spark, path, COORDINATES).select("country", "lat", "long")
+    return read_csv(spark, path, COORDINATES, multi_line=True).select("country", "lat", "long")

@@ -143,3 +143,19 @@ def test_shape(spark):
     assert sorted(map(tuple, shape.null_token(tokens).collect()), key=repr) == [("b", None, 2), (None, "a", 1)]
     blank = spark.createDataFrame([(None, None)], "s string, n int")
     assert tuple(shape.fill_blank(blank).first()) == ("", None)
+
+
+def test_counters_written_as_floats(spark):
+    good = spark.createDataFrame([('{"A": [{"date": "2020-1-2", "confirmed": 1.0, "deaths": 2, "recovered": 3.000}]}',)], "value string")
+    assert [tuple(r)[1:] for r in feeds.flatten_map_feed(good).collect()] == [("2020-1-2", 1, 2, 3)]
+    bad = spark.createDataFrame([('{"A": [{"date": "2020-1-2", "confirmed": 1.5}]}',)], "value string")
+    with pytest.raises(Exception, match="not whole"):
+        feeds.flatten_map_feed(bad).collect()
+
+
+def test_csv_keeps_blanks_and_line_breaks(spark, tmp_path):
+    texts = [" lead", "trail ", "two\nlines", 'say "x", y', "  ", "\ttab\t"]
+    df = spark.createDataFrame(list(enumerate(texts)), "id int, v string")
+    sinks.write_csv(df, str(tmp_path / "t"))
+    back = files.read_csv(spark, str(tmp_path / "t"), "id int, v string", multi_line=True)
+    assert [r["v"] for r in back.orderBy("id").collect()] == texts

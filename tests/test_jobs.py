@@ -10,6 +10,7 @@ import pytest
 from helpers import average, completed, deltas, doubling, growth, repair_pass, trimmed
 from pyspark.sql import functions as F
 
+from tallypanel import session
 from tallypanel.plans import jobs
 
 METRICS = ["confirmed", "recovered", "deaths"]
@@ -241,11 +242,80 @@ def test_country_table_in_segments(spark, landed, max_rows, segments):
     cut = jobs.country_job(feed, names, places, max_rows=max_rows, segments=segments)
     assert plain.dtypes == cut.dtypes
 
-    def rows(df):
-        shown = df.withColumn("movingAvg", F.round("movingAvg", 9))
-        return sorted((tuple(r) for r in shown.collect()), key=repr)
+    assert rows_of(plain) == rows_of(cut)
 
-    assert rows(plain) == rows(cut)
+
+def rows_of(df):
+    return sorted((tuple(r) for r in df.collect()), key=repr)
+
+
+def test_rows_without_a_country_are_cut_too(spark):
+    rng = random.Random(2)
+    rows = [
+        (name, START + dt.timedelta(days=n), rng.randint(0, 90), n, 0)
+        for name in (None, "A", "B")
+        for n in range(40 if name is None else 3)
+    ]
+    feed = spark.createDataFrame(rows, "country string, timestamp date, confirmed long, recovered long, deaths long")
+    names = spark.createDataFrame([("x", "y")], "current string, subs string")
+    places = spark.createDataFrame([("A", 1.0, 2.0)], "country string, lat double, long double")
+    plain = jobs.country_job(feed, names, places)
+    cut = jobs.country_job(feed, names, places, max_rows=10, segments=5)
+    assert rows_of(plain) == rows_of(cut) and len(rows_of(cut)) > 40
+
+
+def test_large_counters(spark):
+    """A slow growth of large numbers doubles after more days than an int holds."""
+    rows = [(START + dt.timedelta(days=n), 10**11 + n, n, 0) for n in range(12)]
+    feed = spark.createDataFrame(rows, "timestamp date, confirmed long, recovered long, deaths long")
+    got = jobs.history_job(feed).orderBy("timestamp").collect()
+    assert got[-1]["doublingTime"] > 2**31
+    assert [r["Days"] for r in got] == list(range(13))
+
+
+def test_two_rows_for_a_day_fail(spark):
+    rows = [(START, 1, 0, 0), (START, 2, 0, 0)]
+    feed = spark.createDataFrame(rows, "timestamp date, confirmed long, recovered long, deaths long")
+    with pytest.raises(Exception, match="two rows for the day"):
+        jobs.history_job(feed).collect()
+
+
+def test_a_run_leaves_no_scratch(spark, landed, tmp_path):
+    since = session.mark(spark)
+    base = session.scratch_base(spark)
+    before = set(os.listdir(base))
+    summary = jobs.run_jobs(spark, landed[1], str(tmp_path / "out"), ["country", "regional"])
+    assert {r["dataset"]: r["negative_deltas"] for r in summary.collect()} == {"country": 0, "regional": 0}
+    assert session.mark(spark) == since and set(os.listdir(base)) == before
+
+
+def test_scratch_without_the_setting(spark, monkeypatch):
+    class Conf:
+        def __init__(self, master):
+            self.master = master
+
+        def get(self, key, default=None):
+            return {"spark.master": self.master}.get(key, default)
+
+    class Fake:
+        sparkContext = spark.sparkContext  # noqa: N815
+
+        def __init__(self, master):
+            self.conf = Conf(master)
+
+    path = session.scratch_base(Fake("local[4]"))
+    assert os.path.isdir(path) and session.scratch_base(Fake("local[4]")) == path
+    with pytest.raises(ValueError, match="all executors share"):
+        session.scratch_base(Fake("spark://cluster:7077"))
+
+    class Set(Conf):
+        def get(self, key, default=None):
+            return "/tmp/plain" if key == session.SETTING else super().get(key, default)
+
+    fake = Fake("yarn")
+    fake.conf = Set("yarn")
+    with pytest.raises(ValueError, match="of each machine"):
+        session.scratch_base(fake)
 
 
 def test_regional_table_with_a_large_lookup(spark, landed):

@@ -34,27 +34,35 @@ def test_both_ways_of_the_join_agree(spark):
     assert rows_of(small) == rows_of(large) == rows_of(plain)
 
 
-def test_large_join_spreads_the_hot_key(spark):
-    # Neither side broadcast by Spark itself, and small partitions left apart.
+def test_large_join_is_a_shuffled_one(spark):
+    joined = lookup.left_join(fact(spark), dimension(spark), ["key"], max_bytes=0)
+    joined.collect()
+    plan = joined._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
+def test_equal_rows_of_a_hot_key_are_spread(spark):
     settings = {
-        "spark.sql.autoBroadcastJoinThreshold": "-1",
         "spark.sql.adaptive.coalescePartitions.enabled": "false",
+        "spark.sql.adaptive.advisoryPartitionSizeInBytes": "256",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "512",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
     }
     before = {k: spark.conf.get(k) for k in settings}
+    rows = spark.range(40_000).select(
+        F.when(F.col("id") % 100 == 0, F.concat(F.lit("k"), F.col("id") % 7)).otherwise("hot").alias("key"),
+        F.lit(1).alias("flag"),
+    )
     try:
         for k, v in settings.items():
             spark.conf.set(k, v)
-        joined = lookup.left_join(fact(spark), dimension(spark), ["key"], max_bytes=0)
-        tasks = joined.where("key = 'hot'").groupBy(F.spark_partition_id().alias("p")).count().collect()
+        joined = lookup.left_join(rows.repartition(16), dimension(spark), ["key"], max_bytes=0)
+        joined = joined.withColumn("part", F.spark_partition_id())
+        parts = {r["part"] for r in joined.collect() if r["key"] == "hot"}
     finally:
         for k, v in before.items():
             spark.conf.set(k, v)
-    assert len(tasks) > 4
-
-
-def test_heavy_keys_are_few(spark):
-    heavy = [r["key"] for r in lookup._heavy_keys(fact(spark), ["key"]).collect()]
-    assert "hot" in heavy and len(heavy) < lookup.HEAVY_SHARE
+    assert len(parts) > 4
 
 
 def test_measured_bytes_grow_with_text(spark):

@@ -1,4 +1,4 @@
-"""Every registered query against its SQL counterpart on the smallest tables."""
+"""Every query of the panel library against its SQL counterpart on the smallest tables."""
 
 import os
 
@@ -7,7 +7,7 @@ import pytest
 import __spark_entry__ as contract
 from oracle import compare, duck
 
-from tallypanel.plans import panels
+from tallypanel.plans import catalog, panels
 
 SF_DIR = os.environ.get("TALLYPANEL_SF_DIR", "/root/testdata/sf0.001")
 
@@ -24,10 +24,12 @@ def tables():
 
 
 def test_every_query_has_sql():
-    assert set(contract.queries()) == set(contract.oracle_sql())
+    assert set(catalog.QUERIES) == set(catalog.SQL)
+    assert set(catalog.QUERIES) <= set(contract.queries())
+    assert set(contract.oracle_sql()) <= set(contract.queries())
 
 
-@pytest.mark.parametrize("name", list(contract.queries()))
+@pytest.mark.parametrize("name", list(catalog.QUERIES))
 def test_query(spark, tables, name):
     df = contract.queries()[name](spark, SF_DIR)
     plan = df._jdf.queryExecution().executedPlan().toString()

@@ -73,8 +73,14 @@ def test_moving_average(case, n):
     got = by_id(segmented.moving_average(s, "confirmed", n=n).df, "movingAvg")
     want = by_id(plain, "movingAvg")
     assert got.keys() == want.keys()
-    for i, (value,) in want.items():
-        assert got[i][0] == pytest.approx(value, abs=1e-9)
+    assert got == want
+
+
+def test_segments_grow_with_the_rows(spark):
+    per = segmented.ROWS_PER_SEGMENT
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert segmented.segments_for(spark, 0) == segmented.segments_for(spark, per) == tasks
+    assert [segmented.segments_for(spark, per * n) for n in (100, 10**6)] == [100, 10**6]
 
 
 @pytest.mark.parametrize("n", [1, 3, 25])
@@ -87,6 +93,8 @@ def test_trim_across_segments(spark, n, seed):
     want = spine.complete_and_trim(placed, ["key"], "ts", tie=["tie"], previous="prev")
     s = segmented.segment(placed, ["key"], ["ts", "tie"], segments=n)
     got = segmented.complete_and_trim(s, "ts", "prev")
+    assert dict(got.dtypes)["Days"] == "bigint"
+    got = got.withColumn("Days", F.col("Days").cast("int"))
     assert got.dtypes == want.dtypes
     assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
 
@@ -111,7 +119,7 @@ def test_chain_over_fixed_rows(spark):
     plain = series.growth_rate(plain, ["key"], "t", tie=["id"])
     plain = series.moving_average(plain, ["key"], "t", tie=["id"])
     want, got = by_id(plain, "movingAvg"), by_id(s.df, "movingAvg")
-    assert all(got[i][0] == pytest.approx(v, abs=1e-9) for i, (v,) in want.items())
+    assert got == want
 
 
 def test_passed_on_rows_are_fewer_than_segments(spark):
