@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
 
@@ -22,18 +22,27 @@ class WordTable:
     """Numbers for words and columns of what ``describe`` says about them.
 
     The numbers hold until the table starts anew, which ``numbers`` may do at its start.
+    Words in ``ready`` are always known; they have the first numbers.
     """
 
-    def __init__(self, describe: Callable[[list[bytes]], Sequence[np.ndarray]]):
-        self.describe = describe
-        self._numbers = _Numbers()
-        self._known = 0
+    def __init__(
+        self,
+        describe: Callable[[list[bytes]], Sequence[np.ndarray]],
+        ready: Sequence[bytes] = (),
+        most: int = MOST_WORDS,
+    ):
+        self.describe, self.most = describe, most
+        self._ready = dict(zip(ready, range(len(ready))))
+        self._start()
+
+    def _start(self) -> None:
+        self._numbers, self._known = _Numbers(self._ready), 0
         self.columns: list[np.ndarray] = []
 
     def numbers(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
         """The words of all texts as one array of numbers, and each text's word count."""
-        if len(self._numbers) > MOST_WORDS:
-            self._numbers, self._known, self.columns = _Numbers(), 0, []
+        if len(self._numbers) > self.most + len(self._ready):
+            self._start()
         counts = np.fromiter(map(len, texts), np.int64, len(texts))
         find = self._numbers.__getitem__
         out = np.fromiter(map(find, chain.from_iterable(texts)), np.int64, int(counts.sum()))
@@ -42,7 +51,7 @@ class WordTable:
         return out, counts
 
     def _learn(self) -> None:
-        new = list(self._numbers)[self._known :] if self._known else list(self._numbers)
+        new = list(islice(self._numbers, self._known, None))
         described = self.describe(new)
         if not self.columns:
             self.columns = [np.zeros((0, *c.shape[1:]), c.dtype) for c in described]

@@ -121,9 +121,9 @@ def test_context_helps_on_held_out_rows(spark):
 
 
 def test_each_piece_is_scored_once_with_most_context():
-    coder = bpe.encoder(bpe.read_vocabulary(PATH), public_tokenizers.PATTERN)
+    coder = lm_score.speller(bpe.read_vocabulary(PATH), public_tokenizers.PATTERN)
     params = lm_score.att.new_params(50, 4, 4)
-    model = type("M", (), {"params": params, "tokens": 1, "distinct": 1})()
+    model = type("M", (), {"params": params, "tokens": 1, "distinct": 1, "hot": []})()
     scorer = lm_score.Scorer(model, coder)
     counts = np.array([1, 5, 24, 25, 100])
     ids = np.random.default_rng(0).integers(0, 50, int(counts.sum()))
