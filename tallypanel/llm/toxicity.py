@@ -1,7 +1,9 @@
 """Convolutional text classifier for toxicity.
 
-A word is lower-cased, freed of punctuation at its ends and hashed; hashes seen in at least
-two sampled documents have an embedding, all others share one. Filters of several widths run
+A word is lower-cased and freed of punctuation at its ends; it and its first four letters are
+hashed, so that inflected forms are known by their stem. Hashes seen in at least two sampled
+documents have an embedding, all others none, and a word's embedding is the sum of its two.
+Filters of several widths run
 over the embeddings, each keeps its maximum over the text, and a logistic layer reads the
 maxima. Trained in numpy on a bounded sample of labelled documents (``labelled``); the score
 is calibrated on a fifth of it, and a rejection threshold for each language is chosen there.
@@ -33,18 +35,22 @@ WIDTHS = (1, 2, 3)
 FILTERS = 8
 SIZE = 8
 EPOCHS = 6
+STEM = 4
 BLOCK = 16_384  # words that are convolved at a time
 PREDICT_AT = 0.3
 LOWEST = -1e9
 
 
-def word_hash(word: bytes) -> int:
-    return xxhash.xxh64_intdigest(word.lower().strip(PUNCTUATION))
+def word_hashes(word: bytes) -> tuple[int, int]:
+    """Of the word and of its stem."""
+    plain = word.lower().strip(PUNCTUATION)
+    stem = plain.decode("utf-8", "replace")[:STEM].encode()
+    return xxhash.xxh64_intdigest(plain), xxhash.xxh64_intdigest(b"^" + stem)
 
 
 @dataclass
 class Model:
-    hashes: np.ndarray  # sorted; row i + 2 of the embeddings; row 0 pads, row 1 is for others
+    hashes: np.ndarray  # sorted; row i + 1 of the embeddings; row 0 is for pads and others
     embedding: np.ndarray
     filters: list[np.ndarray]  # (width, SIZE, FILTERS)
     bias: np.ndarray
@@ -54,12 +60,12 @@ class Model:
     thresholds: dict = field(default_factory=dict)
 
     def rows_of(self, words: list[bytes]) -> list[np.ndarray]:
-        """Embedding rows of words."""
-        if not len(self.hashes):
-            return [np.ones(len(words), np.int32)]
-        h = np.fromiter(map(word_hash, words), np.uint64, len(words))
+        """Embedding rows of words: of the word and of its stem."""
+        if not len(self.hashes) or not words:
+            return [np.zeros((len(words), 2), np.int32)]
+        h = np.array([word_hashes(w) for w in words], np.uint64)
         at = np.minimum(np.searchsorted(self.hashes, h), len(self.hashes) - 1)
-        return [np.where(self.hashes[at] == h, at + 2, 1).astype(np.int32)]
+        return [np.where(self.hashes[at] == h, at + 1, 0).astype(np.int32)]
 
 
 def _padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -79,25 +85,35 @@ def _padded(ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray
 class Scorer:
     def __init__(self, model: Model):
         self.model = model
-        self.table = WordTable(model.rows_of)
-        # What each embedding adds to each filter at each of its places.
-        self.tables = [
-            [np.ascontiguousarray(model.embedding @ f[j], np.float32) for j in range(len(f))] for f in model.filters
-        ]
+        self.table = WordTable(self._convolved, most=100_000)
+        # What an embedding adds to each filter at each of its places, side by side.
+        self.taps = np.concatenate([f[j] for f in model.filters for j in range(len(f))], 1)
 
-    def pooled(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    def _convolved(self, words: list[bytes]) -> list[np.ndarray]:
+        rows = self.model.rows_of([b"", *words])[0]  # the first one stands for a pad
+        rows[0] = 0
+        out = self.model.embedding[rows].sum(1) @ self.taps
+        return [out[1:].astype(np.float32)]
+
+    def pooled(self, numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
         """Maximum of every filter over each text, block by block."""
-        flat, owner = _padded(ids, counts)
+        flat, owner = _padded(numbers + 1, counts)
+        known = self.table.columns[0]
         best = np.full((len(counts) + 1, len(WIDTHS) * FILTERS), LOWEST, np.float32)
         flat = np.concatenate([flat, np.zeros(max(WIDTHS), np.int32)])
         for a in range(0, len(owner), BLOCK):
             own = owner[a : a + BLOCK]
             cuts = np.flatnonzero(np.diff(own, prepend=-1))
-            parts = []
-            for table in self.tables:
-                z = table[0][flat[a : a + len(own)]]
-                for j in range(1, len(table)):
-                    z += table[j][flat[a + j : a + j + len(own)]]
+            here = flat[a : a + len(own) + max(WIDTHS)]
+            # Pads have number 0 and add nothing.
+            taps = known[np.maximum(here - 1, 0)]
+            taps[here == 0] = 0
+            parts, tap = [], 0
+            for width in WIDTHS:
+                z = taps[: len(own), tap * FILTERS : (tap + 1) * FILTERS].copy()
+                for j in range(1, width):
+                    z += taps[j : j + len(own), (tap + j) * FILTERS : (tap + j + 1) * FILTERS]
+                tap += width
                 parts.append(np.maximum.reduceat(z, cuts))
             part, texts = np.concatenate(parts, 1), own[cuts]
             real = texts < len(counts)
@@ -106,7 +122,7 @@ class Scorer:
 
     def logits(self, texts: list[bytes]) -> np.ndarray:
         numbers, counts = self.table.numbers([t.split() for t in texts])
-        hidden = np.maximum(self.pooled(self.table.columns[0][numbers], counts) + self.model.bias, 0)
+        hidden = np.maximum(self.pooled(numbers, counts) + self.model.bias, 0)
         return hidden @ self.model.dense + self.model.dense_bias
 
     def scores(self, texts: list[bytes]) -> np.ndarray:
@@ -114,13 +130,15 @@ class Scorer:
         return sigmoid(a * self.logits(texts).astype(float) + b)
 
 
-def _vocabulary(texts: list[bytes], least: int = 2, most: int = 60_000) -> np.ndarray:
-    """Hashes of words in at least ``least`` sampled documents, the commonest first kept."""
+def _vocabulary(texts: list[bytes], least: int = 2, most: int = 80_000) -> np.ndarray:
+    """Hashes of words and stems in at least ``least`` sampled documents, the commonest
+    first kept."""
     seen: dict[int, int] = {}
-    known: dict[bytes, int] = {}
+    known: dict[bytes, tuple[int, int]] = {}
     for text in texts:
-        for word in {known.get(w) or known.setdefault(w, word_hash(w)) for w in set(text.split())}:
-            seen[word] = seen.get(word, 0) + 1
+        pairs = (known.get(w) or known.setdefault(w, word_hashes(w)) for w in set(text.split()))
+        for one in {h for pair in pairs for h in pair}:
+            seen[one] = seen.get(one, 0) + 1
     common = sorted((h for h, n in seen.items() if n >= least), key=lambda h: (-seen[h], h))[:most]
     return np.array(sorted(common), np.uint64)
 
@@ -132,13 +150,13 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 7)
     n_filters = len(WIDTHS) * FILTERS
     model = Model(
         hashes,
-        rng.normal(0, 0.1, (len(hashes) + 2, SIZE)).astype(np.float32),
+        rng.normal(0, 0.1, (len(hashes) + 1, SIZE)).astype(np.float32),
         [rng.normal(0, (SIZE * w) ** -0.5, (w, SIZE, FILTERS)).astype(np.float32) for w in WIDTHS],
         np.zeros(n_filters, np.float32),
         rng.normal(0, 0.3, n_filters).astype(np.float32),
         0.0,
     )
-    model.embedding[:2] = 0
+    model.embedding[0] = 0
     if not len(texts) or y.min() == y.max():
         share = float(np.average(y, weights=weight)) if len(texts) else 0.0
         model.dense[:] = 0
@@ -159,9 +177,11 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 7)
         for a in range(0, len(order), batch):
             chosen = order[a : a + batch]
             counts = np.array([len(docs[i]) for i in chosen])
-            flat, owner = _padded(np.concatenate([docs[i] for i in chosen] or [np.zeros(0, np.int32)]), counts)
-            flat = np.concatenate([flat, np.zeros(gap, np.int32)])
-            x = emb[flat]
+            rows = np.concatenate([docs[i] for i in chosen])
+            place, owner = _padded(np.arange(1, len(rows) + 1), counts)
+            place = np.concatenate([place, np.zeros(gap, np.int32)])
+            flat = np.concatenate([np.zeros((1, 2), np.int32), rows])[place]
+            x = emb[flat].sum(1)
             n = len(owner)
             cuts = np.flatnonzero(np.diff(owner, prepend=-1))
             mine = owner[cuts] < len(chosen)
@@ -172,8 +192,8 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 7)
                 run = np.repeat(np.arange(len(cuts)), np.diff(np.append(cuts, n)))
                 hit = z == top[run]
                 # The first place of each maximum.
-                place = np.where(hit, np.arange(n)[:, None], n)
-                places.append(np.minimum.reduceat(place, cuts)[mine])
+                first = np.where(hit, np.arange(n)[:, None], n)
+                places.append(np.minimum.reduceat(first, cuts)[mine])
                 tops.append(top[mine])
             hidden = np.concatenate(tops, 1) + bias
             active = hidden > 0
@@ -194,14 +214,16 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 7)
                 for j in range(len(f)):
                     at = places[k] + j
                     grad_f = np.einsum("nfs,nf->sf", x[at], gk) + 1e-4 * f[j]
-                    touched.append(flat[at].ravel())
-                    grads.append((gk[:, :, None] * f[j].T[None]).reshape(-1, SIZE))
+                    gradient = (gk[:, :, None] * f[j].T[None]).reshape(-1, SIZE)
+                    for part in range(2):  # the word and its stem
+                        touched.append(flat[at, part].ravel())
+                        grads.append(gradient)
                     f_sums[k][j] += grad_f**2
                     f[j] -= (rate * grad_f / np.sqrt(f_sums[k][j])).astype(np.float32)
             rows, back = np.unique(np.concatenate(touched), return_inverse=True)
             grad_e = np.zeros((len(rows), SIZE), np.float32)
             np.add.at(grad_e, back, np.concatenate(grads).astype(np.float32))
-            keep = rows > 1
+            keep = rows > 0
             rows, grad_e = rows[keep], grad_e[keep]
             sums["e"][rows] += grad_e**2
             emb[rows] -= rate * grad_e / np.sqrt(sums["e"][rows])
