@@ -4,10 +4,10 @@ Every vector keeps a list of its nearest vectors with the same label. Lists star
 neighbours in the order of random sign projections and are refined through neighbours of
 neighbours: at each vector, the members of its list and those that list it are compared with
 each other, and closer ones enter the lists. Rounds end when one adds no pair above the
-threshold. A list whose every entry is above the threshold is saturated and hides further
-links: its component is then compared as a whole, in blocks, which is exact, together with
-saturated components near enough to share a link (found by the same descent over their
-pivots). An audit measures recall for sampled vectors against all rows; below the target
+threshold to a list with room. A list whose every entry is above the threshold is saturated
+and hides further links: its component is then compared as a whole, in blocks, which is exact,
+together with saturated components near enough to share a link (found by the same descent over
+their pivots). An audit measures recall for sampled vectors against all rows; below the target
 the lists are lengthened and the descent goes on. Edges below the threshold are dropped.
 
 Cosines are computed in double precision.
@@ -190,7 +190,10 @@ def _refine(lists: DataFrame, good: DataFrame, dtype: str, size: int) -> DataFra
 def descend(lists: DataFrame, good: DataFrame, dtype: str, size: int, threshold: float) -> DataFrame:
     while True:
         lists = materialize(_refine(lists, good, dtype, size), "lists")
-        added = lists.where((F.col("old") == 0) & (F.col("sim") >= threshold)).limit(1).count()
+        # Saturated lists are completed in blocks later, so what they gain does not count.
+        strong = lists.where(F.col("sim") >= threshold).groupBy("u")
+        gains = strong.agg(F.count("*").alias("n"), F.min("old").alias("old")).where(F.col("n") < size)
+        added = gains.where("old = 0").limit(1).count()
         lists = lists.drop("old")
         if not added:
             return lists
