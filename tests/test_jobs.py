@@ -8,7 +8,6 @@ import random
 
 import pytest
 from helpers import average, completed, deltas, doubling, growth, repair_pass, trimmed
-from pyspark.sql import functions as F
 
 from tallypanel import session
 from tallypanel.plans import jobs
