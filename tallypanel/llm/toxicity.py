@@ -38,6 +38,7 @@ EPOCHS = 6
 STEM = 4
 BLOCK = 16_384  # words that are convolved at a time
 PREDICT_AT = 0.3
+THRESHOLDS = (0.3, 0.9)  # the range of a language's threshold
 LOWEST = -1e9
 
 
@@ -231,7 +232,9 @@ def train(texts: list[bytes], y: np.ndarray, weight: np.ndarray, seed: int = 7)
 
 
 def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> float:
-    """Middle of the cut with the best weighted F1; ``PREDICT_AT`` without both labels."""
+    """Middle of the cut with the best weighted F1, kept within ``THRESHOLDS``: one missed
+    document must not pull the threshold to where clean ones begin. ``PREDICT_AT`` without
+    both labels."""
     if not len(y) or y.min() == y.max():
         return PREDICT_AT
     order = np.argsort(-score, kind="stable")
@@ -240,7 +243,8 @@ def best_threshold(score: np.ndarray, y: np.ndarray, weight: np.ndarray) -> floa
     f1 = 2 * true / (taken + (w * hit).sum())
     last = np.append(s[1:] != s[:-1], True)
     k = int(np.argmax(np.where(last, f1, -1)))
-    return float((s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k])
+    cut = (s[k] + s[k + 1]) / 2 if k + 1 < len(s) else s[k]
+    return float(np.clip(cut, *THRESHOLDS))
 
 
 def fit(docs: DataFrame, labels: DataFrame, per_class: int = MOST_PER_CLASS) -> Model:

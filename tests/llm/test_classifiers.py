@@ -138,3 +138,10 @@ def test_sample_is_bounded(tables):
     sample = labelled_sample(docs, labels, "toxic", per_class=20)
     assert len(sample) == 40 and sample.weight[sample.y == 0][0] > sample.weight[sample.y == 1][0]
     assert docs.where(F.col("doc_id") == 0).count() == 1
+
+
+def test_threshold_stays_clear_of_clean_documents():
+    score = np.array([0.99, 0.98, 0.97, 0.02, 0.01, 0.001])
+    y = np.array([1, 1, 1, 1, 0, 0])
+    assert toxicity.best_threshold(score, y, np.ones(6)) == 0.3
+    assert toxicity.best_threshold(np.array([0.8, 0.2]), np.array([1, 0]), np.ones(2)) == 0.5
