@@ -140,3 +140,34 @@ def test_each_piece_is_scored_once_with_most_context():
             want = lm_score.att.attend(params, window, there)[0, shift + k - first]
             assert np.allclose(got[at + k], want, atol=1e-4)
         at += n
+
+
+def test_every_piece_is_a_target_once():
+    rng = np.random.default_rng(1)
+    counts = np.array([0, 1, 30, 31, 32, 33, 500])
+    pieces = rng.integers(0, 50, int(counts.sum())).astype(np.int32)
+    windows = np.concatenate(list(lm_score.consecutive(pieces, counts, 50)))
+    targets = windows[:, 1:]
+    want = np.concatenate([[*part, 50] for part in np.split(pieces, np.cumsum(counts)[:-1])])
+    assert targets[targets >= 0].tolist() == want.tolist()
+
+
+def test_classes_and_training_see_all_windows(spark):
+    """Short and repeated texts as well, which gave no window or one for all copies."""
+    coder = lm_score.speller(bpe.read_vocabulary(PATH), public_tokenizers.PATTERN)
+    texts = [prose(k % 3, 90).encode() for k in range(9)]
+    batch = lm_score.pa.RecordBatch.from_arrays([lm_score.pa.array(texts, lm_score.pa.binary())], names=["text"])
+    end = len(coder.bytes_of)
+    windows = np.concatenate(list(lm_score._windows([batch], coder)))
+    assert (windows[:, 1:] >= 0).sum() == sum(coder.spell(t.split())[1].sum() + 1 for t in texts)
+    first = np.array([b[:1] == b" " for b in coder.bytes_of])
+    starting = np.bincount(windows[(windows >= 0) & (windows < end)], minlength=end) * first
+    common = np.argsort(-starting, kind="stable")[:5]
+    want = Counter()
+    for w in windows.tolist():
+        own = {i for i in w if 0 <= i < end and first[i]}
+        want.update((i, j) for i in own for j in own & set(common.tolist()))
+    raw = spark.sparkContext.broadcast(bpe.read_vocabulary(PATH))
+    docs = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
+    met = lm_score._met(docs, raw, public_tokenizers.PATTERN, first, common)
+    assert {(int(i), int(common[j])): int(met[i, j]) for i, j in np.argwhere(met)} == dict(want)
