@@ -2,9 +2,10 @@
 
 The model predicts the characters of a word from the ones before it: modified Kneser-Ney of
 order 4 over code points, with marks for the word's start and end. Spark counts the n-grams of
-all documents and derives continuation counts, discounts and back-off weights; the result is a
-pair of sorted hash arrays per order. N-grams are folded into ``SLOTS`` hashes, so the arrays
-have a fixed bound whatever the corpus. A document's perplexity is that of its words. Each
+all documents and derives continuation counts, discounts, back-off weights and the probability
+of each n-gram, all keyed by the exact n-gram. Up to ``FITS`` probabilities are broadcast; more are
+joined with the n-grams of the distinct words, and the words with the documents, but for the
+commonest ``HOT``, whose scores are broadcast. A document's perplexity is that of its words. Each
 language has a band around its median over all documents, ``WIDTH`` robust deviations to
 either side and wider for short texts, whose mean varies more; documents outside are rejected.
 
@@ -17,20 +18,22 @@ no rows.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallypanel.llm.common import batch_of, same, slices, text_bytes
+from tallypanel.llm.common import KEY, batch_of, doc_key, same, slices, text_bytes
 from tallypanel.llm.words import WordTable, starts_of, sums
 from tallypanel.session import materialize
 
 ORDER = 4
 SYMBOL_BITS = 16  # a code point is folded to these; 1 and 2 mark a word's start and end
-SLOTS = 1 << 22
 START, END = 1, 2
+FITS = 1 << 22  # n-grams whose probabilities are broadcast
+HOT = 1 << 18  # words whose scores are broadcast where the n-grams are not
 WIDTH = 6.0
 LEAST_LIMIT = 2.0
 OWN_SPREAD, SYMBOL_SPREAD = 0.02, 1.5  # in nats: of a document's own, and of a symbol
@@ -44,12 +47,6 @@ _IS_SYMBOL[list(SYMBOLS)] = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def slot(packed: np.ndarray) -> np.ndarray:
-    h = packed.astype(np.uint64) * _MIX
-    h ^= h >> np.uint64(29)
-    return ((h * _MIX) >> np.uint64(64 - 22)).astype(np.int64)
-
-
 def code_points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Code points of all words, each between a start and an end mark, and their lengths."""
     text = "\x02\x01".join(w.decode("utf-8", "replace") for w in words)
@@ -105,42 +102,76 @@ def _count(batches):
         yield from flush(words)
 
 
+Arrays = tuple[np.ndarray, np.ndarray]
+
+
+def greatest(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Of each symbol but the starts: the greatest order its place allows, and that n-gram."""
+    _, found = grams(flat, lengths)
+    order, packed = np.ones(len(found[0]), np.int32), found[0].copy()
+    for n in range(2, ORDER + 1):
+        there = found[n - 1] != -1
+        order[there], packed[there] = n, found[n - 1][there]
+    return order, packed
+
+
 @dataclass
 class Model:
-    """For each order: sorted slots of n-grams with their discounted probability, and sorted
-    slots of contexts with the weight of the next lower order."""
+    """``scores`` holds ``n, packed, logp`` of the greatest n-gram of each place in any word of
+    the counted documents, ``n_grams`` of them; ``tables`` for each order the discounted
+    probabilities ``packed, value`` and the weights of the next lower order by context."""
 
-    grams: list[tuple[np.ndarray, np.ndarray]]
-    contexts: list[tuple[np.ndarray, np.ndarray]]
+    scores: DataFrame
+    n_grams: int
+    tables: list[tuple[DataFrame, DataFrame]]
     floor: float
 
+    @cached_property
+    def grams(self) -> list[Arrays]:
+        """Sorted n-grams and values on the driver, to look into a small model."""
+        return [_arrays(own) for own, _ in self.tables]
+
+    @cached_property
+    def contexts(self) -> list[Arrays]:
+        return [_arrays(back) for _, back in self.tables]
+
+
+def _find(table: Arrays, packed: np.ndarray, otherwise: float) -> np.ndarray:
+    keys, values = table
+    if not len(keys):
+        return np.full(len(packed), otherwise)
+    at = np.minimum(np.searchsorted(keys, packed), len(keys) - 1)
+    return np.where(keys[at] == packed, values[at], otherwise)
+
+
+class Known:
+    """Natural log probability of words, and their symbols with the end, from broadcast
+    probabilities by order."""
+
+    def __init__(self, logs: dict[int, Arrays], least: float):
+        self.logs, self.least = logs, least
+
     def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """Natural log probability of each word, and its symbols with the end."""
         if not words:
             return np.zeros(0), np.zeros(0, np.int64)
         flat, lengths = code_points(words)
-        _, found = grams(flat, lengths)
-        p = np.full(len(found[0]), self.floor)
-        for n in range(ORDER):
-            there = found[n] != -1
-            packed = found[n][there]
-            own, weight = _find(self.grams[n], packed, 0.0), 1.0
-            if n:
-                context = packed >> SYMBOL_BITS & ((np.int64(1) << (SYMBOL_BITS * n)) - 1)
-                weight = _find(self.contexts[n], context, 1.0)
-            else:
-                weight = self.contexts[0][1][0] if len(self.contexts[0][1]) else 1.0
-            p[there] = np.minimum(own + weight * p[there], 1.0)
-        return sums(np.log(np.maximum(p, 1e-12)), lengths - 1), lengths - 1
-
-
-def _find(table: tuple[np.ndarray, np.ndarray], packed: np.ndarray, otherwise: float) -> np.ndarray:
-    keys, values = table
-    if not len(keys):
-        return np.full(len(packed), otherwise)
-    h = slot(packed)
-    at = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-    return np.where(keys[at] == h, values[at], otherwise)
+        order, packed = greatest(flat, lengths)
+        logp = np.full(len(order), self.least)
+        for n, table in self.logs.items():
+            here = order == n
+            logp[here] = _find(table, packed[here], self.least)
+        return sums(logp, lengths - 1), lengths - 1
+
+
+class HotWords:
+    """Scores of the commonest words; others have 0 symbols here and are joined."""
+
+    def __init__(self, words: list[bytes], scores: np.ndarray, symbols: np.ndarray):
+        self.known = {w: (x, int(n)) for w, x, n in zip(words, scores.tolist(), symbols.tolist())}
+
+    def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        found = [self.known.get(w, (0.0, 0)) for w in words]
+        return np.array([x for x, _ in found], float), np.array([n for _, n in found], np.int64)
 
 
 def _lower(tables: dict[int, DataFrame], raw: DataFrame, n: int) -> DataFrame:
@@ -153,16 +184,16 @@ def _lower(tables: dict[int, DataFrame], raw: DataFrame, n: int) -> DataFrame:
 
 
 def fit(docs: DataFrame) -> Model:
-    """Counts over all documents. What comes to the driver are the folded arrays, at most
-    ``SLOTS`` entries an order."""
+    """Counts over all documents. Nothing but counts of counts comes to the driver."""
     text = docs.select(text_bytes().alias("text"))
     raw = text.mapInArrow(_count, "n int, packed long, c long")
     raw = materialize(raw.groupBy("n", "packed").agg(F.sum("c").alias("c")), "ngrams")
     tables = {ORDER: raw.where(F.col("n") == ORDER).select("packed", "c")}
     for n in range(ORDER - 1, 0, -1):
         tables[n] = materialize(_lower(tables, raw, n), f"order{n}")
-    found, contexts = [], []
+    parts, scores, below = [], None, None
     types = tables[1].agg(F.count("*")).first()[0]
+    floor = 1.0 / (max(types, 1) + 1)
     for n in range(1, ORDER + 1):
         t = tables[n]
         few = dict(t.where("c <= 4").groupBy("c").count().collect())
@@ -178,23 +209,31 @@ def fit(docs: DataFrame) -> Model:
         context = F.shiftright("packed", SYMBOL_BITS).bitwiseAND(F.lit((1 << (SYMBOL_BITS * (n - 1))) - 1 if n > 1 else 0))
         t = t.withColumns({"context": context, "cut": cut})
         totals = t.groupBy("context").agg(F.sum("c").alias("total"), F.sum("cut").alias("kept"))
-        own = t.join(totals, "context").select("packed", ((F.col("c") - F.col("cut")) / F.col("total")).alias("value"))
+        both = t.join(totals, "context").withColumns(
+            {"value": (F.col("c") - F.col("cut")) / F.col("total"), "weight": F.col("kept") / F.col("total")}
+        )
         back = totals.select(F.col("context").alias("packed"), (F.col("kept") / F.col("total")).alias("value"))
-        found.append(_arrays(own))
-        contexts.append(_arrays(back))
-    return Model(found, contexts, 1.0 / (max(types, 1) + 1))
-
-
-def _arrays(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted slots and values; n-grams that share a slot share the greatest value."""
-
-    def fold(batches):
-        for b in batches:
-            keys = pa.array(slot(b.column(0).to_numpy()), pa.int64())
-            yield pa.RecordBatch.from_arrays([keys, b.column(1)], names=["slot", "value"])
-
-    folded = values.mapInArrow(fold, "slot long, value double").groupBy("slot").agg(F.max("value").alias("value"))
-    t = folded.select(F.col("slot").cast("int"), F.col("value").cast("float")).toArrow()
+        parts.append((both.select("packed", "value"), back))
+        if n == 1:
+            p = both.withColumn("lower", F.lit(floor))
+        else:
+            suffix = F.col("packed").bitwiseAND(F.lit((1 << (SYMBOL_BITS * (n - 1))) - 1))
+            lower = below.select(F.col("packed").alias("suffix"), F.col("p").alias("lower"))
+            p = both.withColumn("suffix", suffix).join(lower, "suffix")
+        p = p.select("packed", F.least(F.col("value") + F.col("weight") * F.col("lower"), F.lit(1.0)).alias("p"))
+        below = materialize(p, f"p{n}")
+        # Shorter n-grams are the greatest of their place only behind a word's start.
+        first = F.shiftright("packed", SYMBOL_BITS * (n - 1)) == START
+        own = below.where(first) if n < ORDER else below
+        own = own.select(F.lit(n).alias("n"), "packed", F.log(F.greatest("p", F.lit(1e-12))).alias("logp"))
+        if n > 1:
+            scores = own if scores is None else scores.unionByName(own)
+    scores = materialize(scores, "scores")
+    return Model(scores, scores.count(), parts, floor)
+
+
+def _arrays(values: DataFrame) -> Arrays:
+    t = values.select("packed", "value").toArrow()
     keys, v = t.column(0).to_numpy(), t.column(1).to_numpy()
     order = np.argsort(keys)
     return keys[order], v[order]
@@ -203,24 +242,40 @@ def _arrays(values: DataFrame) -> tuple[np.ndarray, np.ndarray]:
 class Judge:
     """Counts of the base rules and perplexity of texts."""
 
-    def __init__(self, model: Model):
-        self.model = model
+    def __init__(self, known: Known | HotWords):
+        self.known = known
         self.table = WordTable(self._describe)
 
     def _describe(self, words: list[bytes]) -> list[np.ndarray]:
-        scores, symbols = self.model.word_scores(words)
+        scores, symbols = self.known.word_scores(words)
         lengths = np.fromiter(map(len, words), np.int64, len(words))
         raw = np.frombuffer(b"".join(words), np.uint8)
         chars = sums(((raw & 0xC0) != 0x80).astype(np.int64), lengths)
         return [scores, symbols, chars, sums(_IS_SYMBOL[raw], lengths)]
 
     def read(self, texts: list[bytes]) -> list[np.ndarray]:
-        numbers, counts = self.table.numbers([t.split() for t in texts])
+        """The base measures of each text, and the score and symbols of its known words."""
+        return self._of(texts, [t.split() for t in texts])[0]
+
+    def read_all(self, texts: list[bytes]) -> tuple[list[np.ndarray], np.ndarray, list[bytes], np.ndarray]:
+        """``read``, and each text's distinct other words: their text, they, and how often."""
+        split = [t.split() for t in texts]
+        out, numbers, counts = self._of(texts, split)
+        other = np.flatnonzero(self.table.columns[1][numbers] == 0)
+        flat = [w for words in split for w in words] if len(other) else []
+        text = np.repeat(np.arange(len(texts)), counts)
+        size = int(numbers.max(initial=0)) + 1
+        key, at, times = np.unique(text[other] * size + numbers[other], return_index=True, return_counts=True)
+        return out, key // size, [flat[i] for i in other[at]], times
+
+    def _of(self, texts: list[bytes], split: list[list[bytes]]):
+        numbers, counts = self.table.numbers(split)
         scores, symbols, chars, marks = (sums(c[numbers], counts) for c in self.table.columns)
-        return [
+        out = [
             counts, chars, marks, np.array([duplicate_lines(t) for t in texts], np.int64),
-            repeated_words(numbers, counts), -scores / np.maximum(symbols, 1),
+            repeated_words(numbers, counts), scores, symbols,
         ]
+        return out, numbers, counts
 
 
 def duplicate_lines(text: bytes) -> int:
@@ -259,10 +314,28 @@ def repeated_words(numbers: np.ndarray, counts: np.ndarray) -> np.ndarray:
 MEASURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 
 
+_COLUMNS = [*[(m, pa.int64()) for m in MEASURES], ("score", pa.float64()), ("symbols", pa.int64())]
+_KINDS = ", ".join(f"{m} long" for m in MEASURES) + ", score double, symbols long"
+
+
 def measures(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang``, the base measures and ``entropy``, in nats a symbol, per row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *[(m, pa.int64()) for m in MEASURES], ("entropy", pa.float64())])
+    """``doc_id, lang``, the base measures and ``entropy``, in nats a symbol, per row of the
+    counted documents."""
+    rows = docs.select("doc_id", "lang", text_bytes().alias("text"), *[c.alias(k) for k, c in doc_key().items()])
+    if model.n_grams <= FITS:
+        logs = {}
+        for n in range(2, ORDER + 1):
+            logs[n] = _arrays(model.scores.where(F.col("n") == n).withColumnRenamed("logp", "value"))
+        scored = _measured(rows, Known(logs, float(np.log(model.floor))))
+    else:
+        scored = _joined(rows, model)
+    entropy = -F.col("score") / F.greatest("symbols", F.lit(1))
+    return scored.select("doc_id", "lang", *MEASURES, entropy.alias("entropy"))
+
+
+def _measured(rows: DataFrame, known: Known) -> DataFrame:
+    shared = rows.sparkSession.sparkContext.broadcast(known)
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *_COLUMNS])
 
     def run(batches):
         judge = Judge(shared.value)
@@ -270,9 +343,82 @@ def measures(docs: DataFrame, model: Model) -> DataFrame:
             for part in slices(batch, "text"):
                 yield batch_of(schema, part.column("doc_id"), part.column("lang"), *judge.read(part.column("text").to_pylist()))
 
-    rows = docs.select("doc_id", "lang", text_bytes().alias("text"))
-    kinds = ", ".join(f"{m} long" for m in MEASURES)
-    return rows.mapInArrow(run, f"doc_id long, lang string, {kinds}, entropy double")
+    return rows.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id long, lang string, {_KINDS}")
+
+
+def _distinct(batches):
+    """Words and how often they occur, counted within the task."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64())])
+    counts: dict[bytes, int] = {}
+    for batch in batches:
+        for part in slices(batch, "text"):
+            for text in part.column("text").to_pylist():
+                for word in text.split():
+                    counts[word] = counts.get(word, 0) + 1
+            if len(counts) > 250_000:
+                yield batch_of(schema, list(counts), list(counts.values()))
+                counts = {}
+    if counts:
+        yield batch_of(schema, list(counts), list(counts.values()))
+
+
+def _spread(batches):
+    """One row for each symbol of each word: the word and its greatest n-gram there."""
+    schema = pa.schema([("word", pa.binary()), ("c", pa.int64()), ("n", pa.int32()), ("packed", pa.int64())])
+    for batch in batches:
+        for part in slices(batch, "word", 500_000):
+            words = part.column("word").to_pylist()
+            if words:
+                flat, lengths = code_points(words)
+                order, packed = greatest(flat, lengths)
+                at = np.repeat(np.arange(len(words)), lengths - 1)
+                yield batch_of(schema, [words[i] for i in at], part.column("c").to_numpy()[at], order, packed)
+
+
+def _joined(rows: DataFrame, model: Model) -> DataFrame:
+    """As ``_measured``, with n-grams, words and documents joined, so nothing need fit."""
+    words = rows.select("text").mapInArrow(_distinct, "word binary, c long").groupBy("word").agg(F.sum("c").alias("c"))
+    each = words.mapInArrow(_spread, "word binary, c long, n int, packed long").join(model.scores, ["n", "packed"])
+    scored = each.groupBy("word").agg(F.max("c").alias("c"), F.sum("logp").alias("word_score"), F.count("*").alias("word_symbols"))
+    scored = materialize(scored, "words")
+    hot = scored.orderBy(F.desc("c"), "word").limit(HOT).select("word", "word_score", "word_symbols").toArrow()
+    hot = HotWords(*[hot.column(0).to_pylist(), hot.column(1).to_numpy(), hot.column(2).to_numpy()])
+    shared = rows.sparkSession.sparkContext.broadcast(hot)
+    keys = [("doc", pa.int64()), ("fp", pa.int64()), ("lang", pa.string())]
+    schema = pa.schema([*keys, ("doc_id", pa.int64()), ("is_doc", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), *_COLUMNS])
+
+    def run(batches):
+        judge = Judge(shared.value)
+        for batch in batches:
+            for part in slices(batch, "text", 2_000_000):
+                own, text, words, times = judge.read_all(part.column("text").to_pylist())
+                key, n = [part.column(k) for k in ("doc", "fp", "lang")], part.num_rows
+                # A text's own row joins no word; a space keeps it apart and its hash spreads it.
+                tags = [b" %d" % x for x in part.column("fp").to_pylist()]
+                yield batch_of(schema, *key, part.column("doc_id"), np.ones(n, np.int64), tags, np.zeros(n, np.int64), *own)
+                if words:
+                    zero = np.zeros(len(words), np.int64)
+                    key = [c.take(pa.array(text)) for c in key]
+                    rest = [zero] * len(MEASURES)
+                    yield batch_of(schema, *key, [None] * len(words), zero, words, times, *rest, zero.astype(float), zero)
+
+    parts = rows.mapInArrow(run, f"doc long, fp long, lang string, doc_id long, is_doc long, word binary, times long, {_KINDS}")
+    parts = parts.join(scored.drop("c"), "word", "left")
+    times = F.col("times")
+    parts = parts.withColumns(
+        {
+            "score": F.col("score") + F.coalesce(times * F.col("word_score"), F.lit(0.0)),
+            "symbols": F.col("symbols") + F.coalesce(times * F.col("word_symbols"), F.lit(0)),
+        }
+    )
+    # Rows equal in id, text and language gave their parts each, so the sums hold them all.
+    whole = [*MEASURES, "symbols"]
+    total = parts.groupBy(*KEY, "lang").agg(
+        F.max("doc_id").alias("doc_id"), F.sum("is_doc").alias("rows"), *[F.sum(x).alias(x) for x in [*whole, "score"]]
+    )
+    each = total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    mean = [F.floor(F.col(x) / F.col("rows") + 0.5).cast("long").alias(x) for x in whole]
+    return each.select("doc_id", "lang", *mean, (F.col("score") / F.col("rows")).alias("score"))
 
 
 def deviation(middle: str) -> Column:

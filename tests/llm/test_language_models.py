@@ -171,3 +171,33 @@ def test_classes_and_training_see_all_windows(spark):
     docs = spark.createDataFrame([(bytearray(t),) for t in texts], "text binary")
     met = lm_score._met(docs, raw, public_tokenizers.PATTERN, first, common)
     assert {(int(i), int(common[j])): int(met[i, j]) for i, j in np.argwhere(met)} == dict(want)
+
+
+def test_ngrams_are_known_exactly(spark):
+    """No unseen n-gram has the probability of a seen one, also where 22 bits of a hash agree."""
+    rows = [(i, prose(i, 200), "en", "s", 0, "", "", 0, 0) for i in range(6)]
+    table = quality_rules.fit(frame(spark, rows)).grams[3]
+    seen = {w[k : k + 4] for r in rows for w in words(r[1]) for k in range(len(w) - 3)}
+    letters = np.arange(ord("a"), ord("z") + 1, dtype=np.int64)
+    packed = letters[:, None, None, None] << 48 | letters[:, None, None] << 32 | letters[:, None] << 16 | letters
+    known = {sum(ord(c) << (16 * k) for k, c in enumerate(reversed(g))) for g in seen}
+    others = np.array(sorted(set(packed.ravel().tolist()) - known))
+    assert (quality_rules._find(table, np.array(sorted(known)), 0.0) > 0).all()
+    assert not quality_rules._find(table, others, 0.0).any()
+
+
+@pytest.mark.parametrize("hot", [0, 30])
+def test_joined_scores_are_the_broadcast_ones(spark, monkeypatch, hot):
+    rows = documents()
+    docs = frame(spark, rows)
+    model = quality_rules.fit(docs)
+
+    def found():
+        return sorted(map(tuple, quality_rules.measures(docs, model).collect()), key=repr)
+
+    want = found()
+    monkeypatch.setattr(quality_rules, "FITS", 0)
+    monkeypatch.setattr(quality_rules, "HOT", hot)
+    got = found()
+    assert [g[:-1] for g in got] == [w[:-1] for w in want]
+    assert [g[-1] for g in got] == pytest.approx([w[-1] for w in want])
