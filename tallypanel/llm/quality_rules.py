@@ -6,12 +6,13 @@ all documents and derives continuation counts, discounts, back-off weights and t
 of each n-gram, all keyed by the exact n-gram. Up to ``FITS`` probabilities are broadcast; more are
 joined with the n-grams of the distinct words, and the words with the documents, but for the
 commonest ``HOT``, whose scores are broadcast. A document's perplexity is that of its words. Each
-language has a band around its median over all documents, ``WIDTH`` robust deviations to
-either side and wider for short texts, whose mean varies more; documents outside are rejected.
+language has a band around its median, where each distinct text counts once: ``WIDTH`` deviations
+to either side, each side's taken from the ``CORE`` of texts next to the median, so that junk does
+not widen it, and wider for short texts, whose mean varies more; documents outside are rejected.
 
 Defined results: null and empty texts have no words and fail the base rules; texts are read
 whole; repeated rows count and are judged each; a null language is a language of its own;
-languages with fewer than ``FEW`` scored documents use the limits of all; an empty table gives
+languages with fewer than ``FEW`` distinct scored texts use the limits of all; an empty table gives
 no rows.
 """
 
@@ -36,6 +37,7 @@ FITS = 1 << 22  # n-grams whose probabilities are broadcast
 HOT = 1 << 18  # words whose scores are broadcast where the n-grams are not
 WIDTH = 6.0
 LEAST_LIMIT = 2.0
+CORE, CORE_WIDTH = 0.1, 0.2533  # share of texts on a side, and its width in standard deviations
 OWN_SPREAD, SYMBOL_SPREAD = 0.02, 1.5  # in nats: of a document's own, and of a symbol
 FEW = 50
 SYMBOLS = b"#*$%&|<>"
@@ -319,9 +321,10 @@ _KINDS = ", ".join(f"{m} long" for m in MEASURES) + ", score double, symbols lon
 
 
 def measures(docs: DataFrame, model: Model) -> DataFrame:
-    """``doc_id, lang``, the base measures and ``entropy``, in nats a symbol, per row of the
-    counted documents."""
+    """``doc_id, lang``, a hash ``same`` of the text, the base measures and ``entropy``, in nats a
+    symbol, per row of the counted documents."""
     rows = docs.select("doc_id", "lang", text_bytes().alias("text"), *[c.alias(k) for k, c in doc_key().items()])
+    rows = rows.withColumn("same", F.xxhash64("text"))
     if model.n_grams <= FITS:
         logs = {}
         for n in range(2, ORDER + 1):
@@ -330,20 +333,21 @@ def measures(docs: DataFrame, model: Model) -> DataFrame:
     else:
         scored = _joined(rows, model)
     entropy = -F.col("score") / F.greatest("symbols", F.lit(1))
-    return scored.select("doc_id", "lang", *MEASURES, entropy.alias("entropy"))
+    return scored.select("doc_id", "lang", "same", *MEASURES, entropy.alias("entropy"))
 
 
 def _measured(rows: DataFrame, known: Known) -> DataFrame:
     shared = rows.sparkSession.sparkContext.broadcast(known)
-    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), *_COLUMNS])
+    schema = pa.schema([("doc_id", pa.int64()), ("lang", pa.string()), ("same", pa.int64()), *_COLUMNS])
 
     def run(batches):
         judge = Judge(shared.value)
         for batch in batches:
             for part in slices(batch, "text"):
-                yield batch_of(schema, part.column("doc_id"), part.column("lang"), *judge.read(part.column("text").to_pylist()))
+                own = [part.column(k) for k in ("doc_id", "lang", "same")]
+                yield batch_of(schema, *own, *judge.read(part.column("text").to_pylist()))
 
-    return rows.select("doc_id", "lang", "text").mapInArrow(run, f"doc_id long, lang string, {_KINDS}")
+    return rows.select("doc_id", "lang", "same", "text").mapInArrow(run, f"doc_id long, lang string, same long, {_KINDS}")
 
 
 def _distinct(batches):
@@ -384,7 +388,7 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
     hot = scored.orderBy(F.desc("c"), "word").limit(HOT).select("word", "word_score", "word_symbols").toArrow()
     hot = HotWords(*[hot.column(0).to_pylist(), hot.column(1).to_numpy(), hot.column(2).to_numpy()])
     shared = rows.sparkSession.sparkContext.broadcast(hot)
-    keys = [("doc", pa.int64()), ("fp", pa.int64()), ("lang", pa.string())]
+    keys = [("doc", pa.int64()), ("fp", pa.int64()), ("lang", pa.string()), ("same", pa.int64())]
     schema = pa.schema([*keys, ("doc_id", pa.int64()), ("is_doc", pa.int64()), ("word", pa.binary()), ("times", pa.int64()), *_COLUMNS])
 
     def run(batches):
@@ -392,7 +396,7 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             for part in slices(batch, "text", 2_000_000):
                 own, text, words, times = judge.read_all(part.column("text").to_pylist())
-                key, n = [part.column(k) for k in ("doc", "fp", "lang")], part.num_rows
+                key, n = [part.column(k) for k in ("doc", "fp", "lang", "same")], part.num_rows
                 # A text's own row joins no word; a space keeps it apart and its hash spreads it.
                 tags = [b" %d" % x for x in part.column("fp").to_pylist()]
                 yield batch_of(schema, *key, part.column("doc_id"), np.ones(n, np.int64), tags, np.zeros(n, np.int64), *own)
@@ -402,7 +406,7 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
                     rest = [zero] * len(MEASURES)
                     yield batch_of(schema, *key, [None] * len(words), zero, words, times, *rest, zero.astype(float), zero)
 
-    parts = rows.mapInArrow(run, f"doc long, fp long, lang string, doc_id long, is_doc long, word binary, times long, {_KINDS}")
+    parts = rows.mapInArrow(run, f"doc long, fp long, lang string, same long, doc_id long, is_doc long, word binary, times long, {_KINDS}")
     parts = parts.join(scored.drop("c"), "word", "left")
     times = F.col("times")
     parts = parts.withColumns(
@@ -413,12 +417,12 @@ def _joined(rows: DataFrame, model: Model) -> DataFrame:
     )
     # Rows equal in id, text and language gave their parts each, so the sums hold them all.
     whole = [*MEASURES, "symbols"]
-    total = parts.groupBy(*KEY, "lang").agg(
+    total = parts.groupBy(*KEY, "lang", "same").agg(
         F.max("doc_id").alias("doc_id"), F.sum("is_doc").alias("rows"), *[F.sum(x).alias(x) for x in [*whole, "score"]]
     )
     each = total.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
     mean = [F.floor(F.col(x) / F.col("rows") + 0.5).cast("long").alias(x) for x in whole]
-    return each.select("doc_id", "lang", *mean, (F.col("score") / F.col("rows")).alias("score"))
+    return each.select("doc_id", "lang", "same", *mean, (F.col("score") / F.col("rows")).alias("score"))
 
 
 def deviation(middle: str) -> Column:
@@ -429,24 +433,32 @@ def deviation(middle: str) -> Column:
 
 
 def with_bands(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``middle`` and ``limit`` of their language: its median entropy, and the
-    most that ``deviation`` may be, ``WIDTH`` robust deviations. One row per language."""
-    scored = rows.where("n_words > 0")
+    """``rows`` with ``middle``, ``lower`` and ``upper`` of their language: its median entropy, and
+    the most that ``deviation`` may be below and above it. Each distinct text counts once."""
+    scored = rows.where("n_words > 0").select("lang", "same", "entropy", "word_chars", "n_words")
+    once = materialize(scored.dropDuplicates(["lang", "same"]), "once")
     median = F.percentile_approx("entropy", 0.5, 5000)
-    general = scored.agg(median).first()[0]
-    middles = scored.groupBy("lang").agg(median.alias("middle"), F.count("*").alias("docs"))
-    middles = materialize(middles.where(F.col("docs") >= FEW).drop("docs"), "middles")
-    joined = rows.alias("r").join(middles.alias("m"), same("r", "m", ["lang"]), "left")
-    known = F.col("middle").isNotNull()
-    joined = joined.select("r.*", F.coalesce("middle", F.lit(general or 0.0)).alias("middle"), known.alias("own"))
-    z = joined.where("n_words > 0").withColumn("z", deviation("middle"))
-    edges = F.percentile_approx("z", [0.16, 0.84], 5000)
-    spread = z.groupBy("own", F.when(F.col("own"), F.col("lang")).alias("lang")).agg(edges.alias("q"))
-    limit = F.greatest((F.col("q")[1] - F.col("q")[0]) / 2 * WIDTH, F.lit(LEAST_LIMIT))
-    limits = materialize(spread.select("own", F.col("lang").alias("at"), limit.alias("limit")), "limits")
-    place = F.when(F.col("r.own"), F.col("r.lang")).eqNullSafe(F.col("l.at"))
-    out = joined.alias("r").join(limits.alias("l"), (F.col("r.own") == F.col("l.own")) & place, "left")
-    return out.select("r.*", F.coalesce("l.limit", F.lit(LEAST_LIMIT)).alias("limit"))
+    general = once.agg(median).first()[0]
+    middles = once.groupBy("lang").agg(median.alias("middle"), F.count("*").alias("texts"))
+    middles = materialize(middles.where(F.col("texts") >= FEW).drop("texts"), "middles")
+
+    def limits(z: DataFrame, *by: str) -> DataFrame:
+        edges = z.groupBy(*by).agg(F.percentile_approx("z", [0.5 - CORE, 0.5, 0.5 + CORE], 5000).alias("q"))
+
+        def limit(k: int) -> Column:
+            return F.greatest((F.col("q")[k + 1] - F.col("q")[k]) / CORE_WIDTH * WIDTH, F.lit(LEAST_LIMIT))
+
+        return edges.select(*by, limit(0).alias("lower"), limit(1).alias("upper"))
+
+    own = once.alias("o").join(middles.alias("m"), same("o", "m", ["lang"])).select("o.*", "middle")
+    bands = limits(own.withColumn("z", deviation("middle")), "lang")
+    bands = bands.alias("b").join(middles.alias("m"), same("b", "m", ["lang"])).select("b.*", "middle")
+    bands = materialize(bands, "bands")
+    of_all = limits(once.withColumn("middle", F.lit(general or 0.0)).withColumn("z", deviation("middle"))).first()
+    lower, upper = (of_all["lower"], of_all["upper"]) if of_all else (LEAST_LIMIT, LEAST_LIMIT)
+    otherwise = {"middle": general or 0.0, "lower": lower or LEAST_LIMIT, "upper": upper or LEAST_LIMIT}
+    joined = rows.alias("r").join(bands.alias("b"), same("r", "b", ["lang"]), "left")
+    return joined.select("r.*", *[F.coalesce(f"b.{k}", F.lit(x)).alias(k) for k, x in otherwise.items()])
 
 
 def judge(docs: DataFrame) -> DataFrame:
@@ -454,7 +466,7 @@ def judge(docs: DataFrame) -> DataFrame:
     rows = materialize(measures(docs, fit(docs)), "measures")
     joined = with_bands(rows)
     failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    kept = ~failed & (F.abs(deviation("middle")) <= F.col("limit"))
+    kept = ~failed & deviation("middle").between(-F.col("lower"), F.col("upper"))
     return joined.select(
         "doc_id", *MEASURES, failed.alias("base_failed"), F.exp("entropy").alias("perplexity"), kept.alias("kept")
     )

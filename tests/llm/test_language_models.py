@@ -201,3 +201,20 @@ def test_joined_scores_are_the_broadcast_ones(spark, monkeypatch, hot):
     got = found()
     assert [g[:-1] for g in got] == [w[:-1] for w in want]
     assert [g[-1] for g in got] == pytest.approx([w[-1] for w in want])
+
+
+def test_junk_does_not_widen_the_bands(spark):
+    """A hot source of 24 % junk, copies of one junk text, and a one-sided spread."""
+    rng = np.random.default_rng(3)
+    rows = [(i, "en", i, 200, 1000, 2 + 0.05 * rng.normal()) for i in range(300)]
+    rows += [(1000 + i, "en", 1000 + i, 200, 1000, 3 + 0.05 * rng.normal()) for i in range(95)]
+    rows += [(2000 + i, "de", i, 200, 1000, 2 + 0.05 * rng.normal()) for i in range(300)]
+    rows += [(3000 + i, "de", 3000, 200, 1000, 3.5) for i in range(400)]
+    rows += [(4000 + i, "fr", i, 200, 1000, 2 + abs(rng.normal()) * (0.3 if i % 2 else -0.05)) for i in range(301)]
+    rows += [(5000, "fr", 5000, 200, 1000, 1.4), (5001, "fr", 5001, 200, 1000, 2.6)]
+    table = spark.createDataFrame(rows, "doc_id long, lang string, same long, n_words long, word_chars long, entropy double")
+    z = quality_rules.deviation("middle")
+    inside = z.between(-quality_rules.F.col("lower"), quality_rules.F.col("upper")).alias("inside")
+    got = {r[0]: r[1] for r in quality_rules.with_bands(table).select("doc_id", inside).collect()}
+    assert all(got[i] for i in [*range(300), *range(2000, 2300), 5001])
+    assert not any(got[i] for i in [*range(1000, 1095), *range(3000, 3400), 5000])
