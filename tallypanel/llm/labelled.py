@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -22,20 +22,26 @@ class Sample:
     y: np.ndarray
     weight: np.ndarray  # how many labelled documents a sampled one stands for
     extra: list[tuple]
+    ids: list[int] = field(default_factory=list)
 
     def __len__(self) -> int:
         return len(self.y)
 
 
+def known_labels(labels: DataFrame, label: str) -> DataFrame:
+    """``doc_id, y`` of the labelled documents outside the held-out ids."""
+    known = labels.select("doc_id", F.col(label).cast("int").alias("y"))
+    known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(MODULUS))
+    return known.groupBy("doc_id").agg(F.max("y").alias("y"))
+
+
 def labelled_sample(
     docs: DataFrame, labels: DataFrame, label: str, extra: tuple[str, ...] = (), per_class: int = MOST_PER_CLASS
 ) -> Sample:
     """At most ``per_class`` documents of each label and ``MOST_BYTES`` of text, by hash
     of the id, from those outside the held-out ids. Of several labels for an id the
     greatest counts; other values than 0 and 1 and null ids don't count."""
-    known = labels.select("doc_id", F.col(label).cast("int").alias("y"))
-    known = known.where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out(MODULUS))
-    known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
+    known = known_labels(labels, label)
     totals = dict(known.groupBy("y").count().collect())
     taken = [
         known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class) for y in (0, 1)
@@ -57,7 +63,7 @@ def labelled_sample(
     y = np.array([r["y"] for r in got], np.int64)
     have = np.bincount(y, minlength=2)
     weight = np.array([totals.get(k, 0) / max(1, have[k]) for k in (0, 1)])[y] if len(y) else np.zeros(0)
-    return Sample([bytes(r["text"]) for r in got], y, weight, [tuple(r[c] for c in extra) for r in got])
+    return Sample([bytes(r["text"]) for r in got], y, weight, [tuple(r[c] for c in extra) for r in got], [r["doc_id"] for r in got])
 
 
 def platt(logit: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:

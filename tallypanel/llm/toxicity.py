@@ -6,7 +6,8 @@ documents have an embedding, all others none, and a word's embedding is the sum
 Filters of several widths run
 over the embeddings, each keeps its maximum over the text, and a logistic layer reads the
 maxima. Trained in numpy on a bounded sample of labelled documents (``labelled``); the score
-is calibrated on a fifth of it, and a rejection threshold for each language is chosen there.
+is calibrated on a fifth of it. A rejection threshold for each language is chosen from counts of
+labels and scores over all labelled documents but the held-out and the fitted ones.
 Scoring needs no shuffle: the convolutions of an embedding are tables, and memory is bounded
 by a block of words.
 
@@ -27,7 +28,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tallypanel.llm.common import held_out, pack_rows, slices, text_bytes
-from tallypanel.llm.labelled import MODULUS, MOST_PER_CLASS, labelled_sample, platt, sigmoid
+from tallypanel.llm.labelled import MODULUS, MOST_PER_CLASS, known_labels, labelled_sample, platt, sigmoid
 from tallypanel.llm.words import WordTable, starts_of
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -39,6 +40,7 @@ STEM = 4
 BLOCK = 16_384  # words that are convolved at a time
 PREDICT_AT = 0.3
 THRESHOLDS = (0.3, 0.9)  # the range of a language's threshold
+BINS = 1000  # of scores, when thresholds are chosen
 LOWEST = -1e9
 
 
@@ -258,16 +260,41 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = MOST_PER_CLASS) ->
     if len(part) and sample.y[~aside].min() != sample.y[~aside].max() and len(texts):
         scorer = Scorer(model)
         model.scale = platt(scorer.logits(texts).astype(float), y, weight)
-        scores = scorer.scores(texts)
-        langs = np.array([e[0] or "" for e, out in zip(sample.extra, aside) if out])
-        model.thresholds = {"": best_threshold(scores, y, weight)}
-        for lang in np.unique(langs[langs != ""]):
-            own = langs == lang
-            if min(np.bincount(y[own], minlength=2)) >= 5:  # fewer say nothing of their own
-                model.thresholds[str(lang)] = best_threshold(scores[own], y[own], weight[own])
+        fitted = [i for i, out in zip(sample.ids, aside) if not out]
+        totals = [float(sample.weight[sample.y == k].sum()) for k in (0, 1)]
+        model.thresholds = language_thresholds(docs, labels, model, fitted, totals)
     return model
 
 
+def language_thresholds(
+    docs: DataFrame, labels: DataFrame, model: Model, fitted: list[int], totals: list[float]
+) -> dict[str, float]:
+    """Thresholds by language, and of all under "", from sums over all labelled documents but
+    the held-out and the ``fitted``; ``totals`` are the documents of each label with these."""
+    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(MODULUS))
+    rows = rows.select(F.struct("doc_id", "lang").alias("row"), text_bytes().alias("text"))
+    kind = rows.schema["row"].dataType.simpleString()
+    # Labels meet the scores, so no text is shuffled.
+    scored = rows.mapInArrow(score_column(model), f"row {kind}, score double").select("row.*", "score")
+    seen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fitted], "doc_id long"))
+    known = known_labels(labels, "toxic").join(seen, "doc_id", "left_anti")
+    place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
+    each = scored.select("doc_id", F.struct(F.coalesce("lang", F.lit("")).alias("lang"), place).alias("at"))
+    each = each.groupBy("doc_id").agg(F.min("at").alias("at")).join(known, "doc_id")
+    got = each.groupBy("at.lang", "y", "at.bin").agg(F.count("*").alias("n")).collect()
+    lang = np.array([r["lang"] for r in got], object)
+    y, n = np.array([r["y"] for r in got], np.int64), np.array([r["n"] for r in got], float)
+    score = np.array([(r["bin"] + 0.5) / BINS for r in got])
+    # The fitted ones were taken by label alone, so a label's others stand for them.
+    weight = n * np.array([totals[k] / max(1.0, n[y == k].sum()) for k in (0, 1)])[y]
+    out = {"": best_threshold(score, y, weight)}
+    for one in sorted(set(lang) - {""}):
+        own = lang == one
+        if min(np.bincount(y[own], n[own], 2)) >= 5:  # fewer say nothing of their own
+            out[str(one)] = best_threshold(score[own], y[own], weight[own])
+    return out
+
+
 def threshold(model: Model, lang: str = "lang") -> Column:
     """The rejection threshold of a row's language; the languages are those of the sample."""
     general = F.lit(model.thresholds.get("", PREDICT_AT))

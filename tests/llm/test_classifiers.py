@@ -145,3 +145,12 @@ def test_threshold_stays_clear_of_clean_documents():
     y = np.array([1, 1, 1, 1, 0, 0])
     assert toxicity.best_threshold(score, y, np.ones(6)) == 0.3
     assert toxicity.best_threshold(np.array([0.8, 0.2]), np.array([1, 0]), np.ones(2)) == 0.5
+
+
+def test_thresholds_count_all_labelled_documents(tables):
+    """The sample holds too few of a language; all labelled documents hold enough."""
+    docs, labels, _ = tables
+    model = toxicity.fit(docs, labels, per_class=40)
+    assert set(model.thresholds) == {"", "en", "de"}
+    nothing = toxicity.language_thresholds(docs, labels.limit(0), model, [], [0.0, 0.0])
+    assert nothing == {"": toxicity.PREDICT_AT}
