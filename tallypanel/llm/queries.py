@@ -4,7 +4,21 @@ from __future__ import annotations
 
 import public_tokenizers
 
-from tallypanel.llm import bpe, line_dedup, lm_score, mixing, ngram_join, nn_descent, preferences, quality_fm, quality_rules, toxicity
+from tallypanel.llm import (
+    alignment,
+    bpe,
+    line_dedup,
+    lm_score,
+    mixing,
+    ngram_join,
+    nn_descent,
+    preferences,
+    quality_fm,
+    quality_rules,
+    sharding,
+    toxicity,
+    whitening,
+)
 from tallypanel.llm.common import table
 
 QUERIES = {}
@@ -226,3 +240,56 @@ def op6_preference_formatting(spark, sf_dir):
 def op3_lm_scoring(spark, sf_dir):
     path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
     return lm_score.score(table(spark, sf_dir, "documents"), path, public_tokenizers.PATTERN)
+
+
+@query("op11_cross_tokenizer_alignment")
+def op11_cross_tokenizer_alignment(spark, sf_dir):
+    paths = [public_tokenizers.path(p) for p in ("byte_bpe_50k.json", "piece_bpe_32k.model")]
+    return alignment.align_report(table(spark, sf_dir, "documents"), *paths)
+
+
+@query(
+    "op12_sharding",
+    """
+    WITH RECURSIVE steps AS (
+      -- The table of the checksum: what each byte leads to.
+      SELECT list(v ORDER BY i) AS t FROM (
+        SELECT i, list_reduce(range(8),
+          lambda a, b: CASE WHEN a & 1 = 1 THEN xor(a >> 1, 3988292384) ELSE a >> 1 END, i) AS v
+        FROM range(256) r(i))
+    ),
+    facts AS (
+      SELECT row_number() OVER () AS r, doc_id, strlen(coalesce(text, '')) + 1 AS size,
+        ('0x' || substr(md5(coalesce('#' || doc_id, 'null')), 1, 15))::BIGINT AS key,
+        xor(list_reduce(
+          list_transform(string_split(regexp_replace(hex(encode(coalesce(text, ''))), '(..)', '\\1 ', 'g'), ' ')[:-2],
+            lambda h: ('0x' || h)::BIGINT),
+          lambda a, b: xor(a >> 8, t[(xor(a, b) & 255) + 1]), 4294967295::BIGINT), 4294967295)::BIGINT AS crc
+      FROM documents, steps
+    ),
+    jumps AS (
+      SELECT r, key::HUGEINT AS key, 0::BIGINT AS shard, 0::BIGINT AS ahead, n FROM facts, (VALUES (8), (9)) v(n)
+      UNION ALL
+      SELECT r, next, ahead AS shard,
+        floor((ahead + 1) * (2147483648.0::DOUBLE / ((next // 8589934592)::DOUBLE + 1)))::BIGINT AS ahead, n
+      FROM (
+        SELECT *, (key * 2862933555777941757::HUGEINT + 1) % 18446744073709551616::HUGEINT AS next
+        FROM jumps WHERE ahead < n
+      )
+    ),
+    ends AS (
+      SELECT r, max(shard) FILTER (WHERE n = 8)::INT AS shard, max(shard) FILTER (WHERE n = 9)::INT AS grown_shard
+      FROM jumps GROUP BY r
+    )
+    SELECT doc_id, size, crc AS text_crc32, 'key' AS law, shard, grown_shard,
+      row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, crc, size) - 1 AS slot
+    FROM facts JOIN ends USING (r)
+    """,
+)
+def op12_sharding(spark, sf_dir):
+    return sharding.assign(table(spark, sf_dir, "documents"))
+
+
+@query("op13_embedding_whitening")
+def op13_embedding_whitening(spark, sf_dir):
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))

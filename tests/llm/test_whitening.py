@@ -1,0 +1,112 @@
+from fractions import Fraction
+
+import numpy as np
+import pytest
+
+from tallypanel.llm import whitening
+
+SCHEMA = "vec_id long, embedding array<float>, label int, component string, n string"
+
+
+def rows_of(vectors):
+    return [(i, None if v is None else [None if c is None else float(c) for c in v], i % 3, "x", "y") for i, v in enumerate(vectors)]
+
+
+def whole(v):
+    return np.floor(64 * np.array(v, np.float32).astype(float)).astype(np.int64) + 1_000_000
+
+
+def vectors(n=300, size=6, seed=0):
+    rng = np.random.default_rng(seed)
+    mix = rng.normal(size=(size, size))
+    return (rng.normal(size=(n, size)) @ mix).astype(np.float32).tolist()
+
+
+def plain(x):
+    """Covariance by exact products of centred fractions, and deviations."""
+    n, size = x.shape
+    sums = [int(c) for c in x.sum(0)]
+    d = [[n * int(v) - s for v, s in zip(row, sums)] for row in x]
+    cov = np.array([[float(Fraction(sum(r[i] * r[j] for r in d), n**3)) for j in range(size)] for i in range(size)])
+    return cov, [sum(v * v for v in r) for r in d], np.array([[float(Fraction(v, n)) for v in r] for r in d])
+
+
+def check(spark, data, components=32, rows=None):
+    got = whitening.whiten(spark.createDataFrame(rows or rows_of(data), SCHEMA), components)
+    assert got.columns == ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"]
+    return got.collect()
+
+
+def compare(spark, good, rows, components=32):
+    x = np.array([whole(v) for v in good.values()])
+    cov, deviation, centred = plain(x)
+    values, axes = np.linalg.eigh(cov)
+    values, axes = values[::-1], axes[:, ::-1]
+    got = check(spark, None, components, rows)
+    k = min(components, x.shape[1])
+    assert len(got) == len(x) * k
+    of = {i: at for at, i in enumerate(good)}
+    told = np.zeros((len(x), k))
+    for r in got:
+        at = of[r["vec_id"]]
+        assert r["n"] == len(x) and r["deviation"] == deviation[at]
+        assert r["explained"] == pytest.approx(values[r["component"] - 1] / np.trace(cov), rel=1e-9)
+        assert r["identity_error"] < 1e-9
+        told[at, r["component"] - 1] = r["whitened"]
+    want = centred @ axes[:, :k] / np.sqrt(values[:k])
+    sign = np.sign((told * want).sum(0))
+    assert np.allclose(told, want * sign, atol=1e-8)
+
+
+def test_equals_products_of_centred_values(spark):
+    data = vectors()
+    compare(spark, dict(enumerate(data)), rows_of(data))
+    compare(spark, dict(enumerate(data)), rows_of(data), components=2)
+
+
+def test_odd_rows_are_left_out(spark):
+    data = vectors(40, 4)
+    odd = [None, [], [None, 1, 2, 3], [float("nan"), 0, 0, 0], [float("inf"), 0, 0, 0], [0, -float("inf"), 0, 0], [1.0] * 7, [3e38, 0, 0, 0]]
+    good = {i: v for i, v in enumerate(data)}
+    compare(spark, good, rows_of(data + odd))
+
+
+def test_repeats_and_null_ids(spark):
+    data = vectors(30, 3) + [[0.0, 0.0, 0.0]] * 5
+    rows = [*rows_of(data), *rows_of(data)[:4], (None, data[0], 1, "x", "y")]
+    got = check(spark, None, rows=rows)
+    assert {r["n"] for r in got} == {len(rows)} and len(got) == 3 * len(rows)
+    assert sum(r["vec_id"] is None for r in got) == 3
+
+
+def test_large_entries_stay_exact(spark):
+    rng = np.random.default_rng(3)
+    data = (rng.normal(size=(50, 3)) * [1e12, 1.0, 1e8]).astype(np.float32).tolist()
+    x = np.array([whole(v) for v in data])
+    cov, deviation, _ = plain(x)
+    got = check(spark, data)
+    told = {r["vec_id"]: r["deviation"] for r in got}
+    assert told == {i: d if d < 2**63 else None for i, d in enumerate(deviation)}
+    assert {r["component"] for r in got} == {1, 2}  # the third one is below 1e-12 of the first
+
+
+def test_squares_by_halves():
+    rng = np.random.default_rng(4)
+    for most in (10, 2**30, 2**45, 2**50, 2**61):
+        d = rng.integers(-most, most, (500, 7))
+        assert whitening.squares(d).tolist() == [sum(int(v) ** 2 for v in c) for c in d.T]
+
+
+def test_no_variance(spark):
+    assert check(spark, [[1.0, 2.0]] * 4) == []
+    assert check(spark, [[1.0, 2.0]]) == []
+    assert check(spark, [None, []]) == []
+    assert whitening.whiten(spark.createDataFrame([], SCHEMA)).collect() == []
+    # A direction without variance is no component.
+    flat = [[float(i), 2.0, float(i % 7)] for i in range(30)]
+    assert {r["component"] for r in check(spark, flat)} == {1, 2}
+
+
+def test_length_of_most(spark):
+    data = vectors(10, 3) + vectors(10, 5, 1)
+    assert {r["vec_id"] for r in check(spark, data)} == set(range(10, 20))
