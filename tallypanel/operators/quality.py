@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallypanel.functions.days import run_time_label
@@ -90,3 +90,25 @@ def run_summary(
     ]
     summary = reduce(DataFrame.unionByName, parts)
     return summary.withColumn("run_at", run_time_label()) if stamp else summary
+
+
+def observed(df: DataFrame, ts: str, metrics: Sequence[str] = ()) -> tuple[DataFrame, Observation]:
+    """``df`` and the figures of a run's summary, taken while ``df`` is written: ``lines``,
+    ``min_day``, ``max_day`` and, with ``metrics``, ``negative_deltas``. They are there once an
+    action has run, and they are exact if nothing is shuffled between ``df`` and the sink."""
+    below = [F.count_if(F.col(delta_name(m)) < 0) for m in metrics]
+    counts = [reduce(lambda a, b: a + b, below).alias("negative_deltas")] if below else []
+    seen = Observation()
+    figures = [F.count(F.lit(1)).alias("lines"), F.min(ts).alias("min_day"), F.max(ts).alias("max_day")]
+    return df.observe(seen, *figures, *counts), seen
+
+
+def observed_summary(spark: SparkSession, figures: Mapping[str, Mapping], stamp: bool = False) -> DataFrame:
+    """``run_summary`` from the figures of each table, which are a row per table; with what else
+    they hold of whole numbers, such as rows set aside."""
+    others = sorted({k for f in figures.values() for k in f} - {"lines", "min_day", "max_day"})
+    rows = [(name, f["lines"], f["min_day"], f["max_day"], *[f.get(k) for k in others]) for name, f in figures.items()]
+    schema = "dataset string, lines long, min_day date, max_day date" + "".join(f", {k} long" for k in others)
+    told = spark.createDataFrame(rows, schema)
+    summary = told.select("dataset", "lines", thousands(F.col("lines")).alias("lines_text"), "min_day", "max_day", *others)
+    return summary.withColumn("run_at", run_time_label()) if stamp else summary

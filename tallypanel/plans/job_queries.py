@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tallypanel.operators.order import file_order
 from tallypanel.plans import jobs
 from tallypanel.plans.catalog import day_text, query
 from tallypanel.plans.metric_queries import DOUBLING
@@ -17,13 +18,15 @@ from tallypanel.plans.panels import (
     SUMS,
     TS,
     day_series,
+    event_panel,
     event_rows,
     nation_orders,
     table,
 )
-from tallypanel.plans.text_queries import map_documents, regional_documents
+from tallypanel.plans.text_queries import map_documents, regional_documents, summary_documents
 from tallypanel.session import materialize, scratch_path
 from tallypanel.sinks.files import write_csv
+from tallypanel.sinks.versions import current_path
 from tallypanel.sources.files import read_csv
 
 DERIVED = "newConfirmed newRecovered newDeaths growthRate movingAvg doublingTime"
@@ -98,15 +101,15 @@ def world_growth_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.world_job(_world_feed(spark, sf_dir), growth_keys=())
 
 
-@query(
-    "history_job",
-    f"""WITH {DAY_SERIES},
+HISTORY = f"""WITH {DAY_SERIES},
 seeded AS (SELECT timestamp, confirmed, recovered, deaths FROM series UNION ALL
   SELECT CAST(min(timestamp) - INTERVAL 1 DAY AS DATE), 0, 0, 0 FROM series),
 {_derive("seeded", "", "")},
 numbered AS (SELECT *, row_number() OVER (ORDER BY timestamp) - 1 AS "Days" FROM derived)
-SELECT {_shown(jobs.HISTORY_COLUMNS, ("Days",), ("doublingTime",))} FROM numbered""",
-)
+SELECT {_shown(jobs.HISTORY_COLUMNS, ("Days",), ("doublingTime",))} FROM numbered"""
+
+
+@query("history_job", HISTORY)
 def history_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.history_job(day_series(spark, sf_dir))
 
@@ -176,13 +179,14 @@ def regional_job(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jobs.regional_job(feed, names)
 
 
-def _table_type(columns: list[str], longs: tuple[str, ...] = ()) -> str:
-    kinds = {"timestamp": "string", "country": "string", "state": "string"} | dict.fromkeys(longs, "long")
-    return ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns)
+def _csv_of(spark: SparkSession, table: str, columns: list[str], others: dict[str, str] | None = None) -> DataFrame:
+    """The current version's CSV files."""
+    kinds = {"timestamp": "string", "country": "string", "state": "string"} | (others or {})
+    schema = ", ".join(f"{c} {kinds.get(c, 'double')}" for c in columns)
+    return read_csv(spark, current_path(spark, table, "csv"), schema)
 
 
-@query("run_country_table", COUNTRY)
-def run_country_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+def run_country_table_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Landed feed and lookups, the whole run, and the written table read back."""
     root = scratch_path(spark, "run")
     daily = nation_orders(spark, sf_dir).where("n_name IS NOT NULL")
@@ -198,7 +202,12 @@ def run_country_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_csv(places, f"{root}/places")
     inputs = {"map_feed": f"{root}/feed", "country_names": f"{root}/names", "coordinates": f"{root}/places"}
     jobs.run_jobs(spark, inputs, f"{root}/tables", ["country"], "lines")
-    return read_csv(spark, f"{root}/tables/country/csv", _table_type(jobs.COUNTRY_COLUMNS))
+    return _csv_of(spark, f"{root}/tables/country", jobs.COUNTRY_COLUMNS)
+
+
+@query("run_country_table", COUNTRY)
+def run_country_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return run_country_table_files(spark, sf_dir)
 
 
 @query("run_regional_table", REGIONAL)
@@ -211,4 +220,34 @@ def run_regional_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     write_csv(spark.createDataFrame(STATE_NAMES, "current string, subs string"), f"{root}/names")
     inputs = {"history_feed": f"{root}/feed", "state_names": f"{root}/names"}
     jobs.run_jobs(spark, inputs, f"{root}/tables", ["regional"], "lines")
-    return read_csv(spark, f"{root}/tables/regional/csv", _table_type(jobs.REGIONAL_COLUMNS))
+    return _csv_of(spark, f"{root}/tables/regional", jobs.REGIONAL_COLUMNS)
+
+
+@query("run_world_table", _world_sql("PARTITION BY timestamp"))
+def run_world_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the world table."""
+    root = scratch_path(spark, "run")
+    map_documents(event_panel(spark, sf_dir), "event_type").write.text(f"{root}/feed")
+    jobs.run_jobs(spark, {"map_feed": f"{root}/feed"}, f"{root}/tables", ["world"], "lines")
+    return _csv_of(spark, f"{root}/tables/world", jobs.WORLD_COLUMNS, {"Days": "int"})
+
+
+@query("run_history_table", HISTORY)
+def run_history_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same of the history table."""
+    root = scratch_path(spark, "run")
+    summary_documents(event_panel(spark, sf_dir)).write.text(f"{root}/feed")
+    jobs.run_jobs(spark, {"history_feed": f"{root}/feed"}, f"{root}/tables", ["history"], "lines")
+    return _csv_of(spark, f"{root}/tables/history", jobs.HISTORY_COLUMNS, {"Days": "int", "doublingTime": "long"})
+
+
+@query(
+    "ordered_country_table",
+    COUNTRY.rpartition("SELECT ")[0]
+    + """SELECT country, strftime(placed.timestamp, '%m-%d-%Y') AS timestamp, CAST("Days" AS DOUBLE) AS "Days",
+  row_number() OVER (ORDER BY country NULLS FIRST, placed.timestamp, "Days") - 1 AS position FROM placed""",
+)
+def ordered_country_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The place of each row in the files of the written table."""
+    rows = run_country_table_files(spark, sf_dir)
+    return file_order(rows).select("country", TS, "Days", "position")

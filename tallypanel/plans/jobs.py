@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
+from functools import partial
 
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from tallypanel.operators import aggregate as agg
 from tallypanel.operators import lookup, quality, segmented, series, shape, spine
 from tallypanel.session import mark, materialize, release
 from tallypanel.sinks import files as sinks
+from tallypanel.sinks import versions
 from tallypanel.sources import feeds, files
 
 TS = "timestamp"
@@ -176,7 +178,7 @@ class Job:
 
 JOBS = {
     "world": Job("map", _world, (TS,)),
-    "country": Job("map", _country, ("country", TS)),
+    "country": Job("map", _country, ("country", TS, "Days")),
     "history": Job("summary", _history, (TS,)),
     "regional": Job("regional", _regional, ("state", TS)),
 }
@@ -194,33 +196,68 @@ def load_feed(
     return materialize(rows, f"feed-{feed}")
 
 
+def load_feed_set_aside(
+    spark: SparkSession, feed: str, inputs: Mapping[str, str], layout: str = "document"
+) -> tuple[DataFrame, DataFrame]:
+    """``load_feed`` of the sound records, and the others as ``feeds.set_aside`` shows them."""
+    kind = "map_feed" if feed == "map" else "history_feed"
+    docs = feeds.read_documents(spark, inputs[kind], layout)
+    checked = materialize(feeds.checked_records(docs, feed), f"checked-{feed}")
+    return feeds.sound(checked, feed), feeds.set_aside(checked)
+
+
+BROKEN = ("fail", "set_aside")
+
+
 def run_jobs(
     spark: SparkSession,
     inputs: Mapping[str, str],
     out_dir: str,
     names: Sequence[str] = tuple(JOBS),
     layout: str = "document",
+    broken: str = "fail",
 ) -> DataFrame:
-    """Build the named tables from landed files and replace ``<out_dir>/<name>/csv`` and
-    ``<out_dir>/<name>/json``. Jobs on the same feed share its parsed rows. Returns the
-    summary of the run, one row per table, with its count of negative deltas; the scratch
-    of the run is deleted."""
+    """Build the named tables from landed files and replace the versioned table
+    ``<out_dir>/<name>`` by its CSV and JSON files, which appear together
+    (``sinks.versions``). Jobs on the same feed share its parsed rows.
+
+    Broken records fail the run; with ``broken="set_aside"`` they go to the versioned table
+    ``<out_dir>/set_aside/<feed>`` and the summary counts them. Returns the summary of the run,
+    one row per table, from figures taken while the tables are written. The scratch of the run is
+    deleted, also when it fails.
+    """
+    if broken not in BROKEN:
+        raise ValueError(f"broken is one of {', '.join(BROKEN)}")
     since = mark(spark)
     loaded: dict[str, DataFrame] = {}
-    tables: dict[str, DataFrame] = {}
-    for name in names:
-        job = JOBS[name]
-        if job.feed not in loaded:
-            loaded[job.feed] = load_feed(spark, job.feed, inputs, layout)
-        tables[name] = materialize(job.build(spark, loaded[job.feed], inputs), name)
-        # Sorted once for both; a lost part is sorted again from the stored table.
-        ordered = tables[name].orderBy(*job.order).persist(StorageLevel.DISK_ONLY)
-        try:
-            sinks.write_csv(ordered, f"{out_dir}/{name}/csv")
-            sinks.write_json(ordered, f"{out_dir}/{name}/json")
-        finally:
-            ordered.unpersist()
-    summary = quality.run_summary(tables, TS, stamp=True, metrics=METRICS)
-    rows = spark.createDataFrame(summary.collect(), summary.schema)  # a row per table
-    release(spark, since)
-    return rows
+    aside: dict[str, int] = {}
+    figures: dict[str, dict] = {}
+    try:
+        for name in names:
+            job = JOBS[name]
+            if job.feed not in loaded and broken == "set_aside":
+                loaded[job.feed], rest = load_feed_set_aside(spark, job.feed, inputs, layout)
+                aside[job.feed] = _write_aside(spark, rest, f"{out_dir}/set_aside/{job.feed}")
+            elif job.feed not in loaded:
+                loaded[job.feed] = load_feed(spark, job.feed, inputs, layout)
+            built, seen = quality.observed(job.build(spark, loaded[job.feed], inputs), TS, METRICS)
+            stored = materialize(built, name)
+            figures[name] = dict(seen.get) | ({"set_aside": aside[job.feed]} if aside else {})
+            # Sorted once for both; a lost part is sorted again from the stored table.
+            ordered = stored.orderBy(*job.order).persist(StorageLevel.DISK_ONLY)
+            try:
+                writers = {"csv": partial(sinks.write_csv, ordered), "json": partial(sinks.write_json, ordered)}
+                versions.replace(spark, f"{out_dir}/{name}", writers)
+            finally:
+                ordered.unpersist()
+        return quality.observed_summary(spark, figures, stamp=True)
+    finally:
+        release(spark, since)
+
+
+def _write_aside(spark: SparkSession, rows: DataFrame, table: str) -> int:
+    """Publish the rows set aside; their number."""
+    seen = Observation()
+    counted = rows.observe(seen, F.count(F.lit(1)).alias("lines"))
+    versions.replace(spark, table, {"json": lambda path: counted.write.json(path)})
+    return seen.get["lines"]

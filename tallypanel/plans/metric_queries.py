@@ -24,6 +24,7 @@ from tallypanel.plans.panels import (
     event_rows,
     table,
 )
+from tallypanel.session import materialize
 
 KEY = ["event_type"]
 W = "WINDOW w AS (PARTITION BY event_type ORDER BY timestamp)"
@@ -244,6 +245,24 @@ def run_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.run_summary(tables, TS)
 
 
+@query(
+    "observed_summary",
+    f"""WITH {EVENT_ROWS}, parts AS (
+  SELECT 'events' AS dataset, count(*) AS lines, min(timestamp) AS min_day, max(timestamp) AS max_day FROM event_rows UNION ALL
+  SELECT 'orders', count(*), min(CAST(o_orderdate AS DATE)), max(CAST(o_orderdate AS DATE)) FROM orders)
+SELECT dataset, lines, format('{{:,}}', lines) AS lines_text, {day_text("min_day")}, {day_text("max_day")} FROM parts""",
+)
+def observed_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The summary from figures taken while the tables are written."""
+    orders = table(spark, sf_dir, "orders").select(F.to_date("o_orderdate").alias(TS))
+    figures = {}
+    for name, df in (("events", event_rows(spark, sf_dir)), ("orders", orders)):
+        written, seen = quality.observed(df, TS)
+        materialize(written, name)
+        figures[name] = seen.get
+    return quality.observed_summary(spark, figures)
+
+
 @query(
     "duplicate_days",
     f"""WITH {EVENT_ROWS} SELECT user_id, {day_text()}, count(*) AS rows FROM event_rows

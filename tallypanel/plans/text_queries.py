@@ -11,13 +11,16 @@ from tallypanel.plans.catalog import day_text, query
 from tallypanel.plans.panel_queries import TRIMMED, users
 from tallypanel.plans.panels import (
     METRICS,
+    NATION_ORDERS,
     TS,
     event_panel,
     event_panel_sql,
+    nation_orders,
     table,
 )
 from tallypanel.session import scratch_path
 from tallypanel.sinks import files as sinks
+from tallypanel.sinks import months
 from tallypanel.sources import feeds, files
 
 UNPADDED = "yyyy-M-d"
@@ -33,6 +36,18 @@ def date_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return table(spark, sf_dir, "orders").select("o_orderkey", text.date_text(unpadded).alias("label"))
 
 
+@query(
+    "padded_parts",
+    """SELECT o_orderkey, strftime(o_orderdate, '%m') || '/' || strftime(o_orderdate, '%d') || '/' ||
+  CAST(year(o_orderdate) AS VARCHAR) AS label FROM orders""",
+)
+def padded_parts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of an unpadded date, each padded by itself."""
+    parts = F.split(F.date_format("o_orderdate", UNPADDED), "-")
+    label = F.concat_ws("/", text.zero_pad(parts[1]), text.zero_pad(parts[2]), parts[0])
+    return table(spark, sf_dir, "orders").select("o_orderkey", label.alias("label"))
+
+
 @query(
     "parsed_days",
     "SELECT o_orderkey, strftime(o_orderdate, '%m-%d-%Y') AS day FROM orders",
@@ -199,6 +214,45 @@ def history_regions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return feeds.with_day(feeds.flatten_history_regions(docs), "day")
 
 
+def broken_documents(panel: DataFrame, key: str) -> DataFrame:
+    """``map_documents`` of which some are cut off, and some records have no day or no number."""
+    record = F.struct(
+        F.when(F.col("confirmed") % 7 == 0, F.lit("soon")).otherwise(F.date_format(TS, UNPADDED)).alias("date"),
+        F.when(F.col("confirmed") % 5 == 0, F.lit("many")).otherwise(F.col("confirmed").cast("string")).alias("confirmed"),
+        F.concat(F.col("deaths").cast("string"), F.lit(".0")).alias("deaths"),
+        "recovered",
+    )
+    grouped = panel.groupBy(F.col(key).alias("_key")).agg(F.collect_list(record).alias("_records"))
+    whole = F.to_json(F.create_map(F.col("_key").cast("string"), F.col("_records")))
+    return grouped.select(F.when(F.col("_key") % 11 == 0, F.left(whole, F.lit(20))).otherwise(whole).alias("value"))
+
+
+@query(
+    "feed_sound_records",
+    f"""WITH {USERS} {MAP_ROWS.format(key='user_id', day=day_text())}
+WHERE user_id % 11 <> 0 AND confirmed % 7 <> 0 AND confirmed % 5 <> 0""",
+)
+def feed_sound_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = broken_documents(users(spark, sf_dir), "user_id")
+    return feeds.sound(feeds.checked_records(docs, "map"), "map")
+
+
+@query(
+    "feed_set_aside",
+    f"""WITH {USERS}, told AS (
+  SELECT 'unreadable document' AS reason, count(DISTINCT user_id) AS records FROM panel WHERE user_id % 11 = 0 UNION ALL
+  SELECT 'no such day', count(*) FROM panel WHERE user_id % 11 <> 0 AND confirmed % 7 = 0 UNION ALL
+  SELECT 'confirmed is no number', count(*) FROM panel
+  WHERE user_id % 11 <> 0 AND confirmed % 7 <> 0 AND confirmed % 5 = 0)
+SELECT reason, records FROM told WHERE records > 0""",
+)
+def feed_set_aside(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many records are set aside and why."""
+    docs = broken_documents(users(spark, sf_dir), "user_id")
+    aside = feeds.set_aside(feeds.checked_records(docs, "map"))
+    return aside.groupBy("reason").agg(F.count("*").alias("records"))
+
+
 @query("csv_lookup", "SELECT c_name AS current, c_mktsegment AS subs FROM customer")
 def csv_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch_path(spark, "lookup")
@@ -245,3 +299,23 @@ def json_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def json_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sinks.json_records(users(spark, sf_dir).select("user_id", TS, *METRICS))
+
+
+MONTHS = ("2024-01", "1995-03", "1996-07", "1998-02")
+NATION_FIELDS = "n_name string, timestamp date, confirmed long, recovered long, deaths long"
+
+
+@query(
+    "replaced_month",
+    f"""WITH {NATION_ORDERS} SELECT n_name, {day_text()}, strftime(nation_orders.timestamp, '%Y-%m') AS month,
+  confirmed * CASE WHEN strftime(nation_orders.timestamp, '%Y-%m') = '1996-07' THEN 2 ELSE 1 END AS confirmed,
+  recovered, deaths FROM nation_orders WHERE strftime(nation_orders.timestamp, '%Y-%m') IN {MONTHS}""",
+)
+def replaced_month(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A table by month, one month of it replaced, some months of it read."""
+    path = scratch_path(spark, "months")
+    panel = nation_orders(spark, sf_dir)
+    months.write_months(panel, path, TS, ["n_name"])
+    corrected = panel.where(months.month_of(F.col(TS)) == "1996-07").withColumn("confirmed", F.col("confirmed") * 2)
+    months.write_months(corrected, path, TS, ["n_name"])
+    return months.read_months(spark, path, NATION_FIELDS, MONTHS)

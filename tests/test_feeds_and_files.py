@@ -159,3 +159,40 @@ def test_csv_keeps_blanks_and_line_breaks(spark, tmp_path):
     sinks.write_csv(df, str(tmp_path / "t"))
     back = files.read_csv(spark, str(tmp_path / "t"), "id int, v string", multi_line=True)
     assert [r["v"] for r in back.orderBy("id").collect()] == texts
+
+
+def reasons(spark, feed, *values):
+    docs = spark.createDataFrame([(v,) for v in values], "value string")
+    checked = feeds.checked_records(docs, feed)
+    return feeds.sound(checked, feed), sorted(r["reason"] for r in feeds.set_aside(checked).collect())
+
+
+def test_broken_map_records_are_set_aside(spark):
+    record = lambda **other: {"date": "2020-1-22", "confirmed": 1, "deaths": "2.0", "recovered": None} | other
+    good = json.dumps({"A": [record(), record(date="2020-01-05")], "Nowhere": []})
+    odd = json.dumps({"B": [record(date="soon"), record(confirmed="x"), record(deaths=1.5), record(), None], "C": None, "D": 5})
+    rows, found = reasons(spark, "map", good, odd, "{", "[1]", "", "{}", None)
+    assert found == sorted(
+        ["no such day", "confirmed is no number", "deaths is not whole", "no records", "no records", "unreadable record"]
+        + ["unreadable document"] * 4
+    )
+    assert sorted(r["country"] for r in rows.collect()) == ["A", "A", "B"]
+    docs = spark.createDataFrame([(good,)], "value string")
+    strict = feeds.with_day(feeds.flatten_map_feed(docs), "date")
+    columns = ["country", "confirmed", "deaths", "recovered", "timestamp"]
+    same = feeds.sound(feeds.checked_records(docs, "map"), "map")
+    assert same.select(*columns).dtypes == strict.select(*columns).dtypes
+    assert sorted(map(tuple, same.select(*columns).collect())) == sorted(map(tuple, strict.select(*columns).collect()))
+
+
+def test_broken_history_records_are_set_aside(spark):
+    good = json.dumps(HISTORY)
+    odd = json.dumps({"data": [{"day": "2020-13-01", "summary": {"total": 1}, "regional": [region("A", "x")]}, {"day": "2020-03-12"}]})
+    days, found = reasons(spark, "summary", good, odd, '{"data": 3}', "{}", "nothing")
+    assert found == ["no records", "no such day"] + ["unreadable document"] * 3
+    assert sorted(r["confirmed"] for r in days.collect()) == [47, 60]
+    states, found = reasons(spark, "regional", good, odd)
+    assert found == ["no records", "no such day"]
+    assert rows_of(states, "state", "confirmed") == [("Nagaland", 4), ("Nagaland#", 3)]
+    strict = feeds.with_day(feeds.flatten_history_regions(spark.createDataFrame([(good,)], "value string")), "day")
+    assert states.select(*sorted(strict.columns)).dtypes == strict.select(*sorted(strict.columns)).dtypes

@@ -11,6 +11,7 @@ from helpers import average, completed, deltas, doubling, growth, repair_pass, t
 
 from tallypanel import session
 from tallypanel.plans import jobs
+from tallypanel.sinks import versions
 
 METRICS = ["confirmed", "recovered", "deaths"]
 NEW = {"confirmed": "newConfirmed", "recovered": "newRecovered", "deaths": "newDeaths"}
@@ -79,7 +80,8 @@ def tables(spark, landed):
     summary = {r["dataset"]: r for r in jobs.run_jobs(spark, inputs, out).collect()}
     assert list(summary) == list(jobs.JOBS)
     assert str(summary["world"]["max_day"]) == "2020-03-16" and summary["world"]["lines"] == 17
-    return {name: (read_csv(f"{out}/{name}/csv"), read_json(f"{out}/{name}/json")) for name in jobs.JOBS}
+    path = lambda name, kind: versions.current_path(spark, f"{out}/{name}", kind)
+    return {name: (read_csv(path(name, "csv")), read_json(path(name, "json"))) for name in jobs.JOBS}
 
 
 def part_files(path):
