@@ -14,10 +14,10 @@ from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tallypanel.session import materialize
+from tallypanel.operators.order import ranked, same  # noqa: F401  (used by the operators here)
 
 WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["doc", "fp"]
@@ -56,37 +56,6 @@ def word_count(column: str = "text") -> Column:
     return F.coalesce(F.regexp_count(F.col(column), F.lit(WORD)), F.lit(0)).cast("long")
 
 
-def same(left: str, right: str, names: Sequence[str]) -> Column:
-    """Null-safe equality of the columns ``names`` of two aliased sides."""
-    match = F.lit(True)
-    for name in names:
-        match = match & F.col(f"{left}.{name}").eqNullSafe(F.col(f"{right}.{name}"))
-    return match
-
-
-def ranked(
-    df: DataFrame, order: Sequence[Column | str], within: Sequence[str] = (), out: str = "rank"
-) -> DataFrame:
-    """Position from 0 of each row in ``order`` within its group, however large the group.
-
-    Rows are dealt by range of (group, order) and fixed with the number of their part. A
-    part's first group alone can continue an earlier part's, so at most one row per part
-    is broadcast.
-    """
-    cut = df.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id())
-    fixed = materialize(cut, "ranked")
-    counts = fixed.groupBy("_part", *within).agg(F.count("*").alias("_n"))
-    earlier = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
-    before = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
-    joined = fixed.alias("r").join(
-        F.broadcast(before.alias("b")), same("r", "b", ["_part", *within]), "left"
-    )
-    local = Window.partitionBy("_part", *within).orderBy(*order)
-    rows = joined.select("r.*", F.coalesce("b._before", F.lit(0)).alias("_before"))
-    position = F.col("_before") + F.row_number().over(local) - 1
-    return rows.withColumn(out, position.cast("long")).drop("_part", "_before")
-
-
 def pack_rows(df: DataFrame, **keys: Column) -> DataFrame:
     """All columns as one struct ``row`` beside the named ones, so names cannot clash."""
     return df.select(F.struct("*").alias("row"), *[c.alias(k) for k, c in keys.items()])
