@@ -39,7 +39,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallypanel.llm.common import batch_of, prepare, slices
+from tallypanel.llm.common import batch_of, held, prepare, slices
 from tallypanel.llm.words import WordTable, sums
 from tallypanel.session import materialize
 
@@ -352,16 +352,14 @@ class Digester:
         return counts, shown, np.concatenate(owners or none), np.concatenate(keys or none)
 
 
-_DIGESTERS: dict[str, Digester] = {}
-
-
 def digester(raw_a: bytes, raw_b: bytes) -> Digester:
-    """One per worker process and pair of vocabularies; what it remembers is bounded."""
-    key = hashlib.sha256(raw_a + b"|" + raw_b).hexdigest()
-    if key not in _DIGESTERS:
-        _DIGESTERS.clear()
-        _DIGESTERS[key] = Digester(Aligner(raw_a, raw_b))
-    return _DIGESTERS[key]
+    """One per worker process and pair of vocabularies, until another operator uses the process;
+    what it remembers is bounded."""
+    store, key = held("alignment"), hashlib.sha256(raw_a + b"|" + raw_b).hexdigest()
+    if key not in store:
+        store.clear()
+        store[key] = Digester(Aligner(raw_a, raw_b))
+    return store[key]
 
 
 def _read(path: str) -> bytes:

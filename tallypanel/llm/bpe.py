@@ -26,12 +26,13 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tallypanel.llm.common import batch_of, pack_rows, slices
+from tallypanel.llm.common import batch_of, held, pack_rows, slices
 
 NONE = np.int64(1) << 40  # no pair starts here; above every rank and position
 MOST_AT_ONCE = 1 << 19  # leaves in the arrays of one step
 LONGEST_SHARED = 256  # bytes of a match that is merged beside others
-MOST_KEPT = 400_000  # encoded matches that a worker remembers
+MOST_KEPT = 48_000_000  # bytes, about, of what a worker remembers of encoded matches
+ENTRY = 150  # bytes of a remembered match besides its text and ids
 LONGEST_KEPT = 128
 
 
@@ -80,8 +81,12 @@ class Encoder:
         self.pairs = pairs
         self.pair_keys = np.array(sorted(pairs), np.int64)
         self.pair_ranks = np.array([pairs[int(k)] for k in self.pair_keys], np.int64)
+        self.forget()
+
+    def forget(self) -> None:
         self.kept: dict[str, bytes | None] = {}  # by what follows a space
         self.pieces: dict[str, bytes] = {}  # by match
+        self.size = 0
 
     # ---- merging
 
@@ -191,18 +196,21 @@ class Encoder:
         """The matches of each text; those not known yet are merged."""
         found = [self.find(t) for t in texts]
         new = list({m for ms in found for m in ms if m not in self.pieces})
-        self.pieces.update(zip(new, self.merge([m.encode() for m in new])))
+        ids = self.merge([m.encode() for m in new])
+        self.pieces.update(zip(new, ids))
+        self.size += ENTRY * len(new) + sum(map(len, new)) + sum(map(len, ids))
         return found
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of each text.
 
-        A space between two characters that are no white space always starts a match, so
-        texts are cut there and what was seen before is looked up. A text with other white
-        space beside a space is cut by the pattern alone.
+        A space between two characters that are no white space always starts a match of the
+        tokenizers' usual pattern (another ``pattern`` must do so as well), so texts are cut
+        there and what was seen before is looked up. A text with other white space beside a
+        space is cut by the pattern alone.
         """
-        if len(self.kept) > MOST_KEPT or len(self.pieces) > MOST_KEPT:
-            self.kept, self.pieces = {}, {}
+        if self.size > MOST_KEPT:
+            self.forget()
         kept, parts = self.kept, [t.split(" ") for t in texts]
         new = {p for ps in parts for p in ps[1:] if p not in kept}
         odd = {p for p in new if not p or p[0].isspace() or p[-1].isspace()}
@@ -210,7 +218,8 @@ class Encoder:
         new = list(new - odd)
         join, pieces = b"".join, self.pieces
         for part, ms in zip(new, self._matches([" " + p for p in new])):
-            kept[part] = join([pieces[m] for m in ms])
+            kept[part] = ids = join([pieces[m] for m in ms])
+            self.size += ENTRY + len(part) + len(ids)
         heads = self._matches([ps[0] for ps in parts])
         out: list[bytes] = []
         odd_texts: list[int] = []
@@ -231,16 +240,13 @@ class Encoder:
         return b"".join(map(self.bytes_of.__getitem__, np.frombuffer(ids, "<u4").tolist()))
 
 
-_ENCODERS: dict[str, Encoder] = {}
-
-
 def encoder(raw: bytes, pattern: str) -> Encoder:
-    """One per worker process and vocabulary."""
-    key = hashlib.sha256(raw + pattern.encode()).hexdigest()
-    if key not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key] = Encoder(raw, pattern)
-    return _ENCODERS[key]
+    """One per worker process and vocabulary, until another operator uses the process."""
+    store, key = held("bpe"), hashlib.sha256(raw + pattern.encode()).hexdigest()
+    if key not in store:
+        store.clear()
+        store[key] = Encoder(raw, pattern)
+    return store[key]
 
 
 def read_vocabulary(path: str) -> bytes:

@@ -9,6 +9,8 @@ one document, and each of them gets its result.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Iterable, Iterator, Sequence
 from pathlib import Path
 
@@ -23,6 +25,31 @@ WORD = r"[^\x20\x09-\x0D]+"
 KEY = ["doc", "fp"]
 
 
+# What an operator keeps in a worker process from task to task, by the operator's name. Workers are
+# used again by later stages, so the next operator lets go what others have left.
+_HELD: dict[str, dict] = {}
+
+
+def held(operator: str) -> dict:
+    """The operator's own store in this worker process; those of all others are emptied, and the
+    memory they had goes back to the machine."""
+    others = [store for name, store in _HELD.items() if name != operator and store]
+    for store in others:
+        store.clear()
+    if others:
+        give_back()
+    return _HELD.setdefault(operator, {})
+
+
+def give_back() -> None:
+    """Free memory that Python no longer uses, where the C library can."""
+    gc.collect()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):
+        pass  # another C library
+
+
 def prepare(spark: SparkSession) -> None:
     """Let Python workers import this package from where the driver has it. On a cluster
     without that folder it is installed on the machines or sent by ``--py-files``."""

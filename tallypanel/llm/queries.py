@@ -116,8 +116,7 @@ def op8_source_mixing(spark, sf_dir):
 
 @query("op2_toxicity")
 def op2_toxicity(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return toxicity.toxicity(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return toxicity.toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 @query("op7_byte_bpe")

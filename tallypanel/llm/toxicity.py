@@ -2,14 +2,15 @@
 
 A word is lower-cased and freed of punctuation at its ends; it and its first four letters are
 hashed, so that inflected forms are known by their stem. Hashes seen in at least two sampled
-documents have an embedding, all others none, and a word's embedding is the sum of its two.
+documents have an embedding (the ``MOST_HASHES`` commonest of them; a bound of the fit), all others
+none, and a word's embedding is the sum of its two.
 Filters of several widths run
 over the embeddings, each keeps its maximum over the text, and a logistic layer reads the
 maxima. Trained in numpy on a bounded sample of labelled documents (``labelled``); the score
 is calibrated on a fifth of it. A rejection threshold for each language is chosen from counts of
 labels and scores over all labelled documents but the held-out and the fitted ones.
-Scoring needs no shuffle: the convolutions of an embedding are tables, and memory is bounded
-by a block of words.
+Every text is scored once: scores are stored, and labels meet them there. Scoring needs no
+shuffle: the convolutions of an embedding are tables, and memory is bounded by a block of words.
 
 Defined results: null and empty texts score as a text without words; texts of any length are
 scored whole; repeated rows score alike; an unknown or null language has the threshold of all;
@@ -27,9 +28,10 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tallypanel.llm.common import held_out, pack_rows, slices, text_bytes
+from tallypanel.llm.common import held, held_out, pack_rows, slices, text_bytes
 from tallypanel.llm.labelled import MODULUS, MOST_PER_CLASS, known_labels, labelled_sample, platt, sigmoid
 from tallypanel.llm.words import WordTable, starts_of
+from tallypanel.session import materialize
 
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
 WIDTHS = (1, 2, 3)
@@ -37,6 +39,7 @@ FILTERS = 8
 SIZE = 8
 EPOCHS = 6
 STEM = 4
+MOST_HASHES = 80_000
 BLOCK = 16_384  # words that are convolved at a time
 PREDICT_AT = 0.3
 THRESHOLDS = (0.3, 0.9)  # the range of a language's threshold
@@ -60,7 +63,8 @@ class Model:
     dense: np.ndarray
     dense_bias: float
     scale: tuple[float, float] = (1.0, 0.0)
-    thresholds: dict = field(default_factory=dict)
+    fitted: list[int] = field(default_factory=list)  # ids of the documents it was trained on
+    totals: tuple[float, float] = (0.0, 0.0)  # documents of each label, with these
 
     def rows_of(self, words: list[bytes]) -> list[np.ndarray]:
         """Embedding rows of words: of the word and of its stem."""
@@ -133,7 +137,7 @@ class Scorer:
         return sigmoid(a * self.logits(texts).astype(float) + b)
 
 
-def _vocabulary(texts: list[bytes], least: int = 2, most: int = 80_000) -> np.ndarray:
+def _vocabulary(texts: list[bytes], least: int = 2, most: int = MOST_HASHES) -> np.ndarray:
     """Hashes of words and stems in at least ``least`` sampled documents, the commonest
     first kept."""
     seen: dict[int, int] = {}
@@ -260,33 +264,28 @@ def fit(docs: DataFrame, labels: DataFrame, per_class: int = MOST_PER_CLASS) ->
     if len(part) and sample.y[~aside].min() != sample.y[~aside].max() and len(texts):
         scorer = Scorer(model)
         model.scale = platt(scorer.logits(texts).astype(float), y, weight)
-        fitted = [i for i, out in zip(sample.ids, aside) if not out]
-        totals = [float(sample.weight[sample.y == k].sum()) for k in (0, 1)]
-        model.thresholds = language_thresholds(docs, labels, model, fitted, totals)
+        model.fitted = [i for i, out in zip(sample.ids, aside) if not out]
+        model.totals = tuple(float(sample.weight[sample.y == k].sum()) for k in (0, 1))
     return model
 
 
-def language_thresholds(
-    docs: DataFrame, labels: DataFrame, model: Model, fitted: list[int], totals: list[float]
-) -> dict[str, float]:
+def language_thresholds(scored: DataFrame, labels: DataFrame, model: Model) -> dict[str, float]:
     """Thresholds by language, and of all under "", from sums over all labelled documents but
-    the held-out and the ``fitted``; ``totals`` are the documents of each label with these."""
-    rows = docs.where(F.col("doc_id").isNotNull() & ~held_out(MODULUS))
-    rows = rows.select(F.struct("doc_id", "lang").alias("row"), text_bytes().alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    # Labels meet the scores, so no text is shuffled.
-    scored = rows.mapInArrow(score_column(model), f"row {kind}, score double").select("row.*", "score")
-    seen = F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in fitted], "doc_id long"))
+    the held-out and the fitted. ``scored`` has ``doc_id, lang, score``, so no text is read."""
+    if not model.fitted:
+        return {}
+    seen = F.broadcast(labels.sparkSession.createDataFrame([(i,) for i in model.fitted], "doc_id long"))
     known = known_labels(labels, "toxic").join(seen, "doc_id", "left_anti")
     place = F.least(F.floor(F.col("score") * BINS), F.lit(BINS - 1)).cast("int").alias("bin")
-    each = scored.select("doc_id", F.struct(F.coalesce("lang", F.lit("")).alias("lang"), place).alias("at"))
+    each = scored.where(F.col("doc_id").isNotNull() & ~held_out(MODULUS))
+    each = each.select("doc_id", F.struct(F.coalesce("lang", F.lit("")).alias("lang"), place).alias("at"))
     each = each.groupBy("doc_id").agg(F.min("at").alias("at")).join(known, "doc_id")
     got = each.groupBy("at.lang", "y", "at.bin").agg(F.count("*").alias("n")).collect()
     lang = np.array([r["lang"] for r in got], object)
     y, n = np.array([r["y"] for r in got], np.int64), np.array([r["n"] for r in got], float)
     score = np.array([(r["bin"] + 0.5) / BINS for r in got])
     # The fitted ones were taken by label alone, so a label's others stand for them.
-    weight = n * np.array([totals[k] / max(1.0, n[y == k].sum()) for k in (0, 1)])[y]
+    weight = n * np.array([model.totals[k] / max(1.0, n[y == k].sum()) for k in (0, 1)])[y]
     out = {"": best_threshold(score, y, weight)}
     for one in sorted(set(lang) - {""}):
         own = lang == one
@@ -295,20 +294,21 @@ def language_thresholds(
     return out
 
 
-def threshold(model: Model, lang: str = "lang") -> Column:
-    """The rejection threshold of a row's language; the languages are those of the sample."""
-    general = F.lit(model.thresholds.get("", PREDICT_AT))
-    known = {k: v for k, v in model.thresholds.items() if k}
+def threshold(thresholds: dict[str, float], lang: Column) -> Column:
+    """The rejection threshold of a row's language; there is one per language with labels."""
+    general = F.lit(thresholds.get("", PREDICT_AT))
+    known = {k: v for k, v in thresholds.items() if k}
     if not known:
         return general
     pairs = F.create_map(*[F.lit(x) for pair in known.items() for x in pair])
-    return F.coalesce(F.element_at(pairs, F.coalesce(F.col(lang), F.lit(""))), general)
+    return F.coalesce(F.element_at(pairs, F.coalesce(lang, F.lit(""))), general)
 
 
 def score_column(model: Model):
-    """An Arrow function from ``id, text`` batches to ``id, score``."""
+    """An Arrow function from ``row, text`` batches to ``row, score``."""
 
     def run(batches):
+        held("toxicity")
         scorer = Scorer(model)
         for batch in batches:
             for part in slices(batch, "text"):
@@ -318,26 +318,32 @@ def score_column(model: Model):
     return run
 
 
-def toxicity(docs: DataFrame, model: Model) -> DataFrame:
+def _scored(rows: DataFrame, model: Model) -> DataFrame:
+    """``row, score`` of rows ``row, text``, stored."""
+    kind = rows.schema["row"].dataType.simpleString()
+    return materialize(rows.mapInArrow(score_column(model), f"row {kind}, score double"), "toxicity")
+
+
+def toxicity(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """``doc_id, held_out, score, predicted, threshold, rejected`` per row."""
+    model = fit(docs, labels) if model is None else model
     rows = docs.select(F.struct("doc_id", "lang").alias("row"), text_bytes().alias("text"))
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(score_column(model), f"row {kind}, score double").select("row.*", "score")
-    scored = scored.withColumn("threshold", threshold(model))
+    scored = _scored(rows, model).select("row.*", "score")
+    limit = threshold(language_thresholds(scored, labels, model), F.col("lang"))
     return scored.select(
         "doc_id",
         held_out(MODULUS).alias("held_out"),
         "score",
         (F.col("score") >= PREDICT_AT).cast("int").alias("predicted"),
-        "threshold",
-        (F.col("score") >= F.col("threshold")).alias("rejected"),
+        limit.alias("threshold"),
+        (F.col("score") >= limit).alias("rejected"),
     )
 
 
-def drop_toxic(docs: DataFrame, model: Model) -> DataFrame:
+def drop_toxic(docs: DataFrame, labels: DataFrame, model: Model | None = None) -> DataFrame:
     """The documents below their language's threshold, with their columns."""
-    rows = pack_rows(docs, text=text_bytes())
-    kind = rows.schema["row"].dataType.simpleString()
-    scored = rows.mapInArrow(score_column(model), f"row {kind}, score double")
-    limit = threshold(model, "row.lang")
+    model = fit(docs, labels) if model is None else model
+    scored = _scored(pack_rows(docs, text=text_bytes()), model)
+    facts = scored.select("row.doc_id", "row.lang", "score")
+    limit = threshold(language_thresholds(facts, labels, model), F.col("row.lang"))
     return scored.where(F.col("score") < limit).select(*[F.col("row")[c].alias(c) for c in docs.columns])

@@ -53,10 +53,9 @@ def accuracy(scored, labels, column, cut):
 def test_toxicity_held_out(tables):
     docs, labels, known = tables
     model = toxicity.fit(docs, labels)
-    scored = toxicity.toxicity(docs, model).collect()
+    scored = toxicity.toxicity(docs, labels, model).collect()
     assert accuracy(scored, known, 1, 0.3) > 0.95
-    assert set(model.thresholds) >= {"", "en", "de"}
-    left = toxicity.drop_toxic(docs, model)
+    left = toxicity.drop_toxic(docs, labels, model)
     assert left.columns == docs.columns
     toxic = {r[0] for r in known if r[1]}
     kept = {r["doc_id"] for r in left.collect()}
@@ -82,7 +81,8 @@ def test_edges(tables, spark):
     _, labels, _ = tables
     rows = documents()
     docs = frame(spark, rows)
-    for fit, score in ((toxicity.fit, toxicity.toxicity), (quality_fm.fit, quality_fm.quality)):
+    by_toxicity = lambda docs, model: toxicity.toxicity(docs, labels, model)
+    for fit, score in ((toxicity.fit, by_toxicity), (quality_fm.fit, quality_fm.quality)):
         # Ids of these rows have labels of other texts: any model will do.
         model = fit(docs, labels)
         got = score(docs, model).collect()
@@ -151,6 +151,51 @@ def test_thresholds_count_all_labelled_documents(tables):
     """The sample holds too few of a language; all labelled documents hold enough."""
     docs, labels, _ = tables
     model = toxicity.fit(docs, labels, per_class=40)
-    assert set(model.thresholds) == {"", "en", "de"}
-    nothing = toxicity.language_thresholds(docs, labels.limit(0), model, [], [0.0, 0.0])
-    assert nothing == {"": toxicity.PREDICT_AT}
+    scored = docs.select("doc_id", "lang", (F.col("doc_id") % 10 / 10).alias("score"))
+    assert set(toxicity.language_thresholds(scored, labels, model)) == {"", "en", "de"}
+    assert toxicity.language_thresholds(scored, labels.limit(0), model) == {"": toxicity.PREDICT_AT}
+
+
+def plain_scores(model, texts):
+    """Each filter at each place of the text and its pads, by loops."""
+    out = []
+    rows = {h: k + 1 for k, h in enumerate(model.hashes.tolist())}
+    pad = np.zeros(toxicity.SIZE)
+    for text in texts:
+        told = [sum((model.embedding[rows[h]].astype(float) for h in toxicity.word_hashes(w) if h in rows), pad) for w in text.split()]
+        best = []
+        for f in model.filters:
+            width = len(f)
+            ends = told + [pad] * max(toxicity.WIDTHS)
+            places = range(len(told)) if told else range(1)
+            best += [max(sum(ends[i + j] @ f[j][:, k] for j in range(width)) for i in places) for k in range(toxicity.FILTERS)]
+        hidden = np.maximum(np.array(best) + model.bias, 0)
+        a, b = model.scale
+        out.append(sigmoid(a * (hidden @ model.dense + model.dense_bias) + b))
+    return np.array(out)
+
+
+def test_convolution_by_loops():
+    rows, labels = corpus(200)
+    texts, y = [r[1].encode() for r in rows], np.array([x[1] for x in labels])
+    model = toxicity.train(texts, y, np.ones(len(y)))
+    some = [*texts[:40], b"", b"idiot", b"two words", b"idiot " * 30, "é über".encode()]
+    assert np.allclose(toxicity.Scorer(model).scores(some), plain_scores(model, some), atol=1e-4)
+
+
+def test_texts_are_read_once_for_scores(tables, monkeypatch):
+    docs, labels, _ = tables
+    model = toxicity.fit(docs, labels)
+    passes = []
+    monkeypatch.setattr(toxicity, "score_column", lambda m, real=toxicity.score_column: passes.append(1) or real(m))
+    toxicity.toxicity(docs, labels, model).count()
+    toxicity.drop_toxic(docs, labels, model).count()
+    assert len(passes) == 2
+
+
+def test_workers_let_go_what_others_left():
+    from tallypanel.llm import common
+
+    common.held("one")["x"] = 1
+    assert common.held("one") == {"x": 1}
+    assert common.held("two") == {} and common.held("one") == {}
