@@ -23,8 +23,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score at or above the threshold of their language go. The classifier
     is trained on the labelled documents of the input folder."""
     prepare(spark)
-    labels = table(spark, sf_dir, "labels")
-    return toxicity.drop_toxic(docs, toxicity.fit(docs, labels))
+    return toxicity.drop_toxic(docs, table(spark, sf_dir, "labels"))
 
 
 def drop_common_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
