@@ -1,14 +1,19 @@
 """Near-duplicate embeddings by NN-descent.
 
 Every vector keeps a list of its nearest vectors with the same label. Lists start from
-neighbours in the order of random sign projections and are refined through neighbours of
-neighbours: at each vector, the members of its list and those that list it are compared with
-each other, and closer ones enter the lists. Rounds end when one adds no pair above the
-threshold to a list with room. A list whose every entry is above the threshold is saturated
+neighbours in the order of random sign projections, whose codes are long enough to sort labels of
+any size. Fresh projections are added until such a set, which meets a pair by chance alone whether
+it is known or not, finds next to no unknown link of a list with room: so links that lead nowhere
+else, which no neighbour's neighbour shows, are found as well. Lists are then refined through
+neighbours of neighbours: at each vector, the members of its list and those that list it are
+compared with each other, and closer ones enter the lists. Rounds end when one adds no pair above
+the threshold to a list with room and changes few entries. A list whose every entry is above the threshold is saturated
 and hides further links: its component is then compared as a whole, in blocks, which is exact,
 together with saturated components near enough to share a link (found by the same descent over
-their pivots). An audit measures recall for sampled vectors against all rows; below the target
-the lists are lengthened and the descent goes on. Edges below the threshold are dropped.
+their pivots). An audit compares sampled vectors with all rows and takes the mean of the recalls
+of those with links, apart for saturated and other ones, so that a large group does not hide what
+others miss; below the target more projections are taken, the lists are lengthened and the descent
+goes on. Edges below the threshold are dropped.
 
 Cosines are computed in double precision.
 
@@ -31,10 +36,12 @@ from tallypanel.session import materialize
 
 THRESHOLD = 0.93
 LIST = 8
-TABLES, BITS = 6, 14
+TABLES, BITS = 6, 60
 RUN = 64  # neighbours in projected order that are compared at the start
+FRESH = 0.002  # share of unknown links among those of fresh projections that ends them
+CHANGED = 0.1  # share of changed entries in lists with room that ends the descent
 BLOCK = 512
-AUDIT = 256  # vectors whose recall is measured
+AUDIT = 2048  # vectors whose recall is measured
 TARGET = 0.99
 
 _EDGES = pa.schema([("u", pa.int64()), ("v", pa.int64()), ("sim", pa.float64())])
@@ -130,7 +137,7 @@ def _first_lists(good: DataFrame, dtype: str, size: int, seed: int) -> DataFrame
                 if len(x) not in planes:
                     planes[len(x)] = np.random.default_rng(seed).normal(size=(TABLES * BITS, len(x)))
                 signs = (planes[len(x)] @ x > 0).reshape(TABLES, BITS)
-                bits[i] = signs @ (1 << np.arange(BITS))
+                bits[i] = signs @ (np.int64(1) << np.arange(BITS))
             for t in range(TABLES):
                 n = len(lists)
                 yield pa.RecordBatch.from_arrays(
@@ -187,15 +194,40 @@ def _refine(lists: DataFrame, good: DataFrame, dtype: str, size: int) -> DataFra
     return merged.withColumn("n", ranks).where(F.col("n") <= size).drop("n")
 
 
+def first_lists(good: DataFrame, dtype: str, size: int, threshold: float, seed: int, lists: DataFrame | None = None) -> DataFrame:
+    """Lists from projections (and from ``lists``). Sets of fresh ones follow each other until one
+    tells almost nothing new of the links of lists with room, which hold all links known."""
+    if lists is None:
+        lists = materialize(_nearest(_first_lists(good, dtype, size, seed), size), "lists")
+    while True:
+        seed += 100
+        fresh = _first_lists(good, dtype, size, seed)
+        both = lists.select(*_EDGES.names, F.lit(1).alias("old"), F.lit(0).alias("met")).unionByName(
+            fresh.select(*_EDGES.names, F.lit(0).alias("old"), F.lit(1).alias("met"))
+        )
+        merged = both.groupBy("u", "v").agg(F.max("sim").alias("sim"), F.max("old").alias("old"), F.max("met").alias("met"))
+        ranks = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
+        merged = materialize(merged.withColumn("n", ranks).where(F.col("n") <= size).drop("n"), "lists")
+        strong = merged.where(F.col("sim") >= threshold)
+        by_list = strong.groupBy("u").agg(F.count("*").alias("n"), F.sum("met").alias("met"), F.sum(1 - F.col("old")).alias("new"))
+        met, new = by_list.where(F.col("n") < size).agg(F.sum("met"), F.sum("new")).first()
+        lists = merged.drop("old", "met")
+        if (new or 0) <= FRESH * (met or 0):
+            return lists
+
+
 def descend(lists: DataFrame, good: DataFrame, dtype: str, size: int, threshold: float) -> DataFrame:
     while True:
         lists = materialize(_refine(lists, good, dtype, size), "lists")
         # Saturated lists are completed in blocks later, so what they gain does not count.
-        strong = lists.where(F.col("sim") >= threshold).groupBy("u")
-        gains = strong.agg(F.count("*").alias("n"), F.min("old").alias("old")).where(F.col("n") < size)
-        added = gains.where("old = 0").limit(1).count()
+        strong = F.col("sim") >= threshold
+        by_list = lists.groupBy("u").agg(
+            F.count_if(strong).alias("strong"), F.count_if(strong & (F.col("old") == 0)).alias("gained"),
+            F.count("*").alias("entries"), F.count_if(F.col("old") == 0).alias("changed"),
+        ).where(F.col("strong") < size)
+        gained, entries, changed = by_list.agg(F.sum("gained"), F.sum("entries"), F.sum("changed")).first()
         lists = lists.drop("old")
-        if not added:
+        if not gained and (changed or 0) <= CHANGED * (entries or 0):
             return lists
 
 
@@ -260,7 +292,7 @@ def _rowwise(a, b, dtype: str):
 def neighbour_links(good: DataFrame, dtype: str, threshold: float, size: int = LIST, seed: int = 3) -> DataFrame:
     """Edges ``a, b`` that connect what is linked: each link, or a path of links inside a
     saturated component; with ``links``, the links each edge's end ``a`` gains by it."""
-    lists = materialize(_nearest(_first_lists(good, dtype, size, seed), size), "lists")
+    lists = first_lists(good, dtype, size, threshold, seed)
     while True:
         lists = descend(lists, good, dtype, size, threshold)
         strong = materialize(lists.where(F.col("sim") >= threshold), "strong")
@@ -288,14 +320,12 @@ def neighbour_links(good: DataFrame, dtype: str, threshold: float, size: int = L
         else:
             both = _both_ways(pairs)
         both = materialize(both, "found")
-        if _recall(both, good, dtype, threshold) >= TARGET:
+        if min(recalls(both, sat, good, dtype, threshold)) >= TARGET:
             return both
         size *= 2
         # Longer lists start from what is known and from new projections.
-        seed += 100
-        lists = materialize(
-            _nearest(lists.unionByName(_first_lists(good, dtype, size, seed)), size), "lists"
-        )
+        seed += 10_000
+        lists = first_lists(good, dtype, size, threshold, seed, lists)
 
 
 def _both_ways(pairs: DataFrame) -> DataFrame:
@@ -303,11 +333,12 @@ def _both_ways(pairs: DataFrame) -> DataFrame:
     return pairs.select("a", "b", one).unionByName(pairs.select(F.col("b").alias("a"), F.col("a").alias("b"), one))
 
 
-def _recall(found: DataFrame, good: DataFrame, dtype: str, threshold: float) -> float:
-    """Share of the links of ``AUDIT`` vectors, compared with all rows, that were found."""
+def recalls(found: DataFrame, saturated: DataFrame, good: DataFrame, dtype: str, threshold: float) -> tuple[float, float]:
+    """Mean share of its links that were found of each sampled vector with links: of vectors
+    whose lists have room, and of the others. ``AUDIT`` vectors are compared with all rows."""
     sample = good.orderBy(F.xxhash64("u"), "u").limit(AUDIT).select("u", "grp", "vec").collect()
     if not sample:
-        return 1.0
+        return 1.0, 1.0
     spark = good.sparkSession
     shared = spark.sparkContext.broadcast([(r["u"], r["grp"], bytes(r["vec"])) for r in sample])
     schema = pa.schema([("u", pa.int64()), ("n", pa.int64())])
@@ -333,8 +364,11 @@ def _recall(found: DataFrame, good: DataFrame, dtype: str, threshold: float) ->
 
     true = good.select("u", "grp", "vec").mapInArrow(count, "u long, n long").groupBy("u").agg(F.sum("n").alias("n"))
     mine = found.groupBy(F.col("a").alias("u")).agg(F.sum("links").alias("links"))
-    row = true.join(mine, "u", "left").agg(F.sum("n"), F.sum(F.least("n", F.coalesce("links", F.lit(0))))).first()
-    return row[1] / row[0] if row[0] else 1.0
+    full = saturated.select("u", F.lit(True).alias("full"))
+    share = F.least(F.lit(1.0), F.coalesce("links", F.lit(0)) / F.col("n"))
+    by_kind = true.where("n > 0").join(mine, "u", "left").join(full, "u", "left")
+    means = {r["full"]: r["share"] for r in by_kind.groupBy(F.col("full").isNotNull().alias("full")).agg(F.avg(share).alias("share")).collect()}
+    return means.get(False, 1.0), means.get(True, 1.0)
 
 
 def near_duplicates(rows: DataFrame, threshold: float = THRESHOLD) -> DataFrame:

@@ -4,6 +4,10 @@ The prompt is the longest common prefix of turns (equal role and text) of a chos
 rejected conversation, rendered once; the turns after it are the completions. A completion is
 a list of segments, of which only the assistant's text and its end mark bear loss.
 
+Pairs come from a table of preferences, from conversations that begin alike (``alike_pairs``), or
+from every conversation and a branch of it (``branch_sides``): the branch answers as another
+conversation does in the place of the last answer.
+
 Native: DataFrame functions only. Prefixes are found by joining turns on their place, so a
 conversation is gathered only to be rendered, as one row of the result.
 
@@ -11,7 +15,8 @@ Defined results: turns are read in order of ``turn``, then role, then text, with
 and repeated rows as turns of their own; a null role or text counts as empty; a pair without
 common turns has an empty prompt; equal conversations have empty completions; a conversation
 without a partner has no pair; a null ``conv_id`` is a conversation of its own; an empty table
-gives no rows.
+gives no rows. A conversation without an answer has no branch, and where all last answers are
+equal there are none.
 """
 
 from __future__ import annotations
@@ -26,32 +31,66 @@ OPEN, CLOSE = "<|{role}|>\n", "<|end|>\n"
 LOSS_ROLE = "assistant"
 
 
+def _key(role: Column, text: Column) -> Column:
+    return F.md5(F.concat(role, F.lit("\n"), text))
+
+
 def placed_turns(conversations: DataFrame) -> DataFrame:
     """``conv_id, place, role, text, key`` with places from 0 and a key of role and text."""
     rows = conversations.select(
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     )
     rows = ranked(rows, ["turn", "role", "text"], ["conv_id"], "place")
-    return rows.select("conv_id", "place", "role", "text", F.md5(F.concat("role", F.lit("\n"), "text")).alias("key"))
+    return rows.select("conv_id", "place", "role", "text", _key(F.col("role"), F.col("text")).alias("key"))
 
 
 def alike_pairs(turns: DataFrame) -> DataFrame:
-    """``pair_id, chosen, rejected``: conversations in the order of their turns' keys, two by
-    two, so conversations that begin alike meet. The one with more turns is chosen, of
-    equals the one with the smaller id; a last one without a partner is left out."""
+    """``pair_id, chosen, rejected``: conversations with equal first turns, two by two in the order
+    of their turns' keys, so that within such a group those that go on alike meet. Of two the one
+    with more turns is chosen, of equals the one with the smaller id; one of an odd group is left
+    out. Groups are ranked over parts, so one may hold any share of the table."""
     keys = F.array_sort(F.collect_list(F.struct("place", "key")))
     path = F.array_join(F.transform(keys, lambda t: t["key"]), "")
     convs = turns.groupBy("conv_id").agg(path.alias("path"), F.count("*").alias("turns"))
-    convs = ranked(convs, ["path", "conv_id"], out="at")
-    pairs = convs.withColumn("pair_id", F.floor(F.col("at") / 2)).withColumn(
+    convs = ranked(convs.withColumn("first", F.left("path", F.lit(32))), ["path", "conv_id"], ["first"], "at")
+    pairs = convs.withColumn("pair", F.floor(F.col("at") / 2)).withColumn(
         "preference", F.struct(-F.col("turns"), "conv_id")
     )
-    both = pairs.groupBy("pair_id").agg(
+    both = pairs.groupBy("first", "pair").agg(
         F.min("preference").alias("best"), F.max("preference").alias("worst"), F.count("*").alias("n")
     )
-    return both.where("n = 2").select(
-        "pair_id", F.col("best.conv_id").alias("chosen"), F.col("worst.conv_id").alias("rejected")
+    both = ranked(both.where("n = 2").drop("n"), ["first", "pair"], out="pair_id")
+    return both.select("pair_id", F.col("best.conv_id").alias("chosen"), F.col("worst.conv_id").alias("rejected"))
+
+
+def branch_sides(turns: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """``pair_id, chosen, rejected`` and the turns of both sides, from every conversation with an
+    answer. Chosen is the conversation up to its last answer; in the rejected branch that answer is
+    replaced by the next one in the order of their checksums, given by the conversation
+    ``rejected`` (the smallest id). ``pair_id`` counts conversations in order of id."""
+    answers = turns.where(F.col("role") == LOSS_ROLE).groupBy("conv_id").agg(
+        F.max_by(F.struct("place", "text", F.md5("text").alias("mark")), "place").alias("last")
     )
+    answers = answers.select("conv_id", "last.*")
+    distinct = answers.groupBy("mark").agg(F.min("conv_id").alias("giver"), F.any_value("text").alias("text"))
+    distinct = materialize(ranked(distinct, ["mark"], out="n"), "answers")
+    many = distinct.count()
+    if many < 2:
+        distinct = distinct.limit(0)
+    onward = distinct.select("mark", F.pmod(F.col("n") + 1, F.lit(max(1, many))).alias("n"))
+    others = onward.join(distinct.select("n", "giver", "text", F.md5("text").alias("other")), "n").drop("n")
+    # Only checksums and places meet; one answer may be that of a third of all conversations.
+    met = answers.select("conv_id", "place", "mark").join(others.hint("merge"), "mark")
+    met = ranked(met, ["conv_id"], out="pair_id")
+    met = materialize(met.withColumnRenamed("text", "instead").withColumnRenamed("place", "last"), "branches")
+    pairs = met.select("pair_id", F.col("conv_id").alias("chosen"), F.col("giver").alias("rejected"))
+    told = turns.alias("t").join(met.alias("m"), same("t", "m", ["conv_id"])).where("t.place <= m.last")
+    columns = ["m.pair_id", "t.place", "t.role"]
+    chosen = told.select(*columns, "t.text", "t.key", F.lit(True).alias("is_chosen"))
+    at_last = F.col("t.place") == F.col("m.last")
+    text = F.when(at_last, F.col("m.instead")).otherwise(F.col("t.text"))
+    branch = told.select(*columns, text.alias("text"), _key(F.col("t.role"), text).alias("key"), F.lit(False).alias("is_chosen"))
+    return pairs, chosen.unionByName(branch)
 
 
 def _rendered(turn: Column) -> Column:
@@ -87,6 +126,17 @@ def format_pairs(conversations: DataFrame, pairs: DataFrame | None = None) -> Da
     told = sides.alias("s").join(turns.alias("t"), same("s", "t", ["conv_id"])).select(
         "s.pair_id", "s.is_chosen", "t.place", "t.role", "t.text", "t.key"
     )
+    return format_sides(pairs, told)
+
+
+def format_branches(conversations: DataFrame) -> DataFrame:
+    """``format_pairs`` of every conversation and its branch (``branch_sides``)."""
+    return format_sides(*branch_sides(materialize(placed_turns(conversations), "turns")))
+
+
+def format_sides(pairs: DataFrame, told: DataFrame) -> DataFrame:
+    """The formatted ``pairs`` from the turns of their sides, ``pair_id, is_chosen, place, role,
+    text, key``."""
     # A place where the two sides differ, or where one has ended, ends the prefix.
     by_place = told.groupBy("pair_id", "place").agg(
         F.max(F.when(F.col("is_chosen"), F.col("key"))).alias("c"), F.max(F.when(~F.col("is_chosen"), F.col("key"))).alias("r")

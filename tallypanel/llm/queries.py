@@ -189,25 +189,28 @@ PREFERENCE_COLUMNS = [
       FROM conversations
     ),
     keyed AS (SELECT *, md5(role || chr(10) || text) AS key FROM turns),
-    paths AS (
-      SELECT conv_id, string_agg(key, '' ORDER BY place) AS path, count(*) AS turns FROM keyed GROUP BY conv_id
+    answers AS (
+      SELECT conv_id, arg_max(text, place) AS text, max(place) AS last
+      FROM turns WHERE role = 'assistant' GROUP BY conv_id
     ),
-    dealt AS (
-      SELECT conv_id, turns, (row_number() OVER (ORDER BY path, conv_id NULLS FIRST) - 1) // 2 AS pair_id FROM paths
+    kinds AS (
+      SELECT text, min(conv_id) AS giver, row_number() OVER (ORDER BY md5(text)) - 1 AS n, count(*) OVER () AS m
+      FROM answers GROUP BY text
     ),
-    best AS (
-      SELECT *, row_number() OVER (PARTITION BY pair_id ORDER BY turns DESC, conv_id NULLS FIRST) AS r,
-        count(*) OVER (PARTITION BY pair_id) AS n
-      FROM dealt
-    ),
-    pairs AS (
-      SELECT pair_id, max(conv_id) FILTER (WHERE r = 1) AS chosen, max(conv_id) FILTER (WHERE r = 2) AS rejected
-      FROM best WHERE n = 2 GROUP BY pair_id
+    branches AS (
+      SELECT a.conv_id, a.last, o.text AS instead, o.giver,
+        row_number() OVER (ORDER BY a.conv_id NULLS FIRST) - 1 AS pair_id
+      FROM answers a JOIN kinds k ON a.text = k.text JOIN kinds o ON o.n = (k.n + 1) % k.m WHERE k.m > 1
     ),
+    pairs AS (SELECT pair_id, conv_id AS chosen, giver AS rejected FROM branches),
     told AS (
-      SELECT p.pair_id, true AS is_chosen, k.* FROM pairs p JOIN keyed k ON p.chosen IS NOT DISTINCT FROM k.conv_id
+      SELECT b.pair_id, true AS is_chosen, k.place, k.role, k.text, k.key
+      FROM branches b JOIN keyed k ON b.conv_id IS NOT DISTINCT FROM k.conv_id AND k.place <= b.last
       UNION ALL
-      SELECT p.pair_id, false AS is_chosen, k.* FROM pairs p JOIN keyed k ON p.rejected IS NOT DISTINCT FROM k.conv_id
+      SELECT b.pair_id, false AS is_chosen, k.place, k.role,
+        CASE WHEN k.place = b.last THEN b.instead ELSE k.text END AS text,
+        CASE WHEN k.place = b.last THEN md5(role || chr(10) || b.instead) ELSE k.key END AS key
+      FROM branches b JOIN keyed k ON b.conv_id IS NOT DISTINCT FROM k.conv_id AND k.place <= b.last
     ),
     places AS (
       SELECT pair_id, place, max(key) FILTER (WHERE is_chosen) AS c, max(key) FILTER (WHERE NOT is_chosen) AS r
@@ -232,7 +235,8 @@ PREFERENCE_COLUMNS = [
     """,
 )
 def op6_preference_formatting(spark, sf_dir):
-    return preferences.format_pairs(table(spark, sf_dir, "conversations")).select(*PREFERENCE_COLUMNS)
+    """Every conversation against a branch of it: the tables name no preferences."""
+    return preferences.format_branches(table(spark, sf_dir, "conversations")).select(*PREFERENCE_COLUMNS)
 
 
 @query("op3_lm_scoring")

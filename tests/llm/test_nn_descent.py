@@ -2,6 +2,7 @@ import math
 
 import numpy as np
 from llm_helpers import reachable
+from pyspark.sql import functions as F
 
 from tallypanel.llm import nn_descent as nn
 
@@ -71,3 +72,41 @@ def test_repeated_rows(spark):
     row = (7, [1.0, 2.0, 3.0], 1)
     got = found(spark, [row, row, (9, [1.0, 2.0, 3.01], 1)])
     assert [g[2] for g in got] == [7, 7, 7] and [g[3] for g in got] == [True, True, False]
+
+
+def planted(n=6000, pairs=600, hot=500, size=64, seed=2):
+    """Random vectors, some with a partner at cosine 0.94 that nothing else leads to, and a group
+    whose vectors are all linked."""
+    rng = np.random.default_rng(seed)
+    x = rng.normal(size=(n, size))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    side = rng.normal(size=(pairs, size))
+    side -= (side * x[:pairs]).sum(1, keepdims=True) * x[:pairs]
+    side /= np.linalg.norm(side, axis=1, keepdims=True)
+    near = 0.94 * x[:pairs] + (1 - 0.94**2) ** 0.5 * side
+    centre = rng.normal(size=size)
+    group = centre / np.linalg.norm(centre) + rng.normal(0, 0.01, (hot, size))
+    return np.concatenate([x, near, group]).astype(np.float32)
+
+
+def test_isolated_pairs_beside_a_hot_group(spark):
+    n, pairs, hot = 6000, 600, 500
+    rows = [(i, v.tolist(), 1) for i, v in enumerate(planted(n, pairs, hot))]
+    got = {r[0]: r for r in found(spark, rows)}
+    hits = sum(got[i][2] == got[n + i][2] == i and got[i][1] == got[n + i][1] == 1 for i in range(pairs))
+    assert hits >= 0.99 * pairs
+    assert all(got[i][1] == hot - 1 for i in range(n + pairs, n + pairs + hot))
+    assert sum(r[1] > 0 for r in got.values()) <= 2 * pairs + hot
+
+
+def test_recall_is_told_apart(spark):
+    """A hot group that is found whole does not hide pairs that are missed."""
+    rows = spark.createDataFrame([(i, v.tolist(), 1, 0, "") for i, v in enumerate(planted(0 + 400, 100, 300))], SCHEMA)
+    _, good, dtype = nn.vectors(rows)
+    good = good.select("u", "grp", "vec")
+    full = spark.range(500, 800).select(F.col("id").alias("u"))
+    links = full.select(F.col("u").alias("a"), F.lit(500).cast("long").alias("b"), F.lit(299).cast("long").alias("links"))
+    assert nn.recalls(links, full, good, dtype, nn.THRESHOLD) == (0.0, 1.0)
+    half = spark.range(50).select(F.col("id").alias("a"), (F.col("id") + 400).alias("b"), F.lit(1).cast("long").alias("links"))
+    both = half.unionByName(half.select(F.col("b").alias("a"), F.col("a").alias("b"), "links"))
+    assert nn.recalls(links.unionByName(both), full, good, dtype, nn.THRESHOLD) == (0.5, 1.0)

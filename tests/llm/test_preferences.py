@@ -1,3 +1,4 @@
+import hashlib
 import os
 
 import pytest
@@ -39,19 +40,72 @@ def test_pairs_of_alike_conversations(spark):
     assert len(got) == 10 and all(r["prefix_turns"] == 2 and r["chosen"] == r["rejected"] - 1 for r in got)
 
 
+def test_odd_groups_do_not_shift_others(spark):
+    rows = conv(1, "a") + conv(2, "b", "u") + conv(3, "b", "v", "w") + conv(4, "c", "u") + conv(5, "c", "v", "w")
+    rows += conv(6, "d", "x", "y") + conv(7, "d", "x", "y", "z") + conv(8, "d", "k")
+    got = {r["chosen"]: r for r in preferences.format_pairs(frame(spark, rows)).collect()}
+    assert {c: r["rejected"] for c, r in got.items() if c < 6} == {3: 2, 5: 4}
+    assert len(got) == 3 and all(r["prefix_turns"] >= 1 for r in got.values())
+    assert sorted(r["pair_id"] for r in got.values()) == [0, 1, 2]
+
+
+def plain_branches(rows):
+    """By loops: the last answer of each conversation and the next one in order of checksums."""
+    convs = {}
+    for conv_id, turn, role, text in rows:
+        convs.setdefault(conv_id, []).append((turn is not None, turn or 0, role or "", text or ""))
+    lasts = {}
+    for conv_id, turns in convs.items():
+        turns.sort()
+        at = [k for k, t in enumerate(turns) if t[2] == "assistant"]
+        if at:
+            lasts[conv_id] = (at[-1], turns[at[-1]][3])
+    order = sorted({t for _, t in lasts.values()}, key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    out = {}
+    for conv_id, (at, text) in lasts.items():
+        if len(order) > 1:
+            other = order[(order.index(text) + 1) % len(order)]
+            show = lambda role, t: f"<|{role}|>\n{t}<|end|>\n"
+            prompt = "".join(show(t[2], t[3]) for t in convs[conv_id][:at])
+            out[conv_id] = (at, prompt, show("assistant", text), show("assistant", other), len(text) + 8, len(other) + 8)
+    return out
+
+
+def test_branches(spark):
+    rows = conv(1, "q", "a", "more", "yes", "tail") + conv(2, "q", "a", "other") + conv(3, "z", "no") + conv(4, "only")
+    rows += conv(5, "z", "no") + conv(None, "q", None) + [(6, None, "assistant", "é" * 30_000), (6, 1, "user", "x")]
+    got = preferences.format_branches(frame(spark, rows)).collect()
+    want = plain_branches(rows)
+    assert {
+        r["chosen"]: (
+            r["prefix_turns"], r["prompt"], r["chosen_text"], r["rejected_text"], r["chosen_loss_chars"], r["rejected_loss_chars"]
+        )
+        for r in got
+    } == want and len(want) == 6
+    assert sorted(r["pair_id"] for r in got) == list(range(6))
+    givers = {r["chosen"]: r["rejected"] for r in got}
+    assert 5 not in givers.values() and givers[3] == givers[5]
+    # Nothing to prefer where all answers are equal, and nothing without one.
+    assert preferences.format_branches(frame(spark, conv(1, "q", "a") + conv(2, "p", "a"))).count() == 0
+    assert preferences.format_branches(frame(spark, conv(1, "q"))).count() == 0
+    assert preferences.format_branches(frame(spark, [])).count() == 0
+
+
 def test_edges(spark):
     rows = conv(1, "q", None) + [(1, None, None, "first"), (None, 0, "user", "q"), (None, 0, "user", "q"), (4, 2, "system", "")]
     rows += [(5, 0, "user", "x" * 100_000)] + conv(6, "q") + conv(7, "q")
     got = preferences.format_pairs(frame(spark, rows)).collect()
-    assert len(got) == 3
+    assert len(got) == 1
     same = [r for r in got if {r["chosen"], r["rejected"]} == {6, 7}]
     assert same and same[0]["prefix_turns"] == 1 and same[0]["chosen"] == 6
     assert preferences.format_pairs(frame(spark, [])).count() == 0
 
 
 def test_native(spark):
-    plan = preferences.format_pairs(frame(spark, conv(1, "q", "a") + conv(2, "q")))._jdf.queryExecution().executedPlan().toString()
-    assert "Python" not in plan and "Arrow" not in plan
+    rows = frame(spark, conv(1, "q", "a") + conv(2, "q", "b"))
+    for shown in (preferences.format_pairs(rows), preferences.format_branches(rows)):
+        plan = shown._jdf.queryExecution().executedPlan().toString()
+        assert "Python" not in plan and "Arrow" not in plan
 
 
 @pytest.mark.skipif(not os.path.isdir(SF_DIR), reason="no tables")
