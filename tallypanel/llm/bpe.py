@@ -31,7 +31,7 @@ from tallypanel.llm.common import batch_of, held, pack_rows, slices
 NONE = np.int64(1) << 40  # no pair starts here; above every rank and position
 MOST_AT_ONCE = 1 << 19  # leaves in the arrays of one step
 LONGEST_SHARED = 256  # bytes of a match that is merged beside others
-MOST_KEPT = 48_000_000  # bytes, about, of what a worker remembers of encoded matches
+MOST_KEPT = 120_000_000  # bytes, about, of what a worker remembers of encoded matches
 ENTRY = 150  # bytes of a remembered match besides its text and ids
 LONGEST_KEPT = 128
 
