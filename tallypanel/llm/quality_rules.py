@@ -1,7 +1,7 @@
 """Quality rules with an n-gram perplexity model.
 
 The model predicts the characters of a word from the ones before it: modified Kneser-Ney of
-order 4 over code points, with marks for the word's start and end. Spark counts the n-grams of
+order 4 over UTF-16 units, with marks for the word's start and end. Spark counts the n-grams of
 all documents and derives continuation counts, discounts, back-off weights and the probability
 of each n-gram, all keyed by the exact n-gram. Up to ``FITS`` probabilities are broadcast; more are
 joined with the n-grams of the distinct words, and the words with the documents, but for the
@@ -31,8 +31,11 @@ from tallypanel.llm.words import WordTable, starts_of, sums
 from tallypanel.session import materialize
 
 ORDER = 4
-SYMBOL_BITS = 16  # a code point is folded to these; 1 and 2 mark a word's start and end
+SYMBOL_BITS = 16  # of a UTF-16 unit; 1 and 2 mark a word's start and end
 START, END = 1, 2
+# What a text may hold of the marks, and U+FFFF, of which four would be the number of no n-gram:
+# written as two low surrogates, which no text has side by side.
+ESCAPED = {START: "\udc00\udc01", END: "\udc00\udc02", 0xFFFF: "\udc00\udc03"}
 FITS = 1 << 22  # n-grams whose probabilities are broadcast
 HOT = 1 << 18  # words whose scores are broadcast where the n-grams are not
 WIDTH = 6.0
@@ -49,19 +52,24 @@ _IS_SYMBOL[list(SYMBOLS)] = 1
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-def code_points(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Code points of all words, each between a start and an end mark, and their lengths."""
-    text = "\x02\x01".join(w.decode("utf-8", "replace") for w in words)
-    flat = np.frombuffer(("\x01" + text + "\x02").encode("utf-32-le"), np.uint32).astype(np.int64)
-    flat = np.where(flat < 1 << SYMBOL_BITS, flat, (flat & 0x7FFF) | 0x8000)
-    lengths = np.fromiter((len(w.decode("utf-8", "replace")) + 2 for w in words), np.int64, len(words))
-    return flat, lengths
+def units(words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """UTF-16 units of all words, each between a start and an end mark, and their lengths. A
+    character above U+FFFF is two units, so different texts have different units."""
+    texts = [w.decode("utf-8", "replace") for w in words]
+    whole = "".join(texts)
+    if whole and (max(whole) >= "\uffff" or "\x01" in whole or "\x02" in whole):
+        texts = [t.translate(ESCAPED) for t in texts]
+        lengths = np.fromiter((len(t) + sum(c > "\uffff" for c in t) + 2 for t in texts), np.int64, len(texts))
+    else:
+        lengths = np.fromiter((len(t) + 2 for t in texts), np.int64, len(texts))
+    raw = ("\x01" + "\x02\x01".join(texts) + "\x02").encode("utf-16-le", "surrogatepass")
+    return np.frombuffer(raw, "<u2").astype(np.int64), lengths
 
 
 def grams(flat: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
     """Of each symbol but the starts: its index, and the packed n-grams of 1 to ``ORDER``
     symbols that end at it; -1 where the word is too short for one. No n-gram is -1, as
-    U+FFFF is no character."""
+    U+FFFF is escaped."""
     begin = np.repeat(starts_of(lengths), lengths)
     at = np.flatnonzero(np.arange(len(flat)) > begin)
     before = at - begin[at]
@@ -78,7 +86,7 @@ def _count(batches):
     schema = pa.schema([("n", pa.int32()), ("packed", pa.int64()), ("c", pa.int64())])
 
     def flush(words: dict[bytes, int]):
-        flat, lengths = code_points(list(words))
+        flat, lengths = units(list(words))
         weight = np.fromiter(words.values(), np.int64, len(words))
         at, found = grams(flat, lengths)
         per = np.repeat(weight, lengths - 1)
@@ -156,7 +164,7 @@ class Known:
     def word_scores(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         if not words:
             return np.zeros(0), np.zeros(0, np.int64)
-        flat, lengths = code_points(words)
+        flat, lengths = units(words)
         order, packed = greatest(flat, lengths)
         logp = np.full(len(order), self.least)
         for n, table in self.logs.items():
@@ -373,7 +381,7 @@ def _spread(batches):
         for part in slices(batch, "word", 500_000):
             words = part.column("word").to_pylist()
             if words:
-                flat, lengths = code_points(words)
+                flat, lengths = units(words)
                 order, packed = greatest(flat, lengths)
                 at = np.repeat(np.arange(len(words)), lengths - 1)
                 yield batch_of(schema, [words[i] for i in at], part.column("c").to_numpy()[at], order, packed)

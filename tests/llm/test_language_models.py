@@ -218,3 +218,93 @@ def test_junk_does_not_widen_the_bands(spark):
     got = {r[0]: r[1] for r in quality_rules.with_bands(table).select("doc_id", inside).collect()}
     assert all(got[i] for i in [*range(300), *range(2000, 2300), 5001])
     assert not any(got[i] for i in [*range(1000, 1095), *range(3000, 3400), 5000])
+
+
+def test_units_tell_texts_apart():
+    """Also characters above U+FFFF, U+FFFF itself and what marks words."""
+    words = ["\U00020000", "\u8000", "\uffff" * 4, "\uffff", "\x01", "\x02", "\x01\x02", "\U0010ffff", "a\U0001f642b", "é"]
+    seen = set()
+    for w in words:
+        flat, lengths = quality_rules.units([w.encode()])
+        assert lengths.tolist() == [len(flat)] and flat[0] == quality_rules.START and flat[-1] == quality_rules.END
+        assert not set(flat[1:-1].tolist()) & {1, 2, 0xFFFF}
+        seen.add(tuple(flat.tolist()))
+        order, packed = quality_rules.greatest(flat, lengths)
+        assert (packed != -1).all()
+    assert len(seen) == len(words)
+    flat, lengths = quality_rules.units([w.encode() for w in words])
+    parts = np.split(flat, np.cumsum(lengths)[:-1])
+    assert {tuple(p.tolist()) for p in parts} == seen
+
+
+def test_rare_characters_score_alike_both_ways(spark, monkeypatch):
+    texts = ["\uffff\uffff\uffff\uffff word", "\U00020000\U00020000 \u8000\u8000", "\x01\x02 \x01"] + [prose(i, 30) for i in range(5)]
+    docs = frame(spark, [(i, t, "en", "s", 0, "", "", 0, 0) for i, t in enumerate(texts)])
+    model = quality_rules.fit(docs)
+
+    def entropies():
+        return {r["doc_id"]: r["entropy"] for r in quality_rules.measures(docs, model).collect()}
+
+    broadcast = entropies()
+    monkeypatch.setattr(quality_rules, "FITS", 0)
+    joined = entropies()
+    assert joined.keys() == broadcast.keys()
+    assert all(joined[i] == pytest.approx(broadcast[i], rel=1e-9) for i in joined)
+
+
+def plain_kneser_ney(words):
+    """Probability of each n-gram of the words by the textbook recursion, with plain dicts."""
+    order, mark = quality_rules.ORDER, lambda w: "\x01" + w + "\x02"
+    raw = {n: {} for n in range(1, order + 1)}
+    for w in map(mark, words):
+        for end in range(1, len(w)):
+            n = min(order, end + 1)
+            g = w[end + 1 - n : end + 1]
+            raw[n][g] = raw[n].get(g, 0) + 1
+    counts = {order: raw[order]}
+    for n in range(order - 1, 0, -1):
+        heard = {}
+        for g in counts[n + 1]:
+            heard[g[1:]] = heard.get(g[1:], 0) + 1
+        for g, c in (raw[n] if n > 1 else {}).items():
+            heard[g] = heard.get(g, 0) + c
+        counts[n] = heard
+    floor = 1 / (len(counts[1]) + 1)
+    below = {}
+    for n in range(1, order + 1):
+        of = [sum(c == k for c in counts[n].values()) for k in range(5)]
+        y = of[1] / (of[1] + 2 * of[2]) if of[1] + of[2] else 0.5
+        cut = [0.0] + [min(max(k - (k + 1) * y * of[k + 1] / of[k], 0.05), k - 0.05) if of[k] and of[k + 1] else 0.5 * k for k in (1, 2, 3)]
+        total, kept = {}, {}
+        for g, c in counts[n].items():
+            total[g[:-1]] = total.get(g[:-1], 0) + c
+            kept[g[:-1]] = kept.get(g[:-1], 0.0) + cut[min(c, 3)]
+        below = {
+            g: min(1.0, (c - cut[min(c, 3)]) / total[g[:-1]] + kept[g[:-1]] / total[g[:-1]] * (below[g[1:]] if n > 1 else floor))
+            for g, c in counts[n].items()
+        }
+        yield n, below
+
+
+def test_kneser_ney_by_plain_counts(spark):
+    rows = [(i, prose(i, 40), "en", "s", 0, "", "", 0, 0) for i in range(6)]
+    model = quality_rules.fit(frame(spark, rows))
+    got = {(r["n"], r["packed"]): r["logp"] for r in model.scores.collect()}
+    checked = 0
+    for n, table in plain_kneser_ney([w for r in rows for w in r[1].split()]):
+        for g, p in table.items():
+            packed = sum(ord(c) << 16 * (n - 1 - k) for k, c in enumerate(g))
+            packed = packed - 2**64 if packed >= 2**63 else packed
+            if (n, packed) in got:
+                assert got[n, packed] == pytest.approx(math.log(max(p, 1e-12)), rel=1e-9, abs=1e-9)
+                checked += 1
+    assert checked == len(got) > 100
+
+
+def test_no_word_is_hot_where_the_first_step_has_no_room(spark, monkeypatch):
+    """300 words of one occurrence: none is collected for the broadcast."""
+    rows = [(i, " ".join(f"u{i}x{k}" for k in range(10)), "en", "s", 0, "", "", 0, 0) for i in range(30)]
+    monkeypatch.setattr(lm_score, "HOT", 50)
+    docs = frame(spark, rows)
+    model, _ = lm_score.fit(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    assert model.hot == [] and model.least == lm_score.NEVER
