@@ -19,9 +19,14 @@ def same(left: str, right: str, names: Sequence[str]) -> Column:
 
 
 def ranked(
-    df: DataFrame, order: Sequence[Column | str], within: Sequence[str] = (), out: str = "rank"
+    df: DataFrame,
+    order: Sequence[Column | str],
+    within: Sequence[str] = (),
+    out: str = "rank",
+    weight: str | None = None,
 ) -> DataFrame:
-    """Position from 0 of each row in ``order`` within its group, however large the group.
+    """Position from 0 of each row in ``order`` within its group, however large the group; with the
+    whole number ``weight`` (never null, ``order`` without ties) the sum of it over the rows before.
 
     Rows are dealt by range of (group, order) and fixed with the number of their part. A
     part's first group alone can continue an earlier part's, so at most one row per part
@@ -29,7 +34,8 @@ def ranked(
     """
     cut = df.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id())
     fixed = materialize(cut, "ranked")
-    counts = fixed.groupBy("_part", *within).agg(F.count("*").alias("_n"))
+    amount = F.sum(weight) if weight else F.count("*")
+    counts = fixed.groupBy("_part", *within).agg(amount.alias("_n"))
     earlier = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     before = counts.withColumn("_before", F.sum("_n").over(earlier)).where("_before > 0").drop("_n")
     joined = fixed.alias("r").join(
@@ -37,7 +43,11 @@ def ranked(
     )
     local = Window.partitionBy("_part", *within).orderBy(*order)
     rows = joined.select("r.*", F.coalesce("b._before", F.lit(0)).alias("_before"))
-    position = F.col("_before") + F.row_number().over(local) - 1
+    if weight:
+        upto = local.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        position = F.col("_before") + F.sum(weight).over(upto) - F.col(weight)
+    else:
+        position = F.col("_before") + F.row_number().over(local) - 1
     return rows.withColumn(out, position.cast("long")).drop("_part", "_before")
 
 
