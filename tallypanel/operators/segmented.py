@@ -4,13 +4,16 @@
 hot key spans many segments. Each operator then works inside the segments and adds
 what earlier segments of the same key pass on. A key continues from one segment to the
 next at most once per segment border, so the passed-on rows number fewer than twice the
-segments and can be broadcast.
+segments. They are broadcast while the segments are few enough, else joined by shuffle.
+
+``metrics_and_trim`` takes a chain of such operators at once: one summary row per segment
+holds all that is passed on, and one further pass over the rows does the rest.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window, WindowSpec
 from pyspark.sql import functions as F
@@ -21,21 +24,24 @@ from tallypanel.operators.series import mean_of
 from tallypanel.session import materialize
 
 ROWS_PER_SEGMENT = 4_000_000
+# Passed-on rows hold a few values for each metric and row of an average, below 1 KB.
+BROADCAST_SEGMENTS = 50_000
 
 
 @dataclass(frozen=True)
 class Segments:
-    """Rows with their ``_segment``; ``order`` must be unique within ``keys``."""
+    """Rows with their ``_segment``, one of ``number``; ``order`` must be unique within ``keys``."""
 
     df: DataFrame
     keys: tuple[str, ...]
     order: tuple[str, ...]
+    number: int
 
     def window(self) -> WindowSpec:
         return Window.partitionBy(*self.keys, "_segment").orderBy(*self.order)
 
     def with_rows(self, df: DataFrame) -> Segments:
-        return Segments(df, self.keys, self.order)
+        return replace(self, df=df)
 
     def fixed(self) -> Segments:
         """The rows written out. Each operator reads its rows twice, so a chain of
@@ -67,7 +73,7 @@ class Segments:
     def attach(self, passed: DataFrame) -> DataFrame:
         """The rows with the passed-on columns; NULL in a key's first segment."""
         mine = self.df.alias("r")
-        theirs = F.broadcast(passed).alias("p")
+        theirs = passed.hint("broadcast" if self.number <= BROADCAST_SEGMENTS else "merge").alias("p")
         match = F.col("r._segment") == F.col("p._segment")
         for key in self.keys:
             match = match & F.col(f"r.{key}").eqNullSafe(F.col(f"p.{key}"))
@@ -93,7 +99,7 @@ def segment(
         segments = segments_for(df.sparkSession, df.count())
     ranged = df.repartitionByRange(segments, *keys, *order)
     numbered = ranged.withColumn("_segment", F.spark_partition_id())
-    return Segments(materialize(numbered, "segments"), tuple(keys), tuple(order))
+    return Segments(materialize(numbered, "segments"), tuple(keys), tuple(order), segments)
 
 
 def deltas_and_growth(s: Segments, metric: str, out: str = "growthRate") -> Segments:
@@ -121,9 +127,16 @@ def repair_and_diff(
         [F.max(m).alias(f"_top_{m}") for m in metrics],
         {f"_carry_{m}": F.max(f"_top_{m}").over(s.earlier()) for m in metrics},
     )
+    return s.with_rows(_repaired(s, s.attach(passed), metrics, growth_of, growth))
+
+
+def _repaired(
+    s: Segments, rows: DataFrame, metrics: Sequence[str], growth_of: str | None, growth: str
+) -> DataFrame:
+    """``repair_and_diff`` of rows that have the maxima before their segment as ``_carry_<metric>``."""
     so_far = s.window().rowsBetween(Window.unboundedPreceding, Window.currentRow)
     before = s.window().rowsBetween(Window.unboundedPreceding, -1)
-    rows = s.attach(passed).withColumns(
+    rows = rows.withColumns(
         {
             **{f"_now_{m}": F.max(m).over(so_far) for m in metrics},
             **{f"_before_{m}": F.max(m).over(before) for m in metrics},
@@ -139,9 +152,7 @@ def repair_and_diff(
         if m == growth_of:
             out[growth] = safe_ratio(out[delta_name(m)], previous)
     rows = rows.withColumns(out)
-    return s.with_rows(
-        rows.drop(*[f"_{t}_{m}" for m in metrics for t in ("now", "before", "carry")])
-    )
+    return rows.drop(*[f"_{t}_{m}" for m in metrics for t in ("now", "before", "carry")])
 
 
 def repair_monotone(s: Segments, metric: str) -> Segments:
@@ -224,7 +235,13 @@ def moving_average(
         [tail.alias("_tail")],
         {"_carry": F.slice(gathered, F.greatest(F.size(gathered) - n + 2, F.lit(1)), n - 1)},
     )
-    rows = s.attach(passed).withColumn("_at", F.row_number().over(s.window()))
+    return s.with_rows(_averaged(s, s.attach(passed), column, n, out))
+
+
+def _averaged(s: Segments, rows: DataFrame, column: str, n: int, out: str) -> DataFrame:
+    """``moving_average`` of rows that have the last ``n - 1`` values before their segment as
+    ``_carry``."""
+    rows = rows.withColumn("_at", F.row_number().over(s.window()))
     last_n = s.window().rowsBetween(1 - n, Window.currentRow)
     carry = F.coalesce("_carry", F.array().cast("array<double>"))
     # The row at position p of its segment still needs n - p carried values.
@@ -232,4 +249,143 @@ def moving_average(
     used = F.slice(carry, F.greatest(F.size(carry) - need + 1, F.lit(1)), need)
     known = F.filter(used, lambda v: v.isNotNull())
     rows = rows.withColumn("_values", F.concat(known, F.collect_list(column).over(last_n)))
-    return s.with_rows(rows.withColumn(out, mean_of("_values", n)).drop("_carry", "_at", "_values"))
+    return rows.withColumn(out, mean_of("_values", n)).drop("_carry", "_at", "_values")
+
+
+def metrics_and_trim(
+    s: Segments,
+    ts: str,
+    previous: str,
+    metrics: Sequence[str],
+    main: str = "confirmed",
+    n: int = 7,
+    growth: str = "growthRate",
+    average: str = "movingAvg",
+    out: str = "Days",
+) -> DataFrame:
+    """``repair_and_diff``, ``moving_average`` of the growth of ``main`` and
+    ``complete_and_trim``, fused: one summary of the segments, one pass over the rows.
+
+    The rows have ``spine.with_previous_day``. Nulls are absent values: a missing ``main`` before
+    the first known one counts as 0 for the trim; an empty table gives an empty one. The day
+    number is long.
+    """
+    columns = [c for c in s.df.columns if c not in (previous, "_segment")]
+    derived = [*[delta_name(m) for m in metrics], growth, average]
+    rows = s.attach(_carries(s, ts, previous, metrics, main, n))
+    # The next segment's first value, as repaired there: above 0 only if this or an earlier one is.
+    rows = rows.withColumn("_right_value", F.greatest(F.col("_right.value"), f"_carry_{main}"))
+    rows = _repaired(s, rows, metrics, main, growth)
+    rows = _averaged(s, rows, growth, n, average)
+    w = s.window()
+    near = rows.withColumns(
+        {
+            "_before": F.coalesce(F.lag(ts).over(w), "_left"),
+            "_before_next": F.coalesce(F.lead(previous).over(w), "_right.previous"),
+            "_upcoming": F.when(F.lead(F.lit(True)).over(w), F.lead(main).over(w)).otherwise(
+                F.col("_right_value")
+            ),
+        }
+    )
+    kept = spine.trim_rows(near, ts, main, previous)
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    number = F.sum(F.col("_lead_in") + 1).over(so_far) + F.coalesce("_days", F.lit(0)) - 1
+    return spine.write_lead_ins(
+        kept.withColumn(out, number), ts, out, previous, [*columns, *derived], s.keys
+    )
+
+
+def _carries(
+    s: Segments, ts: str, previous: str, metrics: Sequence[str], main: str, n: int
+) -> DataFrame:
+    """What ``metrics_and_trim`` needs from other segments, from one row per segment.
+
+    A segment knows its rows but not what earlier ones reached. As the repaired ``main`` is a
+    running maximum, all rows are kept if an earlier segment was above 0, else those
+    from the segment's first positive value on, and at most one before it. So both numbers of
+    written rows are counted, and the maximum before the segment chooses. The last values
+    are passed on as local maxima, from which the maximum before it makes the repaired ones.
+    """
+    w = s.window()
+    so_far = w.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    placed = s.df.withColumns(
+        {
+            "_at": F.row_number().over(w),
+            "_top": F.max(main).over(so_far),
+            "_gap": F.coalesce(F.lag(ts).over(w) < F.col(previous), F.lit(False)),
+            "_before_next": F.lead(previous).over(w),
+            "_tail": F.lead(F.lit(True), n).over(w).isNull(),
+        }
+    ).withColumn("_next_top", F.lead("_top").over(w))
+    positive = F.coalesce(F.col("_top") > 0, F.lit(False))
+    turns = ~positive & (F.col("_next_top") > 0) & (F.col("_before_next") <= F.col(ts))
+    edge = F.struct(
+        F.col(ts).alias("ts"), F.col(previous).alias("previous"), F.col(main).alias("value")
+    )
+    summary = placed.groupBy(*s.keys, "_segment").agg(
+        *[F.max(m).alias(f"_top_{m}") for m in metrics],
+        F.min_by(edge, "_at").alias("_first"),
+        F.max_by(ts, "_at").alias("_last"),
+        F.sort_array(F.collect_list(F.when(F.col("_tail"), F.struct("_at", "_top")))).alias("_tops"),
+        (F.count("*") + F.count_if("_gap")).alias("_all"),
+        (F.count_if(positive) + F.count_if(positive & F.col("_gap"))).alias("_positive"),
+        # The row before the first positive one: at most one, so any aggregate takes it.
+        F.max(F.when(turns, F.struct("_top"))).alias("_turn"),
+    )
+    by_key = s.by_segment()
+    known = summary.withColumns(
+        {
+            **{f"_carry_{m}": F.max(f"_top_{m}").over(s.earlier()) for m in metrics},
+            "_left": F.lag("_last").over(by_key),
+            "_right": F.lead("_first").over(by_key),
+        }
+    )
+    carry = F.col(f"_carry_{main}")
+
+    def is_zero(value: Column) -> Column:
+        return F.coalesce(F.greatest(value, carry) == 0, F.lit(True))
+
+    def one(condition: Column) -> Column:
+        return F.coalesce(condition.cast("int"), F.lit(0))
+
+    lead_in = F.coalesce(F.col("_left") < F.col("_first.previous"), F.lit(True))
+    inner = F.col("_turn").isNotNull() & is_zero(F.col("_turn._top"))
+    at_end = (
+        is_zero(F.col(f"_top_{main}"))
+        & (F.col("_right.value") > 0)
+        & (F.col("_right.previous") <= F.col("_last"))
+    )
+    starts = F.coalesce(F.col("_first.value") > 0, F.lit(False)) & lead_in
+    written = F.when(carry > 0, F.col("_all") + one(lead_in)).otherwise(
+        F.col("_positive") + one(starts) + one(inner) + one(at_end)
+    )
+    values = F.transform("_tops", lambda e: F.greatest(e["_top"], carry))
+    # Each earlier segment of the key has a row, so n of them reach far enough.
+    reach = by_key.rowsBetween(-n, -1)
+    counted = known.withColumns({"_written": written, "_values": values})
+    passed = counted.withColumns(
+        {
+            "_days": F.sum("_written").over(s.earlier()),
+            "_reached": F.flatten(F.collect_list("_values").over(reach)),
+            "_behind": F.lag(F.lit(True), 1, False).over(by_key),
+        }
+    ).where(F.col("_behind") | F.col("_right").isNotNull())
+    last = F.slice("_reached", F.greatest(F.size("_reached") - n + 1, F.lit(1)), n)
+    passed = passed.withColumn("_reached", last)
+
+    def growth_at(value: Column, i: Column) -> Column:
+        before = F.get("_reached", i - 1)
+        return safe_ratio(F.coalesce(value - before, value), before)
+
+    # The first of n values only serves the second; the first of fewer begins the key and grows by 0.
+    growths = F.transform("_reached", growth_at)
+    begun = F.size("_reached") < n
+    return passed.select(
+        *s.keys,
+        "_segment",
+        *[f"_carry_{m}" for m in metrics],
+        "_left",
+        "_right",
+        "_days",
+        F.when(begun, growths).otherwise(F.slice(growths, 2, n)).alias("_carry"),
+    )

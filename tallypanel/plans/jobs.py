@@ -94,9 +94,7 @@ def _segmented_metrics(
     """``_keyed_metrics`` for keys with more rows than one task should hold."""
     df = spine.with_previous_day(df, TS, days, "_prev")
     s = segmented.segment(df, [key], [TS, *tie], segments)
-    s = segmented.repair_and_diff(s, METRICS, growth_of="confirmed")
-    s = segmented.moving_average(s)
-    return shape.balance(series.doubling_time(segmented.complete_and_trim(s, TS, "_prev")))
+    return shape.balance(series.doubling_time(segmented.metrics_and_trim(s, TS, "_prev", METRICS)))
 
 
 def country_job(

@@ -126,3 +126,66 @@ def test_passed_on_rows_are_fewer_than_segments(spark):
     s = segmented.segment(events(spark), ["key"], ORDER, segments=10)
     passed = s.passed_on([F.count("*").alias("_n")], {"_carry": F.sum("_n").over(s.earlier())})
     assert 0 < passed.count() < 2 * 10
+
+
+def long_series(seed, missing):
+    """Late onsets, gaps and decreases; with ``missing`` also unknown and negative values."""
+    rng = random.Random(seed)
+    choices = [0, 0, 0, 1, 2, 5, 9] + ([None, None, -1, -3] if missing else [])
+    series_of = {}
+    for k in range(7):
+        late = rng.randint(0, 25)
+        values = [
+            "absent" if rng.random() < 0.3 else (rng.choice(choices[:3] + choices[7:]) if d < late else rng.choice(choices))
+            for d in range(30)
+        ]
+        series_of[f"k{k}"] = values if any(v != "absent" for v in values) else [0]
+    return series_of
+
+
+METRICS = ["confirmed", "recovered", "deaths"]
+
+
+def plain_metrics(placed, n):
+    df = series.repair_and_diff(placed, ["key"], "ts", METRICS, ["tie"], growth_of="confirmed")
+    df = series.moving_average(df, ["key"], "ts", n=n, tie=["tie"])
+    return spine.complete_and_trim(df, ["key"], "ts", tie=["tie"], previous="prev")
+
+
+def ordered(df):
+    columns = sorted(df.columns)
+    return sorted((tuple(r[c] for c in columns) for r in df.collect()), key=repr)
+
+
+@pytest.mark.parametrize("missing", [False, True])
+@pytest.mark.parametrize("segments,n", [(1, 7), (5, 3), (60, 7)])
+@pytest.mark.parametrize("seed", range(2))
+def test_fused_metrics_equal_the_plain_chain(spark, seed, segments, n, missing):
+    """60 segments leave each about three rows, so carries reach over many."""
+    one = panel(spark, long_series(seed, missing)).withColumn("tie", F.lit(1))
+    two = panel(spark, long_series(seed + 50, missing)).withColumn("tie", F.lit(2))
+    rows = one.union(two.where("key IN ('k1', 'k2')"))
+    rows = rows.withColumn("key", F.when(F.col("key") != "k3", F.col("key")))
+    placed = spine.with_previous_day(rows, "ts", spine.observed_days(rows, "ts"), "prev")
+    s = segmented.segment(placed, ["key"], ["ts", "tie"], segments=segments)
+    got = segmented.metrics_and_trim(s, "ts", "prev", METRICS, n=n)
+    got = got.withColumn("Days", F.col("Days").cast("int"))
+    assert ordered(got) == ordered(plain_metrics(placed, n).select(*got.columns))
+
+
+def test_fused_metrics_of_no_rows(spark):
+    none = panel(spark, {"a": [1]}).where("false").withColumn("prev", F.col("ts"))
+    s = segmented.segment(none, ["key"], ["ts"], segments=3)
+    assert segmented.metrics_and_trim(s, "ts", "prev", METRICS).collect() == []
+
+
+def test_carries_of_many_segments_are_joined_by_shuffle(spark, monkeypatch):
+    rows = panel(spark, long_series(3, True)).withColumn("tie", F.lit(1))
+    placed = spine.with_previous_day(rows, "ts", spine.observed_days(rows, "ts"), "prev")
+    s = segmented.segment(placed, ["key"], ["ts", "tie"], segments=9)
+    want = ordered(segmented.metrics_and_trim(s, "ts", "prev", METRICS))
+    monkeypatch.setattr(segmented, "BROADCAST_SEGMENTS", 8)
+    got = segmented.metrics_and_trim(s, "ts", "prev", METRICS)
+    plan = got._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+    assert ordered(got) == want
