@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from tallypanel.functions.numbers import round_half_even, safe_ratio
 from tallypanel.operators import aggregate as agg
-from tallypanel.operators import lookup, series, shape, spine
+from tallypanel.operators import gaps, lookup, series, shape, spine
 from tallypanel.plans.catalog import day_text, query
 from tallypanel.plans.panels import (
     EVENT_ROWS,
@@ -240,3 +240,40 @@ QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC)
 )
 def last_wins_lookup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lookup.unique_lookup(table(spark, sf_dir, "events"), "user_id", "event_type", ["ts", "event_id"])
+
+
+@query(
+    "stretched_panel",
+    f"""WITH {COMPLETED},
+placed AS (SELECT c.*, s.confirmed AS known, row_number() OVER w - 1 AS number,
+  lead(c.confirmed) OVER w AS upcoming
+  FROM completed c LEFT JOIN panel s ON s.user_id = c.user_id AND s.timestamp = c.timestamp
+  WINDOW w AS (PARTITION BY c.user_id ORDER BY c.timestamp)),
+filled AS (SELECT *, last_value(known IGNORE NULLS) OVER
+  (PARTITION BY user_id ORDER BY timestamp ROWS UNBOUNDED PRECEDING) AS reached FROM placed)
+SELECT user_id, {day_text()}, coalesce(reached, -1) AS reached,
+  coalesce(confirmed = 0 AND upcoming > 0, false) AS onset, number AS "Days" FROM filled""",
+)
+def stretched_panel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The completed panel: absent days carry the last value on and know onsets and day numbers,
+    written out at the end."""
+    g = gaps.with_gaps(users(spark, sf_dir), KEY, TS)
+    g = gaps.day_number(gaps.onset_flag(g))
+    df = gaps.expand(gaps.forward_fill(g, ["confirmed"]))
+    reached = F.coalesce("confirmed", F.lit(-1)).alias("reached")
+    return df.select("user_id", TS, reached, "onset", F.col("Days").cast("long"))
+
+
+@query(
+    "absent_stretches",
+    f"""WITH {USERS},
+near AS (SELECT user_id, timestamp, lead(timestamp) OVER w AS following, row_number() OVER w AS nth,
+  min(timestamp) OVER () AS earliest, max(timestamp) OVER () AS latest
+  FROM panel WINDOW w AS (PARTITION BY user_id ORDER BY timestamp)),
+ranges AS (SELECT user_id, earliest - 1 AS first_day, timestamp - 1 AS last_day FROM near WHERE nth = 1
+  UNION ALL SELECT user_id, timestamp + 1, coalesce(following, latest + 1) - 1 FROM near)
+SELECT user_id, {day_text("first_day")}, {day_text("last_day")} FROM ranges WHERE ranges.first_day <= ranges.last_day""",
+)
+def absent_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The days without a row of the user, as ranges of the calendar."""
+    return gaps.stretches(gaps.with_gaps(users(spark, sf_dir), KEY, TS))
