@@ -319,6 +319,19 @@ def test_scratch_without_the_setting(spark, monkeypatch):
         session.scratch_base(fake)
 
 
+@pytest.mark.parametrize("master", ["local-cluster[2,3,1024]", "local[2]"])
+def test_a_plain_scratch_path_serves_where_all_executors_share_the_machine(spark, master):
+    class Conf:
+        def get(self, key, default=None):
+            return {"spark.master": master, session.SETTING: "/tmp/plain/"}.get(key, default)
+
+    class Fake:
+        sparkContext = spark.sparkContext  # noqa: N815
+        conf = Conf()
+
+    assert session.scratch_base(Fake()) == "/tmp/plain"
+
+
 def test_regional_table_with_a_large_lookup(spark, landed):
     feed = jobs.load_feed(spark, "regional", landed[1])
     names = spark.createDataFrame(list(NAMES.items()), "current string, subs string")
