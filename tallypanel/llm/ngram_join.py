@@ -3,12 +3,12 @@
 A text's set are the hashes of its runs of five words; a shorter text has one run of all its
 words. Texts with equal sets are one class. Each class has a path of ``DEPTH`` minimum hashes
 in each of ``TREES`` tries, which Spark keeps as paths in sorted order: a node of a trie is a run of
-paths with one prefix. Classes meet where their paths share a prefix of the depth in use. Matching starts
-from whole paths, and the prefix is shortened, in all tries at once, until the target recall is
-reached. Recall is measured: a sample of documents is compared exactly with all documents, in the pass that
-computes the signatures, and for each link so found the deepest common prefix is known. It is taken by
-document, at most one of a group, and apart for bands of similarity; a band without enough links is judged
-by the chance at its lower end, so links that are too rare to be sampled are not given up.
+paths with one prefix. Classes meet where their paths share a prefix of the depth in use: the longest at which
+the chance of a pair at the threshold reaches the target recall, for every table. Recall is audited as well: a
+sample of documents is compared exactly with all documents, in the pass that computes the signatures, and for
+each link so found the deepest common prefix is known. It is taken by document, at most one of a group, and
+apart for bands of similarity. Where it is below the target the prefix is shortened, in all tries at once; what
+a sample shows never makes it longer, so no pair is left out by it.
 
 Classes in a node are candidates, and every candidate pair is verified on its whole sets, once,
 in the first trie where it meets. Large nodes are cut along the order of paths into blocks that are
@@ -200,6 +200,14 @@ def forest_depth(
     return 1
 
 
+def depth_in_use(
+    counts: dict[int, int], similarity: float = SIMILARITY, target: float = RECALL, trees: int = TREES
+) -> int:
+    """The depth that the threshold asks for, or a lower one if the audit missed the target there. The audit is a
+    sample, so it can add pairs that are compared but take none away."""
+    return min(match_depth(similarity, target, trees), forest_depth(counts, similarity, target, trees))
+
+
 def _sample(rows: DataFrame, n: int) -> list[np.ndarray]:
     """Sets of about ``AUDIT`` documents, chosen by a hash of their key."""
     every = max(1, rows.count() // AUDIT)
@@ -354,7 +362,7 @@ def similar_documents(
     signed = materialize(signed, "signatures")
     sums = signed.where("codes IS NOT NULL").select(F.explode(F.arrays_zip("codes", "counts")).alias("c"))
     sums = sums.groupBy("c.codes").agg(F.sum("c.counts").alias("n")).collect()
-    depth = forest_depth({r["codes"]: r["n"] for r in sums}, similarity, target, trees)
+    depth = depth_in_use({r["codes"]: r["n"] for r in sums}, similarity, target, trees)
     filled = signed.where(F.col("paths").isNotNull())
     # A class stands for all texts with one set; the smallest document speaks for it.
     classes = filled.groupBy("s1", "s2").agg(

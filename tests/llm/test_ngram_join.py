@@ -152,6 +152,19 @@ def test_depth_follows_the_data(spark, monkeypatch):
     assert used[0] > used[2] == nj.match_depth()
 
 
+def test_a_sample_never_lengthens_the_prefix(spark, monkeypatch):
+    everywhere = lambda *depths: {c: n for band in range(nj.BANDS) for c, n in counts(depths, band).items()}
+    assert nj.depth_in_use(everywhere(8, 8)) == nj.depth_in_use({}) == nj.match_depth()
+    assert nj.depth_in_use(everywhere(8, 8, 3)) == 3
+    monkeypatch.setattr(nj, "forest_depth", lambda *a: nj.DEPTH)  # what links of copies alone would tell
+    rows = []
+    for i in range(80):
+        base = prose(7000 + i, 104).split()
+        texts = [" ".join(base), " ".join(base[:-11] + [f"x{i}{k}" for k in range(11)])]
+        rows += [(2 * i + k, t, "en", "s", 0, "", "", 0, 0) for k, t in enumerate(texts)]
+    assert found(spark, rows) == plain(rows)
+
+
 def test_pieces_bounded_in_bytes(spark, monkeypatch):
     monkeypatch.setattr(nj, "BLOCK_BYTES", 20_000)
     long_ = prose(77, 6000).split()  # larger than a block by itself
