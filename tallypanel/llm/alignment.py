@@ -43,12 +43,12 @@ from tallypanel.llm.common import batch_of, held, prepare, slices
 from tallypanel.llm.words import WordTable, sums
 from tallypanel.session import materialize
 
-SLICE = 1_000_000  # characters that are tokenized at a time
-MOST_WORDS = 300_000  # aligned words that a worker remembers: about 100 MB
+SLICE = 500_000  # characters that are tokenized at a time
+MOST_WORDS = 120_000  # aligned words that a worker remembers: about 40 MB
 LONGEST_WORD = 200  # characters; a text with a longer one is aligned as a whole
 HOT = 1 << 19  # pairs whose counts are broadcast: at most 9 MB
 NEVER = 2**63 - 1  # no count reaches it
-MOST_PAIRS = 1 << 21  # pairs that a task sums before it sends them on
+MOST_PAIRS = 1 << 18  # pairs that a task sums before it sends them on: about 15 MB while they are merged
 A_END, B_END, COMMA = ord("|"), ord(";"), ord(",")
 
 

@@ -3,6 +3,7 @@ import json
 import random
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 from llm_helpers import documents, frame
@@ -165,3 +166,13 @@ def test_sums_are_sent_on(monkeypatch):
             for key, n in zip(batch.column("key").to_pylist(), batch.column("links").to_pylist()):
                 sent[key] += n
     assert sent == {0: 1, 1: 3, 2: 3, 3: 3, 4: 3, 5: 3, 6: 2, 100: 18}
+
+
+def test_what_a_task_holds_is_bounded():
+    sums, sent = alignment._Sums(), 0
+    for a in range(0, 600_000, 50_000):
+        sums.add(np.arange(a, a + 50_000), np.ones(50_000, np.int64))
+        sent += sum(b.num_rows for b in sums.spill())
+        assert sums.size <= 300_000
+    assert sent + sum(b.num_rows for b in sums.spill(always=True)) == 600_000
+    assert alignment.MOST_WORDS <= 120_000
