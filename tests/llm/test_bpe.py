@@ -4,6 +4,7 @@ import hashlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from hypothesis import given, settings
@@ -71,3 +72,12 @@ def test_documents(spark):
 @pytest.mark.parametrize("length", [1, 2, 3, 4, 5, 8, 9, 31, 64, 65, 255, 256, 257])
 def test_widths(length):
     check(["q" * length, " " + "lo" * length])
+
+
+def test_long_batches_are_encoded_in_small_parts():
+    shared = type("Shared", (), {"value": RAW})
+    texts = ["ab cd " * 40_000] * 10
+    batch = pa.RecordBatch.from_arrays([pa.array(texts)], names=["text"])
+    parts = list(bpe._encoded([batch], shared, public_tokenizers.PATTERN, "text"))
+    assert len(parts) > 2 and sum(p.num_rows for p, _, _ in parts) == 10
+    assert {coder.decode(i) for _, ids, coder in parts for i in ids} == {texts[0].encode()}
