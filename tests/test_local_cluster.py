@@ -17,6 +17,7 @@ NAMES = [
     "csv_roundtrip",
     "csv_text_roundtrip",
     "csv_lookup",
+    "json_roundtrip",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
