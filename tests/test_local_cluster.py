@@ -18,6 +18,7 @@ NAMES = [
     "csv_text_roundtrip",
     "csv_lookup",
     "json_roundtrip",
+    "map_feed_documents",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
