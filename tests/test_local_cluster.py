@@ -19,6 +19,7 @@ NAMES = [
     "csv_lookup",
     "json_roundtrip",
     "map_feed_documents",
+    "map_feed_lines",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
