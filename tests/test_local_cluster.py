@@ -21,6 +21,7 @@ NAMES = [
     "map_feed_documents",
     "map_feed_lines",
     "ordered_country_table",
+    "observed_summary",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
