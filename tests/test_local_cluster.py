@@ -22,6 +22,7 @@ NAMES = [
     "map_feed_lines",
     "ordered_country_table",
     "observed_summary",
+    "raw_day_number",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
