@@ -23,6 +23,7 @@ NAMES = [
     "ordered_country_table",
     "observed_summary",
     "raw_day_number",
+    "raw_forward_fill",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
