@@ -24,6 +24,7 @@ NAMES = [
     "observed_summary",
     "raw_day_number",
     "raw_forward_fill",
+    "raw_deltas",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
