@@ -28,6 +28,7 @@ NAMES = [
     "raw_moving_average",
     "replaced_month",
     "raw_repair",
+    "run_country_table",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
