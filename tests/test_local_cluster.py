@@ -29,6 +29,7 @@ NAMES = [
     "replaced_month",
     "raw_repair",
     "run_country_table",
+    "run_regional_table",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
