@@ -30,6 +30,7 @@ NAMES = [
     "raw_repair",
     "run_country_table",
     "run_regional_table",
+    "run_history_table",
 ]
 TABLES = {
     "nation": "SELECT i::INT AS n_nationkey, 'NATION_' || i AS n_name, (i % 5)::INT AS n_regionkey FROM range(25) r(i)",
