@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import datetime as dt
+import importlib.util
 import math
 import random
+from pathlib import Path
 
 FIRST = dt.date(2020, 1, 22)
 METRICS = ["confirmed", "recovered", "deaths"]
@@ -119,3 +121,14 @@ def trimmed(rows: list, positive) -> list:
         if positive(r) > 0 or onset:
             keep.append(i)
     return keep
+
+
+def spark_home(folder) -> str:
+    """Spark's home with a work folder of its own, for a local cluster, whose workers end the driver
+    if they cannot make theirs."""
+    home = Path(folder) / "home"
+    (home / "work").mkdir(parents=True)
+    for path in Path(importlib.util.find_spec("pyspark").origin).parent.iterdir():
+        if path.name != "work":
+            (home / path.name).symlink_to(path)
+    return str(home)

@@ -9,6 +9,7 @@ import duckdb
 import pytest
 
 import __spark_entry__ as contract
+from helpers import spark_home
 from oracle import compare, duck
 
 REPO = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
@@ -70,14 +71,14 @@ spark.stop()
 def cluster(tmp_path_factory):
     """The folder with the tables and, of each query, its result or why it has none."""
     root = tmp_path_factory.mktemp("cluster")
-    for folder in ("tables", "out", "work"):
+    for folder in ("tables", "out"):
         (root / folder).mkdir()
     con = duckdb.connect()
     for name, sql in TABLES.items():
         con.execute(f"COPY ({sql}) TO '{root}/tables/{name}.parquet' (FORMAT parquet)")
     # The session of the other tests stays as it is: this one has a driver of its own.
     inherited = {k: v for k, v in os.environ.items() if not k.startswith(("PYSPARK_GATEWAY", "PYSPARK_DRIVER"))}
-    env = inherited | {"PYTHONPATH": REPO, "PYSPARK_PYTHON": sys.executable, "SPARK_WORKER_DIR": f"{root}/work", "SPARK_LOCAL_IP": "127.0.0.1"}
+    env = inherited | {"PYTHONPATH": REPO, "PYSPARK_PYTHON": sys.executable, "SPARK_HOME": spark_home(root), "SPARK_LOCAL_IP": "127.0.0.1"}
     run = subprocess.run([sys.executable, "-c", CHILD, str(root), *NAMES], env=env, cwd=root, capture_output=True, text=True, timeout=600)
     assert run.returncode == 0, run.stderr[-2000:]
     return root
