@@ -19,6 +19,7 @@ from tallypanel import session
 
 NAMES = [
     "pipeline",
+    "op1_line_dedup",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
