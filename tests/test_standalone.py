@@ -20,6 +20,7 @@ from tallypanel import session
 NAMES = [
     "pipeline",
     "op1_line_dedup",
+    "op2_toxicity",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
