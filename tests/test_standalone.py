@@ -21,6 +21,7 @@ NAMES = [
     "pipeline",
     "op1_line_dedup",
     "op2_toxicity",
+    "op3_lm_scoring",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
