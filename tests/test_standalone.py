@@ -22,6 +22,7 @@ NAMES = [
     "op1_line_dedup",
     "op2_toxicity",
     "op3_lm_scoring",
+    "op4_ngram_jaccard_join",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
