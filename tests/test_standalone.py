@@ -26,6 +26,7 @@ NAMES = [
     "op5_embedding_near_dedup",
     "op6_preference_formatting",
     "op8_source_mixing",
+    "op9_quality_rules",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
