@@ -27,6 +27,7 @@ NAMES = [
     "op6_preference_formatting",
     "op8_source_mixing",
     "op9_quality_rules",
+    "op11_cross_tokenizer_alignment",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
