@@ -28,6 +28,7 @@ NAMES = [
     "op8_source_mixing",
     "op9_quality_rules",
     "op11_cross_tokenizer_alignment",
+    "op12_sharding",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
