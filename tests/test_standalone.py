@@ -29,6 +29,7 @@ NAMES = [
     "op9_quality_rules",
     "op11_cross_tokenizer_alignment",
     "op12_sharding",
+    "country_job",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
