@@ -30,6 +30,7 @@ NAMES = [
     "op11_cross_tokenizer_alignment",
     "op12_sharding",
     "country_job",
+    "csv_lookup",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
