@@ -32,6 +32,7 @@ NAMES = [
     "country_job",
     "csv_lookup",
     "country_job_segmented",
+    "csv_roundtrip",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
