@@ -34,6 +34,7 @@ NAMES = [
     "country_job_segmented",
     "csv_roundtrip",
     "csv_text_roundtrip",
+    "json_roundtrip",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
