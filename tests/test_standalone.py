@@ -36,6 +36,7 @@ NAMES = [
     "csv_text_roundtrip",
     "json_roundtrip",
     "map_feed_documents",
+    "map_feed_lines",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
