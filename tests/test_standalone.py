@@ -37,6 +37,7 @@ NAMES = [
     "json_roundtrip",
     "map_feed_documents",
     "map_feed_lines",
+    "observed_summary",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
