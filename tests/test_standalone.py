@@ -39,6 +39,7 @@ NAMES = [
     "map_feed_lines",
     "observed_summary",
     "ordered_country_table",
+    "raw_day_number",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
