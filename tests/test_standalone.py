@@ -40,6 +40,7 @@ NAMES = [
     "observed_summary",
     "ordered_country_table",
     "raw_day_number",
+    "raw_deltas",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
