@@ -41,6 +41,7 @@ NAMES = [
     "ordered_country_table",
     "raw_day_number",
     "raw_deltas",
+    "raw_forward_fill",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
