@@ -43,6 +43,7 @@ NAMES = [
     "raw_deltas",
     "raw_forward_fill",
     "raw_moving_average",
+    "raw_repair",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
