@@ -44,6 +44,7 @@ NAMES = [
     "raw_forward_fill",
     "raw_moving_average",
     "raw_repair",
+    "replaced_month",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
