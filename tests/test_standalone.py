@@ -48,6 +48,7 @@ NAMES = [
     "run_country_table",
     "run_regional_table",
     "run_history_table",
+    "run_world_table",
 ]
 WORDS = "['ba', 'ke', 'li', 'mo', 'nu', 'ra', 'se', 'ti', 'vo', 'du']"
 MORE = {
